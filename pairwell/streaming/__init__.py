@@ -1,0 +1,4 @@
+"""Deliberately empty: every input of this engine is a file set that is read once.
+
+The operator inventory lists no watermark, window-over-time or stateful operator, so none is built.
+"""
