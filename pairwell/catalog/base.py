@@ -95,7 +95,7 @@ from {orders}
 PREDICTIONS = """
 select o.o_orderkey as row_id, o.o_custkey as person_id, cast(o.o_orderkey % 50 + 1 as int) as fold,
   case when c.c_mktsegment = 'BUILDING' then 1 else 0 end as truth,
-  o.o_totalprice / 600000 as score, 1.0 + o.o_orderkey % 3 as weight,
+  o.o_totalprice / 599983.0 as score, cast(1 + o.o_orderkey % 3 as double) as weight,
   cast(floor((c.c_acctbal + 1000) / 150) as int) + 15 as age, c.c_nationkey % 2 as sex,
   case c.c_nationkey % 4 when 0 then 'de' when 1 then 'en' when 2 then 'es' else 'fr' end as language
 from {orders} o join {customer} c on o.o_custkey = c.c_custkey
@@ -103,7 +103,7 @@ from {orders} o join {customer} c on o.o_custkey = c.c_custkey
 
 AUDIT = """
 select l_orderkey, l_linenumber, l_partkey, case when l_returnflag = 'R' then 1 else 0 end as y,
-  l_extendedprice / 110000 as score, 1 + l_tax * 10 as weight, l_linestatus as grp, l_discount as discount
+  l_extendedprice / 109987.0 as score, 1 + l_tax * 10 as weight, l_linestatus as grp, l_discount as discount
 from {lineitem}
 """
 

@@ -47,11 +47,24 @@ def auroc(
     bounds: Sequence[float] | None = None,
     out: str = "auroc",
 ) -> DataFrame:
-    """Area under the ROC curve; tied scores count one half; NULL if a class is absent."""
-    rows = _cumulated(df, label, score, weight, keys, bounds)
-    won = F.sum(F.col("wp") * (F.col("wn_before") + F.col("wn") / 2))
+    """Area under the ROC curve; tied scores count one half; NULL if a class is absent.
+
+    Pairs won inside a score block come from a running sum in that block; pairs between blocks are
+    products of block totals. So one pass over the scores is enough and nothing is joined back.
+    """
+    if bounds is None:
+        bounds = value_bounds(df, score)
+    keys = list(keys)
+    mass = score_mass(df, label, score, weight, keys).withColumn("_blk", block_of(F.col("score"), bounds))
+    inner = Window.partitionBy(*keys, "_blk").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("wn").over(inner), F.lit(0.0))
+    won = mass.withColumn("_won", F.col("wp") * (below + F.col("wn") / 2))
+    blocks = won.groupBy(*keys, "_blk").agg(F.sum("_won").alias("_won"), F.sum("wp").alias("wp"), F.sum("wn").alias("wn"))
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_below", F.coalesce(F.sum("wn").over(earlier), F.lit(0.0)))
     pairs = F.sum("wp") * F.sum("wn")
-    return rows.groupBy(*keys).agg(F.when(pairs > 0, won / pairs).alias(out))
+    total = F.sum(F.col("_won") + F.col("wp") * F.col("_below"))
+    return blocks.groupBy(*keys).agg(F.when(pairs > 0, total / pairs).alias(out))
 
 
 def average_precision(

@@ -99,13 +99,13 @@ def crosstab(df: DataFrame, row: str, column: str, margin: str = "All") -> DataF
 
 def matrix(df: DataFrame, row: str, column: str, columns: Sequence[str], value: str, how: str = "best") -> DataFrame:
     """Display matrix of a metric: best, mean, or mean with sample sd, three decimals."""
-    text = lambda c: F.format_string("%.3f", c)
     if how == "best":
-        cell = text(F.max(value))
+        cell = F.format_string("%.3f", F.max(value))
     elif how == "mean":
-        cell = text(F.avg(value))
+        cell = F.format_string("%.3f", F.avg(value))
     else:
         cell = F.format_string("%.3f +/- %.3f", F.avg(value), F.stddev_samp(value))
+    cell = F.when(F.count(value) > 0, cell)
     return df.where(F.col(value).isNotNull()).groupBy(row).pivot(column, list(columns)).agg(cell)
 
 

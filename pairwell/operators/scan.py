@@ -31,7 +31,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     renamed = right
     for key in on:
         renamed = renamed.withColumnRenamed(key, f"_r_{key}")
-    condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in on])
+    left_null = {f.name: f.nullable for f in left.schema.fields}
+    right_null = {f.name: f.nullable for f in right.schema.fields}
+
+    def same(key: str) -> Column:
+        # Plain equality where NULL cannot occur: it keeps an existing partitioning usable.
+        mine, other = left[key], renamed[f"_r_{key}"]
+        return mine.eqNullSafe(other) if left_null[key] and right_null[key] else mine == other
+
+    condition = reduce(lambda a, b: a & b, [same(k) for k in on])
     joined = left.join(renamed, condition, how)
     return joined.drop(*[f"_r_{k}" for k in on])
 
@@ -44,10 +52,8 @@ def value_bounds(df: DataFrame, column: str, blocks: int | None = None) -> list[
     if blocks == 1:
         return []
     probabilities = [i / blocks for i in range(1, blocks)]
-    found = df.select(F.col(column).cast("double").alias("_v")).approxQuantile(
-        "_v", probabilities, 1.0 / (4 * blocks)
-    )
-    return sorted(set(found))
+    found = df.agg(F.percentile_approx(F.col(column).cast("double"), probabilities, 8 * blocks)).first()[0]
+    return sorted(set(found or []))
 
 
 def block_of(column: Column, bounds: Sequence[float]) -> Column:
@@ -101,18 +107,19 @@ def exact_percentiles(
     probabilities: dict[str, float],
     keys: Sequence[str] = (),
     bounds: Sequence[float] | None = None,
+    count: str | None = None,
 ) -> DataFrame:
     """Percentiles with linear interpolation, per key, from value counts.
 
-    NULL and NaN are ignored. Returns the keys, one column per name in ``probabilities`` and ``n``.
+    NULL and NaN are ignored. ``count`` names a column that says how often a row counts. Returns the keys, one column per name in ``probabilities`` and ``n``.
     """
     keys = list(keys)
     value = F.col(column).cast("double")
     counts = (
-        df.select(*keys, value.alias("_x"))
+        df.select(*keys, value.alias("_x"), (F.lit(1) if count is None else F.col(count)).alias("_c"))
         .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
         .groupBy(*keys, "_x")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_c").alias("_n"))
     )
     placed = cumulate(counts, keys, "_x", ["_n"], bounds)
     first, last, total = F.col("_n_before"), F.col("_n_before") + F.col("_n") - 1, F.col("_n_total")
@@ -156,12 +163,12 @@ def hash_ranks(df: DataFrame, keys: Sequence[str], hash_column: str, tie: Sequen
     marked = df.withColumn("_blk", F.shiftright(F.col(hash_column), 52).cast("int"))
     part = [*keys, "_blk"]
     inner = Window.partitionBy(*part).orderBy(hash_column, *tie)
-    marked = marked.withColumn("_pos", F.row_number().over(inner) - 1)
+    marked = marked.withColumn("_place", F.row_number().over(inner) - 1)
     per_block = marked.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     joined = null_safe_join(marked, offsets, part)
-    return joined.withColumn(out, (F.col("_pos") + F.col("_off")).cast("long")).drop("_blk", "_pos", "_off")
+    return joined.withColumn(out, (F.col("_place") + F.col("_off")).cast("long")).drop("_blk", "_place", "_off")
 
 
 def global_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
@@ -181,9 +188,9 @@ def global_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
     counts = ranged.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    placed = ranged.withColumn("_pos", F.row_number().over(inner) - 1)
+    placed = ranged.withColumn("_place", F.row_number().over(inner) - 1)
     joined = null_safe_join(placed, offsets, part)
-    return joined.withColumn(out, (F.col("_pos") + F.col("_off")).cast("long")).drop("_pid", "_pos", "_off")
+    return joined.withColumn(out, (F.col("_place") + F.col("_off")).cast("long")).drop("_pid", "_place", "_off")
 
 
 WINDOW_ROWS = 1_000_000

@@ -66,7 +66,7 @@ def band_levels(
 
 
 def merge_level(
-    df: DataFrame, label: str, band: str, sex: str, min_controls: int, labels, shares, keys: Sequence[str]
+    cells: DataFrame, label: str, band: str, sex: str, count: str, min_controls: int, labels, shares, keys: Sequence[str]
 ) -> DataFrame:
     """Per key, the fewest merges after which every stratum with controls has enough of them.
 
@@ -74,12 +74,11 @@ def merge_level(
     """
     levels = band_levels(labels, shares)
     names = {f"{i}|{b}": m for i, (mapping, _) in enumerate(levels) for b, m in mapping.items()}
-    counts = df.where(F.col(label) == 0).groupBy(*keys, band, sex).agg(F.count(F.lit(1)).alias("_n"))
-    tried = counts.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in range(len(levels))])))
+    tried = cells.where(F.col(label) == 0).withColumn("_level", F.explode(F.array(*[F.lit(i) for i in range(len(levels))])))
     tried = tried.withColumn("_merged", E.lookup(F.concat_ws("|", F.col("_level"), F.col(band)), names))
-    strata = tried.groupBy(*keys, "_level", "_merged", sex).agg(F.sum("_n").alias("_n"))
-    worst = strata.groupBy(*keys, "_level").agg(F.min("_n").alias("_n"))
-    enough = F.min(F.when(F.col("_n") >= min_controls, F.col("_level")))
+    strata = tried.groupBy(*keys, "_level", "_merged", sex).agg(F.sum(count).alias("_c"))
+    worst = strata.groupBy(*keys, "_level").agg(F.min("_c").alias("_c"))
+    enough = F.min(F.when(F.col("_c") >= min_controls, F.col("_level")))
     return worst.groupBy(*keys).agg(F.coalesce(enough, F.lit(len(levels) - 1)).alias("_level"))
 
 
@@ -96,30 +95,33 @@ def strata_weights(
     labels: Sequence[str] = V.COARSE_LABELS,
     shares: Sequence[float] = V.COARSE_SHARES,
 ) -> DataFrame:
-    """Post-stratification to the target population by age band and sex, independently per key."""
+    """Post-stratification to the target population by age band and sex, independently per key.
+
+    Rows are counted once per (key, label, band, sex). Band merges, weights and clipping limits follow
+    from that small table, which is then joined back.
+    """
     levels = band_levels(labels, shares)
     names = {f"{i}|{b}": m for i, (mapping, _) in enumerate(levels) for b, m in mapping.items()}
     targets = {f"{i}|{m}": v for i, (_, share) in enumerate(levels) for m, v in share.items()}
     banded = df.withColumn("_band", E.band(F.col(age), edges, labels))
-    chosen = merge_level(banded, label, "_band", sex, min_controls, labels, shares, keys)
-    if keys:
-        leveled = null_safe_join(banded, chosen, list(keys), "left").fillna({"_level": 0})
-    else:
-        leveled = banded.withColumn("_level", F.coalesce(chosen.select("_level").scalar(), F.lit(0)))
+    cell = [*keys, label, "_band", sex]
+    counted = banded.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    group = [*keys, "_all"]
+    chosen = merge_level(counted, label, "_band", sex, "_n", min_controls, labels, shares, group)
+    leveled = null_safe_join(counted, chosen, group, "left").fillna({"_level": 0})
     leveled = leveled.withColumn("band", E.lookup(F.concat_ws("|", F.col("_level"), F.col("_band")), names))
     share = E.lookup(F.concat_ws("|", F.col("_level"), F.col("band")), targets)
     sex_share = F.when(F.col(sex) == 1, V.SHARE_MALE).when(F.col(sex) == 0, V.SHARE_FEMALE)
     fallback = 1.0 / (2 * (len(levels) - F.col("_level")))
-    targeted = leveled.withColumn("_target", F.coalesce(share * sex_share, fallback))
-    group = [*keys, label, "band", sex]
-    cell = targeted.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    cell = cell.withColumn("_ny", F.sum("_n").over(Window.partitionBy(*keys, label)))
-    joined = null_safe_join(targeted, cell, group)
-    weighted = joined.withColumn(out, F.col("_target") / (F.col("_n") / F.col("_ny")))
-    weighted = weighted.drop("_band", "_level", "_target", "_n", "_ny")
-    if clip_at is None:
-        return weighted
-    return clip_percentiles(weighted, out, *clip_at, keys=keys)
+    stratum = F.sum("_n").over(Window.partitionBy(*group, label, "band", sex))
+    whole = F.sum("_n").over(Window.partitionBy(*group, label))
+    weighted = leveled.withColumn(out, F.coalesce(share * sex_share, fallback) / (stratum / whole))
+    if clip_at is not None:
+        low, high = clip_at
+        limits = exact_percentiles(weighted, out, {"_low": low / 100, "_high": high / 100}, group, bounds=[], count="_n")
+        weighted = null_safe_join(weighted, limits, group)
+        weighted = weighted.withColumn(out, E.clip(F.col(out), F.col("_low"), F.col("_high")))
+    return null_safe_join(banded, weighted.select(*cell, "band", out), cell).drop("_band")
 
 
 def clip_percentiles(
