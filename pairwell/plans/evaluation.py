@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.operators import joins, metrics, reshape, sampling, weights
-from pairwell.operators.scan import null_safe_join, value_bounds
+from pairwell.operators.scan import exact_percentiles, null_safe_join, value_bounds
 
 
 def fold_predictions(
@@ -76,3 +76,17 @@ def covariate_as_score(predictions: DataFrame, covariate: DataFrame, person: str
     """The same predictions with a raw covariate in place of the score; persons without it go."""
     joined = joins.map_values(predictions.drop(score), covariate, person, column)
     return joined.withColumn(score, F.col(column).cast("double")).where(F.col(score).isNotNull())
+
+
+def threshold_sweep(
+    persons: DataFrame, person: str, label: str, score: str, thresholds: Sequence[float], replicates: int, seed: int = 42
+) -> DataFrame:
+    """Bootstrap interval of the balanced accuracy at each threshold; one-class replicates are skipped."""
+    drawn = sampling.bootstrap(persons, person, replicates, (), seed).join(persons, person)
+    steps = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
+    rows = drawn.select("b", "m", label, score, steps)
+    cells = metrics.confusion(rows, label, (F.col(score) >= F.col("threshold")).cast("int"), "m", ["threshold", "b"])
+    kept = metrics.rates(cells.where("tp + fn > 0 and fp + tn > 0"))
+
+
+    return exact_percentiles(kept, "balanced_accuracy", {"lo": 0.025, "hi": 0.975}, ["threshold"])
