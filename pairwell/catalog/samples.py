@@ -1 +1,124 @@
-"""Queries."""
+"""Folds, hold-outs and chunk plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pairwell.catalog.base import query
+from pairwell.operators import sampling
+
+HASH = "cast('0x' || substr(md5({seed} || '|' || {unit}), 1, 15) as bigint)"
+
+
+def fold_sql(stratum: str, k: int) -> str:
+    h = HASH.format(seed="'42'", unit="person_id")
+    return f"""with s as (select person_id, {stratum} as s, {h} as h from {{persons}}), n as (select min(c) as m from (select count(*) as c from s group by s)),
+      g as (select person_id, case when m >= {k} then s else '_all_' end as g, h from s, n)
+      select person_id, cast((row_number() over (partition by g order by h, person_id) - 1) % {k} as int) as fold from g"""
+
+
+@query(
+    "X1",
+    "with f as (" + fold_sql("cast(label as varchar)", 5) + ") select rec_no, fold from {recordings} join f on person_id = audio_id",
+)
+def grouped_folds(t):
+    rows = t.recordings.join(t.persons.select(F.col("person_id").alias("audio_id"), "label"), "audio_id")
+    return sampling.grouped_folds(rows, "audio_id", ["label"], 5).select("rec_no", "fold")
+
+
+@query(
+    "X2",
+    f"""with r as (select person_id, label, g.r as repeat, {HASH.format(seed="('42-' || g.r)", unit="person_id")} as h from {{persons}}, range(0, 3) g(r))
+        select person_id, cast(repeat as int) as repeat, cast(repeat * 5 + (row_number() over (partition by repeat, label order by h, person_id) - 1) % 5 + 1 as int) as fold from r""",
+)
+def repeated_grouped_folds(t):
+    return sampling.repeated_folds(t.persons, "person_id", ["label"], 5, 3)
+
+
+@query("X3", fold_sql("label || '|' || language || '|' || sex", 5))
+def composite_label_folds(t):
+    people = t.persons.select("person_id", "label", "language", "sex")
+    return sampling.grouped_folds(people, "person_id", ["label", "language", "sex"], 5).select("person_id", "fold")
+
+
+@query(
+    "X4",
+    """with p as (select audio_id, count(chunk_number) as c from {recordings} group by audio_id)
+       select sum(c) > 0 as chunked, count(*) filter (c > 0) as n_persons, sum(c)::bigint as n_chunks, max(c) as max_per_person from p""",
+)
+def chunked_data_report(t):
+    return sampling.chunk_report(t.recordings, "audio_id", "chunk_number")
+
+
+@query(
+    "X7",
+    f"""with s as (select person_id, sex, label, g.b, {HASH.format(seed="('42|' || g.b)", unit="person_id")} as h from {{persons}}, range(1, 51) g(b))
+        select person_id, sex, label, cast(b as int) as b from s qualify row_number() over (partition by b, sex, label order by h, person_id) <= 3""",
+)
+def stratified_holdouts(t):
+    return sampling.holdouts(t.persons, "person_id", ["sex", "label"], 3, 50)
+
+
+@query(
+    "X10",
+    f"""with s as (select person_id, label, seed, {HASH.format(seed="seed", unit="person_id")} as h from {{persons}}, (values (42), (1), (2), (3)) v(seed))
+        select person_id, seed, cast((row_number() over (partition by seed, label order by h, person_id) - 1) % 5 as int) as fold from s""",
+)
+def folds_over_seeds(t):
+    return sampling.seed_folds(t.persons, "person_id", ["label"], 5, [42, 1, 2, 3])
+
+
+def chunk_sql(length: int, overlap: int, source: str, key: str) -> str:
+    step = length - overlap
+    return f"""d as (select {key}, ms from {source}),
+  st as (select {key}, ms, unnest(case when ms < {length} then [0::bigint] else range(0::bigint, ms, {step}::bigint) end) as s from d),
+  sg as (select *, least(s + {length}, ms) as e, max(s) over (partition by {key}) as last from st),
+  ok as (select *, row_number() over (partition by {key} order by s) as n, count(*) over (partition by {key}) as m from sg where ms < {length} or e - s >= {length} / 2),
+  tail as (select {key} as tk, ms >= {length} and least(last + {length}, ms) - last < {length} / 2 as merged from (select distinct {key}, ms, last from sg))
+  """
+
+
+@query(
+    "X11",
+    "with o as (select o_orderkey, cast(floor(o_totalprice / 10) as bigint) as ms from orders), "
+    + chunk_sql(6000, 0, "o", "o_orderkey")
+    + "select o_orderkey, cast(n as int) as chunk_number, s / 1000.0::double as chunk_start_sec, ((case when merged and n = m then ms else e end) - s) / 1000.0::double as chunk_duration_sec from ok join tail on tk = o_orderkey",
+)
+def fixed_length_chunks(t):
+    rows = t.orders.select("o_orderkey", F.floor(F.col("o_totalprice") / 10).alias("ms"))
+    return sampling.chunk_plan(rows, ["o_orderkey"], "ms", 6000)
+
+
+@query(
+    "X11",
+    "with o as (select o_orderkey, cast(floor(o_totalprice / 10) as bigint) as ms from orders), "
+    + chunk_sql(10000, 7000, "o", "o_orderkey")
+    + "select o_orderkey, cast(n as int) as chunk_number, s / 1000.0::double as chunk_start_sec, ((case when merged and n = m then ms else e end) - s) / 1000.0::double as chunk_duration_sec from ok join tail on tk = o_orderkey",
+)
+def overlapping_chunks(t):
+    rows = t.orders.select("o_orderkey", F.floor(F.col("o_totalprice") / 10).alias("ms"))
+    return sampling.chunk_plan(rows, ["o_orderkey"], "ms", 10000, 7000)
+
+
+@query(
+    "X12",
+    """with poem as (select * from {recordings} where recording_category = 'poem' and chunk_number is null),
+       o as (select audio_id, cast(floor(max(price) / 10) as bigint) as ms from poem group by audio_id), """
+    + chunk_sql(6000, 0, "o", "audio_id")
+    + """, base as (select audio_id, date, longitudinal, data_source from poem qualify row_number() over (partition by audio_id order by date, rec_no) = 1),
+       ch as (select audio_id, date, longitudinal, data_source, cast(n as int) as chunk_number, s / 1000.0 as st, ((case when merged and n = m then ms else e end) - s) / 1000.0 as du from ok join tail on tk = audio_id join base using (audio_id)),
+       og as (select audio_id, date, longitudinal, data_source from poem qualify row_number() over (partition by audio_id, date order by rec_no) = 1)
+       select audio_id, date, longitudinal, data_source, null::int as chunk_number, false as is_chunked, null::double as chunk_start_sec, null::double as chunk_duration_sec, null::bigint as recording_identifier from og
+       union all select audio_id, date, longitudinal, data_source, chunk_number, true, st::double, du::double,
+         cast('0x' || substr(md5(audio_id || '_poem_' || date || '_chunk' || chunk_number), 1, 8) as bigint) from ch""",
+)
+def append_chunk_rows(t):
+    poem = t.recordings.where("recording_category = 'poem' and chunk_number is null")
+    durations = poem.groupBy("audio_id").agg(F.floor(F.max("price") / 10).alias("ms"))
+    chunks = sampling.chunk_plan(durations, ["audio_id"], "ms", 6000)
+    table = poem.select("rec_no", "audio_id", "recording_category", "date", "longitudinal", "data_source")
+    full = sampling.append_chunks(table, chunks, ["date", "rec_no"])
+    return full.select(
+        "audio_id", "date", "longitudinal", "data_source", "chunk_number", "is_chunked", "chunk_start_sec",
+        "chunk_duration_sec", "recording_identifier",
+    )
