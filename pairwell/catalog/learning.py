@@ -1 +1,85 @@
-"""Queries."""
+"""Feature preparation and model training. SQL cannot state these, except for the labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pairwell.catalog.base import query, rounded
+from pairwell.operators import metrics
+from pairwell.plans import training
+
+
+def samples(t):
+    """Vectors with a binary label, two samples per person."""
+    return t.embeddings.select(
+        F.floor(F.col("vec_id") / 2).alias("person_id"), "vec_id", F.col("embedding").cast("array<double>").alias("v"),
+        (F.floor(F.col("vec_id") / 2) % 3 == 0).cast("int").alias("y0"),
+    ).withColumn("v", F.transform("v", lambda x, i: F.when(i == 0, x + F.col("y0") * 0.3).otherwise(x)))
+
+
+@query("L8 L9", "with l as (select segment, row_number() over (order by segment) - 1 as i from (select distinct segment from {persons})) select rec_no, cast(i as int) as class_idx from {recordings} join {persons} on person_id = audio_id join l using (segment)")
+def encoded_labels_per_sample(t):
+    people = training.encode_labels(t.persons, "segment", "class_idx").withColumnRenamed("person_id", "audio_id")
+    return training.labels_for_samples(t.recordings.select("rec_no", "audio_id"), people, "audio_id", "class_idx").select("rec_no", "class_idx")
+
+
+@query(
+    "L10",
+    """select person_id, age::double as age, case when sex = 1 then 1.0 else 0.0 end::double as sex,
+         case flag_a + flag_b + coalesce(flag_c, 0) when 0 then 0 when 1 then 1 when 2 then 1 else 2 end::double as comorbidity_count_bin from {persons}""",
+)
+def baseline_feature_scope(t):
+    people = t.persons.withColumn("sex", F.when(F.col("sex") == 1, "m").otherwise("w"))
+    return training.scope_features(people, "age_sex_comorbidities", ["flag_a", "flag_b", "flag_c"], ["person_id"])
+
+
+@query(
+    "L1",
+    """with u as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as d, cast(floor(vec_id / 2) as bigint) % 3 = 0 as y from embeddings),
+       x as (select vec_id, d, v + case when d = 1 and y then 0.3 else 0 end as v from u),
+       s as (select d, avg(v) as m, stddev_pop(v) as s from x group by d having var_pop(v) > 0.01)
+       select vec_id, count(*) as n, round(sum((v - m) / s * d), 4) as weighted from x join s using (d) group by vec_id""",
+)
+def standardized_features(t):
+    rows = samples(t)
+    prepared = training.fit_preparation(rows, "v", [32, 32])
+    positions = F.array(*[F.lit(float(i + 1)) for i in prepared.kept])
+    scaled = rows.select("vec_id", prepared.scaled(F.col("v")).alias("x"))
+    total = F.aggregate(F.zip_with("x", positions, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return rounded(scaled.select("vec_id", F.size("x").cast("long").alias("n"), total.alias("weighted")), 4)
+
+
+@query("L2")
+def block_projection(t):
+    from pyspark.ml.functions import vector_to_array
+
+    prepared = training.fit_preparation(samples(t), "v", [32, 30, 2], {0: 4, 1: 3}, minimum_variance=0.0)
+    out = prepared.apply(samples(t), "v").select("vec_id", vector_to_array("features").alias("f"))
+    return out.select("vec_id", F.size("f").alias("n"), F.aggregate(F.transform("f", lambda x: F.abs(x)), F.lit(0.0), lambda a, b: a + b).alias("size"))
+
+
+@query("L3 L5 L6 X2 E5")
+def nested_cross_validation(t):
+    scored = training.nested_predictions(
+        samples(t), "person_id", "y0", "v", [64], "LogisticRegression", {"regParam": [0.01, 0.1]}, {0: 8}, outer=3, inner=2,
+        strategy="class_only",
+    )
+    return rounded(metrics.auroc(scored, "y", "score", None, ["fold"]))
+
+
+@query("L4")
+def grouped_grid_search(t):
+    rows = samples(t).withColumn("y", F.col("y0"))
+    ready = training.fit_preparation(rows, "v", [64], {0: 6}).apply(rows, "v").select("person_id", "y", "features")
+    learner = training.classifier("RandomForestClassifier").setNumTrees(10)
+    model = training.grouped_search(ready, learner, {"maxDepth": [2, 4]}, "person_id", 3, 42)
+    scores = [(int(p), float(m)) for p, m in enumerate(model.avgMetrics)]
+    return rounded(t.spark.createDataFrame(scores, "candidate int, mean_auroc double"))
+
+
+@query("L7")
+def cross_cohort_transfer(t):
+    rows = samples(t)
+    first, second = rows.where("person_id % 2 = 0"), rows.where("person_id % 2 = 1")
+    scored = training.transfer(first, second, "person_id", "y0", "v", [64], "GBTClassifier", {0: 6})
+    return rounded(scored)

@@ -63,19 +63,21 @@ class Preparation:
     sizes: list[int] = field(default_factory=list)
 
     def scaled(self, vector: Column) -> Column:
-        filled = [F.get(vector, F.lit(i)) for i in self.kept]
-        return F.array(
+        """Kept dimensions, filled and standardized; the fitted numbers are one array literal."""
+        table = F.array(
             *[
-                (F.coalesce(F.nanvl(v.cast("double"), F.lit(None).cast("double")), F.lit(self.medians[i])) - F.lit(m)) / F.lit(s)
-                for v, i, m, s in zip(filled, self.kept, self.mean, self.scale)
+                F.struct(F.lit(i).alias("i"), F.lit(self.medians[i]).alias("d"), F.lit(m).alias("m"), F.lit(s).alias("s"))
+                for i, m, s in zip(self.kept, self.mean, self.scale)
             ]
         )
+        value = lambda t: F.coalesce(F.nanvl(F.get(vector, t["i"]).cast("double"), F.lit(None).cast("double")), t["d"])
+        return F.transform(table, lambda t: (value(t) - t["m"]) / t["s"])
 
     def apply(self, df: DataFrame, vector: str, out: str = "features") -> DataFrame:
         done = df.withColumn("_scaled", self.scaled(F.col(vector)))
         parts = []
         for b, (positions, projection) in enumerate(self.blocks):
-            piece = F.array(*[F.get(F.col("_scaled"), F.lit(p)) for p in positions]) if positions else F.array().cast("array<double>")
+            piece = block_slice(positions)
             if projection is not None:
                 done = projection.transform(done.withColumn("_in", array_to_vector(piece))).drop("_in")
                 done = done.withColumnRenamed("_out", f"_p{b}")
@@ -85,6 +87,13 @@ class Preparation:
         return done.drop("_scaled", *[f"_p{b}" for b in range(len(self.blocks))])
 
 
+def block_slice(positions: Sequence[int]) -> Column:
+    """The kept dimensions of a block lie next to each other in the scaled vector."""
+    if not positions:
+        return F.array().cast("array<double>")
+    return F.slice("_scaled", positions[0] + 1, len(positions))
+
+
 def dimension_medians(df: DataFrame, vector: str) -> list[float]:
     """Exact median of every dimension; one number per dimension reaches the driver."""
     cells = df.select(F.posexplode(vector).alias("dim", "v"))
@@ -133,8 +142,9 @@ def fit_preparation(
         wanted = components.get(b)
         projection = None
         if wanted is not None and positions and wanted < min(len(positions), n):
-            piece = F.array(*[F.get(F.col("_scaled"), F.lit(p)) for p in positions])
-            projection = PCA(k=wanted, inputCol="_in", outputCol="_out").fit(ready.select(array_to_vector(piece).alias("_in")))
+            projection = PCA(k=wanted, inputCol="_in", outputCol="_out").fit(
+                ready.select(array_to_vector(block_slice(positions)).alias("_in"))
+            )
         blocks.append((positions, projection))
         prepared.sizes.append(wanted if projection is not None else len(positions))
     return prepared
@@ -161,7 +171,7 @@ def grid_for(learner, grid: Mapping[str, Sequence]) -> list:
 
 def grouped_search(train: DataFrame, learner, grid: Mapping[str, Sequence], person: str, folds: int, seed: int, parallelism: int = 4):
     """Grid search whose inner folds keep the rows of a person together."""
-    inner = sampling.grouped_folds(train.drop("_inner"), person, ["y"], folds, seed, "_inner")
+    inner = durable(sampling.grouped_folds(train.drop("_inner"), person, ["y"], folds, seed, "_inner"))
     evaluator = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC", numBins=0)
     search = CrossValidator(
         estimator=learner, estimatorParamMaps=grid_for(learner, grid), evaluator=evaluator, numFolds=folds,

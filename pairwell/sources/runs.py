@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwell.functions import vocabulary as V
+from pairwell.session import durable
 
 LAYOUT = r"([^/]+)/([^/]+)/(?:(params|metrics|tags)/([^/]+)|(meta)\.yaml)$"
 
 
 def scan(spark: SparkSession, paths: Sequence[str] | str, layout: str = LAYOUT) -> DataFrame:
     """Every file as a row: experiment, run_id, kind (params, metrics, tags, meta), key, text."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    files = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    reader = spark.read.option("recursiveFileLookup", True)
+    files = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     part = lambda i: F.regexp_extract("path", layout, i)
     kind = F.when(part(5) == "meta", "meta").otherwise(part(3))
     return files.where(F.col("path").rlike(layout)).select(
@@ -74,10 +75,13 @@ def run_table(files: DataFrame, names: Sequence[str] | None = None) -> DataFrame
 
 
 def export_runs(spark: SparkSession, generations: Sequence[str], layout: str = LAYOUT) -> DataFrame:
-    """Runs of several generations of one experiment in one table; columns may differ."""
+    """Runs of several generations of one experiment in one table; columns may differ.
+
+    The many small files are read once; the wide table is then built from the stored copy.
+    """
     out = None
     for path in generations:
-        table = run_table(scan(spark, path, layout))
+        table = run_table(durable(scan(spark, path, layout)))
         out = table if out is None else out.unionByName(table, allowMissingColumns=True)
     return out
 
