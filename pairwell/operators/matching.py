@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwell.functions import expressions as E
-from pairwell.operators.scan import cumulate, exact_percentiles, global_positions, largest_group, null_safe_join, numbered
+from pairwell.operators.scan import cumulate, global_positions, largest_group, null_safe_join, numbered
 from pairwell.session import durable
 
 MAX_ROWS = 200_000
@@ -216,54 +216,49 @@ def greedy_match(
         held = changes.where("not is_case").select("stratum", F.col("id").alias("control_id"), F.col("holder").alias("ord"))
         control_z = rows.where("not is_case").select(F.col("id").alias("control_id"), F.col("z").alias("_zc"))
         return _with_distance(held.join(control_z, "control_id"), rows)
-    layout = durable(layout)
-    controls = layout.where("not is_case").withColumn("holder", F.lit(None).cast("double"))
-    cases = layout.where("is_case").withColumn("done", F.lit(False))
+    state = durable(layout.withColumns({"holder": F.lit(None).cast("double"), "done": F.lit(False)}))
     piece_rows, shifted = max_rows, False
     while True:
-        held = controls.where("holder is not null").groupBy("stratum", F.col("holder").alias("ord")).agg(
-            F.count(F.lit(1)).alias("held")
-        )
-        active = (
-            cases.where("not done")
-            .join(held, ["stratum", "ord"], "left")
-            .withColumn("need", F.lit(k) - F.coalesce("held", F.lit(0)))
-            .where("need > 0")
-            .drop("held", "done")
-        )
-        earliest = active.groupBy("stratum").agg(F.min("ord").alias("_first"))
-        open_controls = controls.join(earliest, "stratum").where("holder is null or holder > _first").drop("_first")
-        play = active.withColumn("holder", F.lit(None).cast("double")).unionByName(
-            open_controls.withColumn("need", F.lit(0).cast("long")), allowMissingColumns=True
-        )
-        play = durable(play)
-        largest = largest_group(play.where("is_case").select("stratum"), ["stratum"])
-        if largest == 0:
+        placed = _rows_in_play(state, k)
+        if placed.isEmpty():
             break
-        changes = _one_round(play, k, age_caliper, piece_rows, shifted)
-        changes = durable(changes)
-        moved = changes.where("not is_case").select("stratum", "id", F.col("holder").alias("_new"))
-        spent = changes.where("is_case").select("stratum", "id", F.lit(True).alias("_spent"))
+        changes = durable(_settle(_cut(placed, piece_rows, shifted), k, age_caliper))
         if changes.isEmpty():
-            if shifted:
-                piece_rows *= 2
-            shifted = not shifted
-            continue
-        controls = durable(
-            controls.join(moved, ["stratum", "id"], "left")
-            .withColumn("holder", F.least("holder", "_new"))
-            .drop("_new")
-        )
-        cases = durable(
-            cases.join(spent, ["stratum", "id"], "left")
-            .withColumn("done", F.col("done") | F.coalesce("_spent", F.lit(False)))
-            .drop("_spent")
-        )
+            # Neither cut brought anything: larger pieces, down to the whole stratum if need be.
+            piece_rows = piece_rows * 2 if shifted else piece_rows
+        else:
+            news = changes.withColumnRenamed("holder", "_new")
+            state = durable(
+                state.join(news, ["stratum", "is_case", "id"], "left").withColumns(
+                    {
+                        "holder": F.when(~F.col("is_case"), F.least("holder", "_new")),
+                        "done": F.col("done") | (F.col("is_case") & F.col("_new").isNotNull()),
+                    }
+                ).drop("_new")
+            )
         shifted = not shifted
-    taken = controls.where("holder is not null").select(
+    taken = state.where("not is_case and holder is not null").select(
         "stratum", F.col("holder").alias("ord"), F.col("id").alias("control_id"), F.col("z").alias("_zc")
     )
-    return _with_distance(taken, cases)
+    return _with_distance(taken, state)
+
+
+def _rows_in_play(state: DataFrame, k: int) -> DataFrame:
+    """Cases that still want controls and controls they could get, with their position in the stratum."""
+    held = state.where("not is_case and holder is not null").groupBy("stratum", F.col("holder").alias("ord")).agg(
+        F.count(F.lit(1)).alias("held")
+    )
+    wanting = (
+        state.where("is_case and not done")
+        .join(held, ["stratum", "ord"], "left")
+        .withColumn("need", (F.lit(k) - F.coalesce("held", F.lit(0))).cast("int"))
+        .where("need > 0")
+        .drop("held", "done")
+    )
+    earliest = wanting.groupBy("stratum").agg(F.min("ord").alias("_first"))
+    gettable = state.where("not is_case").join(earliest, "stratum").where("holder is null or holder > _first")
+    play = wanting.unionByName(gettable.drop("_first", "done").withColumn("need", F.lit(0)))
+    return global_positions(play, ["stratum"], ["z", "u", "is_case", "id"], "pos")
 
 
 def _with_distance(taken: DataFrame, cases: DataFrame) -> DataFrame:
@@ -287,20 +282,20 @@ def _settle(pieces: DataFrame, k: int, age_caliper: float | None) -> DataFrame:
     return pieces.groupBy("stratum", "piece").applyInPandas(settle, schema)
 
 
-def _one_round(play: DataFrame, k: int, age_caliper: float | None, piece_rows: int, shifted: bool) -> DataFrame:
-    sizes = play.groupBy("stratum").agg(F.count(F.lit(1)).alias("_size"))
-    placed = global_positions(play, ["stratum"], ["z", "u", "is_case", "id"], "pos").join(sizes, "stratum")
+def _cut(placed: DataFrame, piece_rows: int, shifted: bool) -> DataFrame:
+    """Pieces of consecutive positions; a stratum that fits stays whole."""
+    sizes = placed.groupBy("stratum").agg(F.count(F.lit(1)).alias("_size"))
+    sized = placed.join(sizes, "stratum")
     offset = piece_rows // 2 if shifted else 0
     number = lambda p: F.floor((p + offset) / piece_rows)
     whole = F.col("_size") <= piece_rows
-    pieces = placed.withColumns(
+    return sized.withColumns(
         {
             "piece": F.when(whole, 0).otherwise(number(F.col("pos"))).cast("int"),
             "left_open": ~whole & (number(F.col("pos")) > 0),
             "right_open": ~whole & (number(F.col("pos")) < number(F.col("_size") - 1)),
         }
-    )
-    return _settle(pieces.drop("pos", "_size"), k, age_caliper)
+    ).drop("pos", "_size")
 
 
 def drop_reasons(
