@@ -35,20 +35,17 @@ def chi_square_two_by_two(t):
 
 @query(
     "T2",
-    """with t as (select site, count(*) filter (sex = 1 and label = 1) + count(*) filter (flag_a = 1 and label = 1) as a, count(*) filter (flag_a = 0 and label = 1) as b,
+    """with t as (select site, count(*) filter (flag_a = 1 and label = 1) as a, count(*) filter (flag_a = 0 and label = 1) as b,
            count(*) filter (flag_a = 1 and label = 0) as c, count(*) filter (flag_a = 0 and label = 0) as d from {persons} group by site),
        k as (select *, unnest(range(greatest(0::bigint, a + c - (c + d)), least(a + b, a + c) + 1)) as k from t),
        m as (select *, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1)
            - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(c + d - a - c + k + 1)) as pk from k),
        o as (select *, max(pk) filter (k = a) over (partition by site) as po from m)
-       select site, a, b, c, d, round(case when any_value(b) * any_value(c) > 0 then any_value(a) * any_value(d) / (any_value(b) * any_value(c)) else 'inf'::double end, 6) as odds_ratio,
+       select site, a, b, c, d, round(case when (a + b) * (c + d) * (a + c) * (b + d) = 0 then null when b * c > 0 then a * d / (b * c) else 'inf'::double end, 6) as odds_ratio,
          round(sum(pk) filter (pk <= po * (1 + 1e-7)), 6) as p_value from o group by site, a, b, c, d""",
 )
 def fisher_exact_by_site(t):
-    p = t.persons
-    extra = p.groupBy("site").agg(F.count_if((F.col("sex") == 1) & (F.col("label") == 1)).alias("_e"))
-    cells = stats.two_by_two(p, F.col("label") == 1, F.col("flag_a") == 1, ["site"]).join(extra, "site")
-    cells = cells.withColumn("a", F.col("a") + F.col("_e")).drop("_e")
+    cells = stats.two_by_two(t.persons, F.col("label") == 1, F.col("flag_a") == 1, ["site"])
     return rounded(stats.fisher(cells))
 
 

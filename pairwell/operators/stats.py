@@ -46,10 +46,10 @@ def two_by_two(df: DataFrame, first: Column, second: Column, keys: Sequence[str]
 
 
 def fisher(cells: DataFrame) -> DataFrame:
-    """Two-sided exact p and the sample odds ratio of ``a, b, c, d``."""
-    odds = F.when(
-        F.col("b") * F.col("c") > 0, F.col("a") * F.col("d") / (F.col("b") * F.col("c"))
-    ).when(F.col("a") * F.col("d") > 0, float("inf"))
+    """Two-sided exact p and the sample odds ratio of ``a, b, c, d``; no ratio if a margin is empty."""
+    a, b, c, d = (F.col(x) for x in "abcd")
+    margins = (a + b) * (c + d) * (a + c) * (b + d)
+    odds = F.when((margins > 0) & (b * c > 0), a * d / (b * c)).when(margins > 0, float("inf"))
     return cells.withColumn("odds_ratio", odds).withColumn("p_value", special.fisher_p_value("a", "b", "c", "d"))
 
 
