@@ -9,6 +9,7 @@ from pairwell.catalog.weighting import STRATA_SQL
 from pairwell.operators import metrics, sampling, weights
 from pairwell.operators.scan import null_safe_join, value_bounds
 from pairwell.plans import evaluation
+from pairwell.session import durable
 
 AUDIT_CUM = cumulated_sql("{audit}", "y", "score", "weight", "grp")
 
@@ -255,5 +256,6 @@ def fold_evaluation(t):
     predictions = evaluation.fold_predictions(
         t.predictions.select("fold", "person_id", "truth", "score"), t.persons, "person_id", "truth", "score", ["fold"], threshold=0.4
     )
-    table = evaluation.fold_metrics(predictions, "truth", "score", ["fold"])
+    # The predictions table is the hand-over point between training and audit: stored once.
+    table = evaluation.fold_metrics(durable(predictions), "truth", "score", ["fold"])
     return rounded(table.withColumn("fp_per_1000", F.round("fp_per_1000", 4)))

@@ -47,15 +47,42 @@ def auroc(
     bounds: Sequence[float] | None = None,
     out: str = "auroc",
 ) -> DataFrame:
-    """Area under the ROC curve; tied scores count one half; NULL if a class is absent.
+    """Area under the ROC curve; tied scores count one half; NULL if a class is absent."""
+    if bounds is None:
+        bounds = value_bounds(df, score)
+    mass = score_mass(df, label, score, weight, keys).withColumn("_blk", block_of(F.col("score"), bounds))
+    return _auroc_of_blocks(mass, list(keys), out)
+
+
+def aurocs(
+    df: DataFrame,
+    label: str,
+    scores: Sequence[str],
+    weight: str | None,
+    keys: Sequence[str],
+    bounds: dict[str, Sequence[float]],
+) -> DataFrame:
+    """AUROC of several scores on the same rows, one column per score; the rows are read once."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    entries = F.array(*[F.struct(F.lit(s).alias("name"), F.col(s).cast("double").alias("score")) for s in scores])
+    long = df.select(*keys, F.col(label).alias("_y"), w.alias("_w"), F.explode(entries).alias("_e")).select(
+        *keys, "_y", "_w", "_e.name", F.col("_e.score").alias("_score")
+    )
+    block = F.lit(0)
+    for s in scores:
+        block = F.when(F.col("name") == s, block_of(F.col("score"), bounds[s])).otherwise(block)
+    mass = score_mass(long, "_y", "_score", "_w", [*keys, "name"]).withColumn("_blk", block)
+    found = _auroc_of_blocks(mass, [*keys, "name"], "auroc")
+    picks = [F.max(F.when(F.col("name") == s, F.col("auroc"))).alias(s) for s in scores]
+    return found.groupBy(*keys).agg(*picks)
+
+
+def _auroc_of_blocks(mass: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """AUROC from score masses with their block.
 
     Pairs won inside a score block come from a running sum in that block; pairs between blocks are
     products of block totals. So one pass over the scores is enough and nothing is joined back.
     """
-    if bounds is None:
-        bounds = value_bounds(df, score)
-    keys = list(keys)
-    mass = score_mass(df, label, score, weight, keys).withColumn("_blk", block_of(F.col("score"), bounds))
     inner = Window.partitionBy(*keys, "_blk").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("wn").over(inner), F.lit(0.0))
     won = mass.withColumn("_won", F.col("wp") * (below + F.col("wn") / 2))
@@ -85,18 +112,42 @@ def average_precision(
 
 
 def ranking_metrics(
-    df: DataFrame, label: str, score: str, weight: str | None = None, keys: Sequence[str] = (), bounds=None
+    df: DataFrame,
+    label: str,
+    score: str,
+    weights: dict[str, str | None],
+    keys: Sequence[str] = (),
+    bounds: Sequence[float] | None = None,
 ) -> DataFrame:
-    """AUROC and average precision from one pass over the running sums."""
-    rows = _cumulated(df, label, score, weight, keys, bounds)
-    tp = F.col("wp_total") - F.col("wp_before")
-    fp = F.col("wn_total") - F.col("wn_before")
-    won = F.sum(F.col("wp") * (F.col("wn_before") + F.col("wn") / 2))
-    pairs = F.sum("wp") * F.sum("wn")
-    step = F.when(F.col("wp_total") > 0, F.col("wp") / F.col("wp_total") * tp / (tp + fp))
-    return rows.groupBy(*keys).agg(
-        F.when(pairs > 0, won / pairs).alias("auroc"), F.sum(step).alias("average_precision")
-    )
+    """AUROC and average precision under several weightings from one ordered scan.
+
+    ``weights`` maps a name prefix to a weight column (None for equal weights).
+    """
+    if bounds is None:
+        bounds = value_bounds(df, score)
+    positive = F.col(label) == 1
+    sums, values = [], []
+    for i, column in enumerate(weights.values()):
+        w = F.lit(1.0) if column is None else F.col(column).cast("double")
+        sums += [
+            F.sum(F.when(positive, w).otherwise(0.0)).alias(f"wp{i}"),
+            F.sum(F.when(positive, 0.0).otherwise(w)).alias(f"wn{i}"),
+        ]
+        values += [f"wp{i}", f"wn{i}"]
+    mass = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(*sums)
+    rows = cumulate(mass, list(keys), "score", values, bounds)
+    out = []
+    for i, prefix in enumerate(weights):
+        wp, wn = F.col(f"wp{i}"), F.col(f"wn{i}")
+        tp = F.col(f"wp{i}_total") - F.col(f"wp{i}_before")
+        fp = F.col(f"wn{i}_total") - F.col(f"wn{i}_before")
+        pairs = F.sum(wp) * F.sum(wn)
+        step = F.when(F.col(f"wp{i}_total") > 0, wp / F.col(f"wp{i}_total") * tp / (tp + fp))
+        out += [
+            F.when(pairs > 0, F.sum(wp * (F.col(f"wn{i}_before") + wn / 2)) / pairs).alias(f"{prefix}auroc"),
+            F.sum(step).alias(f"{prefix}average_precision"),
+        ]
+    return rows.groupBy(*keys).agg(*out)
 
 
 def roc_segments(df, label, score, weight=None, keys: Sequence[str] = (), bounds=None) -> DataFrame:

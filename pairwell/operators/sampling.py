@@ -123,23 +123,20 @@ def bootstrap_auroc(
     drawn = bootstrap(persons, person, replicates, [label] if stratified else [], seed)
     w = F.lit(1.0) if weight is None else F.col(weight)
     rows = drawn.join(persons, person).withColumn("_w", F.col("m") * w)
-    out = None
-    for score in scores:
-        # Block limits come from the persons; the replicates only repeat their scores.
-        one = metrics.auroc(rows, label, score, "_w", ["b"], value_bounds(persons, score), out=score)
-        out = one if out is None else out.join(one, "b")
-    return out
+    # Block limits come from the persons; the replicates only repeat their scores.
+    bounds = {s: value_bounds(persons, s) for s in scores}
+    return metrics.aurocs(rows, label, scores, "_w", ["b"], bounds)
 
 
 def interval(replicated: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of a replicated figure."""
-    return exact_percentiles(replicated, column, {"lo": alpha / 2, "hi": 1 - alpha / 2})
+    """Percentile interval of a replicated figure. One row per replicate needs no blocks."""
+    return exact_percentiles(replicated, column, {"lo": alpha / 2, "hi": 1 - alpha / 2}, bounds=[])
 
 
 def paired_difference(replicated: DataFrame, a: str, b: str) -> DataFrame:
     """Interval of the difference on common resamples and the share of replicates above zero."""
     with_diff = replicated.withColumn("_d", F.col(a) - F.col(b)).where("_d is not null")
-    limits = exact_percentiles(with_diff, "_d", {"diff_lo": 0.025, "diff_median": 0.5, "diff_hi": 0.975})
+    limits = exact_percentiles(with_diff, "_d", {"diff_lo": 0.025, "diff_median": 0.5, "diff_hi": 0.975}, bounds=[])
     share = with_diff.agg(F.avg((F.col("_d") > 0).cast("double")).alias("s")).scalar()
     return limits.withColumn("frac_diff_gt0", share)
 

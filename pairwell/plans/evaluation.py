@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwell.operators import joins, metrics, reshape, sampling, weights
 from pairwell.operators.scan import exact_percentiles, null_safe_join, value_bounds
+from pairwell.session import durable
 
 
 def fold_predictions(
@@ -25,22 +26,15 @@ def fold_predictions(
 def fold_metrics(predictions: DataFrame, label: str, score: str, keys: Sequence[str], prevalence: float = 0.2) -> DataFrame:
     """Unweighted and weighted ranking metrics, threshold metrics and deployment metrics per fold."""
     keys = list(keys)
-    bounds = value_bounds(predictions, score)
-    plain = metrics.ranking_metrics(predictions, label, score, None, keys, bounds)
-    weighted = metrics.ranking_metrics(predictions, label, score, "strata_weight", keys, bounds)
-    weighted = weighted.withColumnsRenamed({"auroc": "weighted_auroc", "average_precision": "weighted_average_precision"})
-    at = metrics.rates(metrics.confusion(predictions, label, F.col("pred"), None, keys))
-    at = at.select(*keys, "balanced_accuracy", F.coalesce("mcc", F.lit(0.0)).alias("mcc"))
-    weighted_at = metrics.deployment(
-        metrics.rates(metrics.confusion(predictions, label, F.col("pred"), "strata_weight", keys)), prevalence
-    ).select(
+    ranking = metrics.ranking_metrics(predictions, label, score, {"": None, "weighted_": "strata_weight"}, keys)
+    plain = metrics.confusion(predictions, label, F.col("pred"), None, keys)
+    weighted = metrics.confusion(predictions, label, F.col("pred"), "strata_weight", keys)
+    at = metrics.rates(plain).select(*keys, "balanced_accuracy", F.coalesce("mcc", F.lit(0.0)).alias("mcc"))
+    weighted_at = metrics.deployment(metrics.rates(weighted), prevalence).select(
         *keys, F.col("balanced_accuracy").alias("weighted_balanced_accuracy"), F.col("mcc").alias("weighted_mcc"),
         "ppv", "npv", "fp_per_1000",
     )
-    out = plain
-    for other in (weighted, at, weighted_at):
-        out = null_safe_join(out, other, keys)
-    return out
+    return null_safe_join(null_safe_join(ranking, at, keys), weighted_at, keys)
 
 
 def compare_scores(
@@ -49,17 +43,26 @@ def compare_scores(
 ) -> DataFrame:
     """Point AUROCs of two scores, their bootstrap intervals and the paired difference, one row."""
     draws = sampling.bootstrap_auroc(persons, person, label, [score, comparator], weight, replicates, True, seed)
-    from pairwell.session import durable
-
-    draws = durable(draws)
-    paired = sampling.paired_difference(draws, score, comparator)
-    point = lambda c: metrics.auroc(persons, label, c, weight).scalar()
-    ci = lambda c: sampling.interval(draws, c)
-    out = paired.drop("n", "diff_median").withColumns({"auroc": point(score), "comparator_auroc": point(comparator)})
-    for name, c in (("auroc", score), ("comparator", comparator)):
-        limits = ci(c)
-        out = out.withColumns({f"{name}_lo": limits.select("lo").scalar(), f"{name}_hi": limits.select("hi").scalar()})
-    return out.withColumn("diff", F.col("auroc") - F.col("comparator_auroc"))
+    named = draws.select(
+        F.col(score).alias("a"), F.col(comparator).alias("b"), (F.col(score) - F.col(comparator)).alias("d")
+    )
+    figures = named.unpivot([], ["a", "b", "d"], "figure", "v")
+    # One row per figure and replicate: stored, since limits and the share above zero both read it.
+    figures = durable(figures)
+    limits = exact_percentiles(figures, "v", {"lo": 0.025, "hi": 0.975}, ["figure"], bounds=[])
+    above = figures.where("figure = 'd' and v is not null").agg(F.avg((F.col("v") > 0).cast("double"))).scalar()
+    at = lambda figure, end: F.max(F.when(F.col("figure") == figure, F.col(end)))
+    points = metrics.aurocs(
+        persons.withColumn("_all", F.lit(0)), label, [score, comparator], weight, ["_all"],
+        {s: value_bounds(persons, s) for s in (score, comparator)},
+    )
+    own = limits.agg(
+        at("a", "lo").alias("auroc_lo"), at("a", "hi").alias("auroc_hi"),
+        at("b", "lo").alias("comparator_lo"), at("b", "hi").alias("comparator_hi"),
+        at("d", "lo").alias("diff_lo"), at("d", "hi").alias("diff_hi"),
+    ).withColumns({"_all": F.lit(0), "frac_diff_gt0": above})
+    named = points.select("_all", F.col(score).alias("auroc"), F.col(comparator).alias("comparator_auroc"))
+    return own.join(named, "_all").drop("_all").withColumn("diff", F.col("auroc") - F.col("comparator_auroc"))
 
 
 def group_audit(predictions: DataFrame, metadata: DataFrame, person: str, group: str, truth: str, predicted: str) -> dict[str, DataFrame]:

@@ -71,7 +71,7 @@ def test_spearman_with_ties(spark):
 
 def strata(spark, cells, minimum=2):
     """cells: (age, sex, label, how many)."""
-    rows = [(a, s, y) for a, s, y, n in cells for _ in range(n)]
+    rows = [(float(a), s, y) for a, s, y, n in cells for _ in range(n)]
     df = spark.createDataFrame(rows, "age double, sex int, label int")
     return weights.strata_weights(df, "label", "age", "sex", min_controls=minimum, clip_at=None)
 
