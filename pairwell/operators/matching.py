@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwell.functions import expressions as E
-from pairwell.operators.scan import cumulate, global_positions, largest_group, null_safe_join, numbered
+from pairwell.operators.scan import cumulate, global_positions, largest_group, measured_join, null_safe_join, numbered
 from pairwell.session import durable
 
 MAX_ROWS = 200_000
@@ -56,7 +56,7 @@ def support_and_caliper(df: DataFrame, caliper: float, label: str = "label") ->
     The spread is the sample sd of ``logit_ps`` in the trimmed stratum, else of all rows, else 1.
     """
     facts = stratum_facts(df, label).where("cases > 0 and controls > 0")
-    kept = null_safe_join(df, facts, ["stratum"])
+    kept = measured_join(df, facts, ["stratum"])
     kept = kept.where((F.col("ps") >= F.col("support_low")) & (F.col("ps") <= F.col("support_high")))
     kept = kept.drop("rows", "cases", "controls", "support_low", "support_high")
     usable = lambda c: (c > 0) & ~F.isnan(c)
@@ -72,7 +72,7 @@ def support_and_caliper(df: DataFrame, caliper: float, label: str = "label") ->
         "stratum",
         (caliper * F.when(usable(F.col("_sd")), F.col("_sd")).otherwise(overall.scalar())).alias("caliper"),
     )
-    return null_safe_join(kept, local, ["stratum"])
+    return measured_join(kept, local, ["stratum"])
 
 
 def _relative_positions(df: DataFrame, order: str, id_column: str) -> DataFrame:
@@ -256,7 +256,7 @@ def _rows_in_play(state: DataFrame, k: int) -> DataFrame:
         .drop("held", "done")
     )
     earliest = wanting.groupBy("stratum").agg(F.min("ord").alias("_first"))
-    gettable = state.where("not is_case").join(earliest, "stratum").where("holder is null or holder > _first")
+    gettable = measured_join(state.where("not is_case"), earliest, ["stratum"]).where("holder is null or holder > _first")
     play = wanting.unionByName(gettable.drop("_first", "done").withColumn("need", F.lit(0)))
     return global_positions(play, ["stratum"], ["z", "u", "is_case", "id"], "pos")
 
@@ -285,7 +285,7 @@ def _settle(pieces: DataFrame, k: int, age_caliper: float | None) -> DataFrame:
 def _cut(placed: DataFrame, piece_rows: int, shifted: bool) -> DataFrame:
     """Pieces of consecutive positions; a stratum that fits stays whole."""
     sizes = placed.groupBy("stratum").agg(F.count(F.lit(1)).alias("_size"))
-    sized = placed.join(sizes, "stratum")
+    sized = measured_join(placed, sizes, ["stratum"])
     offset = piece_rows // 2 if shifted else 0
     number = lambda p: F.floor((p + offset) / piece_rows)
     whole = F.col("_size") <= piece_rows

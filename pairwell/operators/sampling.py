@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pairwell.functions import expressions as E
 from pairwell.operators import metrics
 from pairwell.operators.contracts import ContractError
-from pairwell.operators.scan import exact_percentiles, hash_ranks, md5_number, null_safe_join, value_bounds
+from pairwell.operators.scan import exact_percentiles, hash_ranks, md5_number, measured_join, null_safe_join, value_bounds
+from pairwell.session import durable
 
 
 def _fold_table(persons: DataFrame, person: str, stratum: Column, k: int, seed: Column | str, keys, out: str):
@@ -26,7 +27,7 @@ def _fold_table(persons: DataFrame, person: str, stratum: Column, k: int, seed:
     sizes = base.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"))
     if keys:
         smallest = sizes.groupBy(*keys).agg(F.min("_n").alias("_min"))
-        base = null_safe_join(base, smallest, list(keys))
+        base = measured_join(base, smallest, list(keys))
     else:
         base = base.withColumn("_min", sizes.agg(F.min("_n")).scalar())
     base = base.withColumn("_s", F.when(F.col("_min") >= k, F.col("_s")).otherwise("_all_")).drop("_min")
@@ -96,14 +97,15 @@ def bootstrap(
         "_s", E.composite_key([F.col(c) for c in strata]) if strata else F.lit("_all_")
     )
     keyed = keyed.withColumn("_h", md5_number(str(seed), F.col(person)))
-    ranked = hash_ranks(keyed, ["_s"], "_h", [person], "_r").select(person, "_s", "_r")
-    sizes = ranked.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-    slots = null_safe_join(ranked.select("_s", "_r"), sizes, ["_s"]).withColumn(
+    ranked = durable(hash_ranks(keyed, ["_s"], "_h", [person], "_r", "_n").select(person, "_s", "_r", "_n"))
+    # Every row becomes one row per replicate: spread the rows first, with a fixed number of partitions.
+    parts = int(persons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = ranked.select("_s", "_r", "_n").repartition(parts, "_s", "_r").withColumn(
         "b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
     )
     draw = md5_number(str(seed), F.col("b"), F.col("_s"), F.col("_r")) % F.col("_n")
     drawn = slots.select("b", "_s", draw.alias("_r")).groupBy("b", "_s", "_r").agg(F.count(F.lit(1)).alias("m"))
-    return null_safe_join(drawn, ranked, ["_s", "_r"]).select("b", person, "m")
+    return null_safe_join(drawn, ranked.select(person, "_s", "_r"), ["_s", "_r"]).select("b", person, "m")
 
 
 def bootstrap_auroc(
@@ -166,7 +168,9 @@ def holdouts(
     The rank limit is applied on the map side, so a task sends at most ``per_stratum`` rows per
     replicate and stratum, whatever the size of the stratum.
     """
-    spread = units.select(unit, *strata).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = units.select(unit, *strata).repartition(parts, unit)
+    spread = spread.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     hashed = spread.withColumn("_h", md5_number(str(seed), F.col("b"), F.col(unit)))
     w = Window.partitionBy("b", *strata).orderBy("_h", unit)
     return hashed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_stratum).drop("_h", "_rn")

@@ -24,8 +24,13 @@ from pairwell.session import durable
 MAX_BLOCKS = 256
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join in which NULL keys meet each other; the key columns of ``left`` are kept."""
+def null_safe_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", small: bool = False
+) -> DataFrame:
+    """Equi join in which NULL keys meet each other; the key columns of ``left`` are kept.
+
+    ``small`` says that the right side has been counted and may be broadcast.
+    """
     if not on:
         raise ValueError("null_safe_join needs at least one key")
     renamed = right
@@ -40,10 +45,31 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
         return mine.eqNullSafe(other) if left_null[key] and right_null[key] else mine == other
 
     condition = reduce(lambda a, b: a & b, [same(k) for k in on])
-    joined = left.join(renamed, condition, how)
+    joined = left.join(F.broadcast(renamed) if small else renamed, condition, how)
     return joined.drop(*[f"_r_{k}" for k in on])
 
 
+BROADCAST_ROWS = 100_000
+
+
+def measured_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table of per-group facts back to its rows without shuffling the rows by group.
+
+    The facts are stored and counted first. Up to ``BROADCAST_ROWS`` of them are broadcast, so a hot
+    group stays spread over its tasks; more of them are joined the ordinary way.
+    """
+    stored = durable(right)
+    return null_safe_join(left, stored, on, how, small=stored.count() <= BROADCAST_ROWS)
+
+
+def _with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_key``: the keys as one struct, which is never NULL and equals itself with NULLs inside.
+
+    Windows, aggregates and joins on it share one partitioning, so rows are shuffled once.
+    """
+    return df.withColumn("_key", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.lit(0))
+
+
 def value_bounds(df: DataFrame, column: str, blocks: int | None = None) -> list[float]:
     """Ascending distinct block limits of a numeric column, at most ``MAX_BLOCKS - 1`` of them."""
     if blocks is None:
@@ -83,14 +109,14 @@ def cumulate(
     """
     if bounds is None:
         bounds = value_bounds(df, order)
-    marked = df.withColumn("_blk", block_of(F.col(order), bounds))
-    part = [*keys, "_blk"]
+    marked = _with_key(df, keys).withColumn("_blk", block_of(F.col(order), bounds))
+    part = ["_key", "_blk"]
     inner = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     marked = marked.withColumns({f"_in_{v}": F.coalesce(F.sum(v).over(inner), F.lit(0)) for v in values})
     per_block = marked.groupBy(*part).agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     # One row per key and block: a key has at most MAX_BLOCKS rows here.
-    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    earlier = Window.partitionBy("_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_key")
     offsets = per_block.select(
         *part,
         *[F.coalesce(F.sum(f"_s_{v}").over(earlier), F.lit(0)).alias(f"_off_{v}") for v in values],
@@ -98,7 +124,7 @@ def cumulate(
     )
     joined = null_safe_join(marked, offsets, part)
     joined = joined.withColumns({f"{v}_before": F.col(f"_in_{v}") + F.col(f"_off_{v}") for v in values})
-    return joined.drop("_blk", *[f"_in_{v}" for v in values], *[f"_off_{v}" for v in values])
+    return joined.drop(*part, *[f"_in_{v}" for v in values], *[f"_off_{v}" for v in values])
 
 
 def exact_percentiles(
@@ -155,20 +181,31 @@ def md5_number(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
-def hash_ranks(df: DataFrame, keys: Sequence[str], hash_column: str, tie: Sequence[str], out: str) -> DataFrame:
+def hash_ranks(
+    df: DataFrame, keys: Sequence[str], hash_column: str, tie: Sequence[str], out: str, total: str | None = None
+) -> DataFrame:
     """Zero-based rank within the keys in the order of a 60-bit hash, then of the tie columns.
 
-    Hashes spread evenly, so their top digits split a hot key into even blocks.
+    Hashes spread evenly, so their top digits split a hot key into even blocks. ``total`` names a
+    column for the size of the key.
     """
-    marked = df.withColumn("_blk", F.shiftright(F.col(hash_column), 52).cast("int"))
-    part = [*keys, "_blk"]
+    marked = _with_key(df, keys).withColumn("_blk", F.shiftright(F.col(hash_column), 52).cast("int"))
+    part = ["_key", "_blk"]
     inner = Window.partitionBy(*part).orderBy(hash_column, *tie)
-    marked = marked.withColumn("_place", F.row_number().over(inner) - 1)
-    per_block = marked.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    joined = null_safe_join(marked, offsets, part)
-    return joined.withColumn(out, (F.col("_place") + F.col("_off")).cast("long")).drop("_blk", "_place", "_off")
+    placed = marked.withColumn("_place", F.row_number().over(inner) - 1)
+    joined = _add_offsets(placed, marked, part, out, total)
+    return joined.drop("_blk")
+
+
+def _add_offsets(placed: DataFrame, rows: DataFrame, part: list[str], out: str, total: str | None) -> DataFrame:
+    """Turn places inside blocks into places inside keys, with the row counts of earlier blocks."""
+    counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    by_key = Window.partitionBy("_key")
+    earlier = by_key.orderBy(part[1]).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [] if total is None else [F.sum("_n").over(by_key).alias(total)]
+    offsets = counts.select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"), *extra)
+    joined = null_safe_join(placed, offsets, part)
+    return joined.withColumn(out, (F.col("_place") + F.col("_off")).cast("long")).drop("_key", "_place", "_off")
 
 
 def global_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
@@ -183,14 +220,10 @@ def global_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
     ranged = durable(
         df.repartitionByRange(parts, *key_columns, *order_columns).withColumn("_pid", F.spark_partition_id())
     )
-    part = [*keys, "_pid"]
-    inner = Window.partitionBy(*part).orderBy(*order_columns)
-    counts = ranged.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    placed = ranged.withColumn("_place", F.row_number().over(inner) - 1)
-    joined = null_safe_join(placed, offsets, part)
-    return joined.withColumn(out, (F.col("_place") + F.col("_off")).cast("long")).drop("_pid", "_place", "_off")
+    ranged = _with_key(ranged, keys)
+    part = ["_key", "_pid"]
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(*part).orderBy(*order_columns)) - 1)
+    return _add_offsets(placed, ranged, part, out, None).drop("_pid")
 
 
 WINDOW_ROWS = 1_000_000

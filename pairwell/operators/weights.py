@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairwell.functions import expressions as E
 from pairwell.functions import vocabulary as V
 from pairwell.operators.propensity import fit_logistic, score_logistic
-from pairwell.operators.scan import column_medians, exact_percentiles, null_safe_join
+from pairwell.operators.scan import column_medians, exact_percentiles, measured_join, null_safe_join
 
 
 def class_weights(df: DataFrame, label: str, out: str, prevalence: float | None = None) -> DataFrame:
@@ -121,7 +121,7 @@ def strata_weights(
         limits = exact_percentiles(weighted, out, {"_low": low / 100, "_high": high / 100}, group, bounds=[], count="_n")
         weighted = null_safe_join(weighted, limits, group)
         weighted = weighted.withColumn(out, E.clip(F.col(out), F.col("_low"), F.col("_high")))
-    return null_safe_join(banded, weighted.select(*cell, "band", out), cell).drop("_band")
+    return measured_join(banded, weighted.select(*cell, "band", out), cell).drop("_band")
 
 
 def clip_percentiles(
@@ -130,7 +130,7 @@ def clip_percentiles(
     """Force a column between two of its exact percentiles, per key."""
     limits = exact_percentiles(df, column, {"_low": low / 100, "_high": high / 100}, keys)
     if keys:
-        joined = null_safe_join(df, limits, list(keys))
+        joined = measured_join(df, limits, list(keys))
     else:
         joined = df.withColumns(
             {"_low": limits.select("_low").scalar(), "_high": limits.select("_high").scalar(), "n": F.lit(0)}
