@@ -180,16 +180,14 @@ def token_counts(t):
 
 @query(
     "A14",
-    """with w as (select fold, score, weight, row_number() over (partition by person_id, fold order by row_id) - 1 as pos, person_id from {predictions})
-       select person_id, fold, cast(pos as int) as pos, round(score, 6) as auroc, round(weight, 6) as weighted_auroc from w""",
+    """with w as (select score, weight, row_number() over (partition by floor(row_id / 5) order by row_id) - 1 as pos, cast(floor(row_id / 5) as bigint) as run from {predictions})
+       select run, cast(pos as int) as pos, round(score, 6) as auroc, round(weight, 6) as weighted_auroc from w""",
 )
 def explode_parallel_lists(t):
     entry = F.struct("row_id", "score", "weight")
-    lists = t.predictions.groupBy("person_id", "fold").agg(F.array_sort(F.collect_list(entry)).alias("l"))
-    lists = lists.select(
-        "person_id", "fold", F.transform("l", lambda s: s["score"]).alias("a"), F.transform("l", lambda s: s["weight"]).alias("b")
-    )
-    return rounded(reshape.explode_parallel(lists, ["person_id", "fold"], ["a", "b"], ["auroc", "weighted_auroc"]))
+    lists = t.predictions.groupBy(F.floor(F.col("row_id") / 5).alias("run")).agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    lists = lists.select("run", F.transform("l", lambda s: s["score"]).alias("a"), F.transform("l", lambda s: s["weight"]).alias("b"))
+    return rounded(reshape.explode_parallel(lists, ["run"], ["a", "b"], ["auroc", "weighted_auroc"]))
 
 
 @query(

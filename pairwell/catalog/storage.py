@@ -42,9 +42,9 @@ STORE_LAYOUT = r"exp=([^/]+)/run=([^/]+)/(?:kind=(params|metrics|tags)/key=([^/]
 
 
 def write_store(t) -> str:
-    """One run per brand: parameters, tags, metric histories and a state file, in two generations."""
+    """One run per 80 parts: parameters, tags, metric histories and a state file, in two generations."""
     path = scratch_path(t.spark, "store")
-    brand = t.part.groupBy(F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("run")).agg(
+    brand = t.part.groupBy(F.floor(F.col("p_partkey") / 80).alias("run")).agg(
         F.max("p_type").alias("kind"), F.max("p_size").alias("size"), F.count(F.lit(1)).alias("n"),
         F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v")))).alias("prices"),
     )
@@ -62,18 +62,18 @@ def write_store(t) -> str:
         ),
     )
     rows = brand.withColumn("e", F.explode(entries)).select(
-        F.when(F.col("run") < 12, "old").otherwise("new").alias("exp"), F.col("run").cast("string").alias("run"),
+        F.when(F.col("run") % 3 == 0, "old").otherwise("new").alias("exp"), F.col("run").cast("string").alias("run"),
         F.col("e.kind").alias("kind"), F.col("e.key").alias("key"), F.col("e.value").alias("value"),
     )
-    both = rows.unionByName(rows.where("kind = 'metrics' and run < 5").withColumn("exp", F.lit("new")))
-    both.coalesce(1).write.partitionBy("exp", "run", "kind", "key").text(path)
+    both = rows.unionByName(rows.where("kind = 'metrics' and run % 6 = 0").withColumn("exp", F.lit("new")))
+    both.repartition("run").write.partitionBy("exp", "run", "kind", "key").text(path)
     return path
 
 
 @query(
     "S4 S5 E14",
-    """with b as (select cast(regexp_extract(p_brand, '(\\d+)', 1) as int) as run, max(p_type) as kind, max(p_size) as size, count(*) as n from part group by 1)
-       select case when run < 12 then 'old' else 'new' end as experiment, cast(run as varchar) as run_id, case run % 4 + 1 when 1 then 'RUNNING' else 'FINISHED' end as status,
+    """with b as (select cast(floor(p_partkey / 80) as bigint) as run, max(p_type) as kind, max(p_size) as size, count(*) as n from part group by 1)
+       select case when run % 3 = 0 then 'old' else 'new' end as experiment, cast(run as varchar) as run_id, case run % 4 + 1 when 1 then 'RUNNING' else 'FINISHED' end as status,
          n as start_time, 99::bigint as end_time, kind as classifier, case when run % 2 = 0 then 'extended' else 'basic' end as hyperparam, cast('0.' || size as double) as wauroc
        from b where run % 4 + 1 in (1, 3)""",
 )
@@ -88,8 +88,8 @@ def run_store_export(t):
 
 @query(
     "S6 S7 A14",
-    """with b as (select cast(regexp_extract(p_brand, '(\\d+)', 1) as int) as run, p_partkey, p_retailprice from part)
-       select case when run < 5 or run >= 12 then 'new' else 'old' end as experiment, cast(run as varchar) as run_id, cast(row_number() over (partition by run order by p_partkey) - 1 as int) as pos,
+    """with b as (select cast(floor(p_partkey / 80) as bigint) as run, p_partkey, p_retailprice from part)
+       select case when run % 3 = 0 and run % 6 <> 0 then 'old' else 'new' end as experiment, cast(run as varchar) as run_id, cast(row_number() over (partition by run order by p_partkey) - 1 as int) as pos,
          round(p_retailprice, 6) as value from b""",
 )
 def metric_histories(t):
@@ -113,11 +113,11 @@ def nested_result_files(t):
         F.concat(F.lit("clf"), F.col("c_custkey").cast("string")).alias("classifier"), F.col("c_acctbal").alias("auroc"),
         F.create_map(F.lit("C"), F.lit(1.0)).alias("best_params"),
     )
-    # One document per segment and site keeps the lists short.
-    documents = t.customer.groupBy("c_mktsegment", "c_nationkey").agg(F.collect_list(entry).alias("results"))
+    # A document holds the results of at most 20 customers.
+    documents = t.customer.groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 20)).agg(F.collect_list(entry).alias("results"))
     text = F.to_json(F.struct(F.lit("norm_on").alias("preproc"), F.col("c_mktsegment").alias("charite_cohort_variant"), "results"))
-    documents.select(F.concat_ws("_", "c_mktsegment", "c_nationkey").alias("doc"), text.alias("value")).repartition(4).write.partitionBy("doc").text(path)
-    rows = tables.read_results(t.spark, f"{path}/*/*.txt", "full")
+    documents.select(text.alias("value")).write.text(path)
+    rows = tables.read_results(t.spark, path, "full", one_per_line=True)
     return rounded(
         rows.groupBy("preproc", "cohort_variant", "direction").agg(
             F.count(F.lit(1)).alias("n"), F.avg("auroc").alias("auroc"), F.max("config_key").alias("last_key")

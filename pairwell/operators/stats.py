@@ -20,19 +20,27 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     cells = base.groupBy(F.col(row).alias("r"), F.col(column).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     rows = cells.groupBy("r").agg(F.sum("n").alias("nr"))
     columns = cells.groupBy("c").agg(F.sum("n").alias("nc"))
-    # Every cell counts, also those without rows: the grid is rows x columns of the contingency table.
-    sides = rows.agg(F.collect_list(F.struct("r", "nr")).alias("_r"))
-    grid = columns.withColumn("_rows", sides.scalar()).select("c", "nc", F.explode("_rows").alias("_r"))
-    grid = grid.select(F.col("_r.r").alias("r"), F.col("_r.nr").alias("nr"), "c", "nc")
-    filled = grid.join(cells, ["r", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = cells.agg(F.sum("n").alias("t")).scalar()
-    shape = filled.agg(
-        ((F.countDistinct("r") - 1) * (F.countDistinct("c") - 1)).cast("int").alias("dof")
-    ).scalar()
-    marked = filled.withColumns({"e": F.col("nr") * F.col("nc") / total, "dof": shape})
-    gap = F.abs(F.col("n") - F.col("e"))
-    corrected = F.when(F.col("dof") == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    result = marked.agg(F.sum(corrected * corrected / F.col("e")).alias("statistic"), F.max("dof").alias("dof"))
+    # Empty cells need no rows of their own: their share follows from the margins.
+    filled = cells.join(rows, "r").join(columns, "c")
+    row_facts = rows.agg(F.count(F.lit(1)).alias("k"), F.sum(1 / F.col("nr")).alias("inv"), F.sum("nr").alias("total"))
+    column_facts = columns.agg(F.count(F.lit(1)).alias("k"), F.sum(1 / F.col("nc")).alias("inv"))
+    total = row_facts.select("total").scalar()
+    gap = F.abs(F.col("n") - F.col("nr") * F.col("nc") / total)
+    result = filled.agg(
+        F.sum(F.col("n") * F.col("n") / (F.col("nr") * F.col("nc"))).alias("_s"), F.max(gap).alias("_gap")
+    ).withColumns(
+        {
+            "_total": total,
+            "dof": ((row_facts.select("k").scalar() - 1) * (column_facts.select("k").scalar() - 1)).cast("int"),
+            "_inverse": row_facts.select("inv").scalar() * column_facts.select("inv").scalar(),
+        }
+    )
+    # In a 2x2 table every cell is off by the same amount, which the correction shortens.
+    short = F.col("_gap") - F.least(F.lit(0.5), F.col("_gap"))
+    statistic = F.when(F.col("dof") == 1, short * short * F.col("_total") * F.col("_inverse")).otherwise(
+        F.col("_total") * (F.col("_s") - 1)
+    )
+    result = result.select(statistic.alias("statistic"), "dof")
     return result.withColumn("p_value", special.chi_square_p_value("statistic", F.col("dof").cast("double")))
 
 

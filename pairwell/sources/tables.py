@@ -39,9 +39,14 @@ def read_predictions(spark: SparkSession, paths: Sequence[str] | str, run_patter
     return df.withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), run_pattern, 1))
 
 
-def read_results(spark: SparkSession, paths: Sequence[str] | str, default_variant: str) -> DataFrame:
-    """Nested result files: header fields repeated on one row per result, with its configuration key."""
-    raw = spark.read.option("multiLine", True).json(paths)
+def read_results(
+    spark: SparkSession, paths: Sequence[str] | str, default_variant: str, one_per_line: bool = False
+) -> DataFrame:
+    """Nested result documents: header fields repeated on one row per result, with its configuration key.
+
+    A file holds one document, or one per line.
+    """
+    raw = spark.read.option("multiLine", not one_per_line).json(paths)
     header = F.coalesce("charite_cohort_variant", F.lit(default_variant)) if "charite_cohort_variant" in raw.columns else F.lit(default_variant)
     rows = raw.select("preproc", header.alias("cohort_variant"), F.explode("results").alias("r")).select(
         "preproc", "cohort_variant", "r.*"
