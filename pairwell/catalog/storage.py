@@ -71,7 +71,7 @@ def write_store(t) -> str:
 
 
 @query(
-    "S4 S5 E14",
+    "S4 S5",
     """with b as (select cast(floor(p_partkey / 80) as bigint) as run, max(p_type) as kind, max(p_size) as size, count(*) as n from part group by 1)
        select case when run % 3 = 0 then 'old' else 'new' end as experiment, cast(run as varchar) as run_id, case run % 4 + 1 when 1 then 'RUNNING' else 'FINISHED' end as status,
          n as start_time, 99::bigint as end_time, kind as classifier, case when run % 2 = 0 then 'extended' else 'basic' end as hyperparam, cast('0.' || size as double) as wauroc
@@ -168,3 +168,20 @@ def sheet_tables(t):
     nations = tables.read_sheet(t.spark, path, "nations.csv")
     joined = regions.join(nations, F.col("r_regionkey") == F.col("n_regionkey").try_cast("int"), "left")
     return joined.groupBy("r_name").agg(F.count("n_nationkey").alias("n"))
+
+
+@query(
+    "E14",
+    """select event_id as run_id, classifier_name as classifier, cast(e.user_id as varchar) as seed,
+         case when classifier_name = 'LogisticRegression' and event_id % 2 = 0 then 'lr_baseline' else 'extended' end as grid,
+         case when event_id % 3 > 0 then '[age, v' || e.user_id || ']' end as overlap_covariates_logged
+       from events e join (select run_id, classifier_name from {runs}) on run_id = event_id""",
+)
+def run_information(t):
+    table = t.runs.select(
+        "run_id", F.col("classifier_name").alias("params.classifier_name"), F.col("user_id").cast("string").alias("params.random_seed"),
+        F.when(F.col("run_id") % 2 == 0, "['lbfgs']").otherwise("['saga']").alias("params.classifier_hyperparams.clf__solver"),
+    )
+    lines = F.concat(F.lit("start\nINFO covariates used: [age, v"), F.col("user_id").cast("string"), F.lit("] for fold 1\nend"))
+    logs = t.runs.select("run_id", F.when(F.col("run_id") % 3 > 0, lines).otherwise("nothing").alias("text"))
+    return runs.run_info(table, {"classifier": "params.classifier_name", "seed": "params.random_seed"}, logs)
