@@ -47,16 +47,18 @@ def best_per_group(df: DataFrame, group: str, column: str, tie: Sequence[str], n
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def average_ranks(df: DataFrame, column: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
+def average_ranks(
+    df: DataFrame, column: str, out: str, keys: Sequence[str] = (), bounds: Sequence[float] | None = None
+) -> DataFrame:
     """Ranks with ties at their mean, from counts per value."""
     counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = cumulate(counts, list(keys), column, ["_n"])
+    ranked = cumulate(counts, list(keys), column, ["_n"], bounds)
     ranks = ranked.select(*keys, column, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(out))
     return null_safe_join(df, ranks, [*keys, column])
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    ranked = average_ranks(average_ranks(df, a, "_ra"), b, "_rb")
+def spearman(df: DataFrame, a: str, b: str, bounds: Sequence[float] | None = None) -> DataFrame:
+    ranked = average_ranks(average_ranks(df, a, "_ra", bounds=bounds), b, "_rb", bounds=bounds)
     return ranked.agg(F.corr("_ra", "_rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 

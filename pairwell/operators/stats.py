@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import special
 from pairwell.operators.ranking import spearman
-from pairwell.operators.scan import cumulate
+from pairwell.operators.scan import block_of, cumulate, null_safe_join, value_bounds
+from pairwell.session import durable
 
 
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -84,15 +85,17 @@ def welch(df: DataFrame, label: str, columns: Sequence[str], keys: Sequence[str]
     return stats.withColumn("p_value", special.t_p_value("t", "df"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str) -> DataFrame:
-    """Adjusted p-values: running minimum from the largest p down of ``p * m / rank``."""
+def benjamini_hochberg(df: DataFrame, p: str, out: str, bounds: Sequence[float] | None = None) -> DataFrame:
+    """Adjusted p-values: running minimum from the largest p down of ``p * m / rank``.
+
+    ``bounds=[]`` says that the table is short and needs no blocks.
+    """
+    if bounds is None:
+        bounds = value_bounds(df, p)
     counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
     # Equal p-values share the rank of the last of them. Distinct p-values go through the ordered scan.
-    ranked = cumulate(counts, [], p, ["_n"])
+    ranked = cumulate(counts, [], p, ["_n"], bounds)
     scaled = ranked.withColumn("_q", F.col(p) * F.col("_n_total") / (F.col("_n_before") + F.col("_n")))
-    from pairwell.operators.scan import block_of, null_safe_join, value_bounds
-
-    bounds = value_bounds(scaled, p)
     marked = scaled.withColumn("_blk", block_of(F.col(p), bounds))
     down = Window.partitionBy("_blk").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("_inner", F.min("_q").over(down))
@@ -220,6 +223,8 @@ def compare_fits(raw: DataFrame, transformed: DataFrame) -> tuple[DataFrame, Dat
         "term", F.col("estimate").alias(f"estimate_{s}"), F.col("p_value").alias(f"p_{s}")
     )
     both = pick(raw, "raw").join(pick(transformed, "logit"), "term")
-    both = benjamini_hochberg(benjamini_hochberg(both, "p_raw", "p_raw_bh"), "p_logit", "p_logit_bh")
+    # One row per coefficient, a few dozen at most: stored once and ranked without blocks.
+    both = durable(both)
+    both = benjamini_hochberg(benjamini_hochberg(both, "p_raw", "p_raw_bh", []), "p_logit", "p_logit_bh", [])
     both = both.withColumn("sign_match", F.signum("estimate_raw") == F.signum("estimate_logit"))
-    return both, spearman(both, "estimate_raw", "estimate_logit")
+    return both, spearman(both, "estimate_raw", "estimate_logit", [])
