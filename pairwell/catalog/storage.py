@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairwell.catalog.base import query, rounded
+from pairwell.functions import vocabulary as V
 from pairwell.session import scratch_path
 from pairwell.sources import files, runs, tables
 
@@ -115,7 +116,7 @@ def nested_result_files(t):
     )
     # A document holds the results of at most 20 customers.
     documents = t.customer.groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 20)).agg(F.collect_list(entry).alias("results"))
-    text = F.to_json(F.struct(F.lit("norm_on").alias("preproc"), F.col("c_mktsegment").alias("charite_cohort_variant"), "results"))
+    text = F.to_json(F.struct(F.lit("norm_on").alias("preproc"), F.col("c_mktsegment").alias(V.VARIANT_FIELD), "results"))
     documents.select(text.alias("value")).write.text(path)
     rows = tables.read_results(t.spark, path, "full", one_per_line=True)
     return rounded(

@@ -98,3 +98,30 @@ def logit_response_sensitivity(t):
     transformed, _ = stats.random_intercept(rows, "y_logit", "user_id", levels)
     table, rank = stats.compare_fits(raw, transformed)
     return rounded(table.withColumn("spearman", rank.select("spearman").scalar()))
+
+
+# The criterion of the model without factors, as a function of the variance ratio r over group sums.
+REML = """(sum(n) - 1) * ln((sum(q - R / (1 + R * n) * s * s) - pow(sum(s / (1 + R * n)), 2) / sum(n / (1 + R * n))) / (sum(n) - 1))
+    + sum(ln(1 + R * n)) + ln(sum(n / (1 + R * n)))"""
+
+
+@query(
+    "T5 T6",
+    """with recursive g as (select user_id, count(*)::double as n, sum(y) as s, sum(y * y) as q from (select user_id, value + (user_id % 17) * 5 as y from events) group by 1),
+       it(i, a, b) as (select 0, -12.0::double, 5.0::double union all
+         select i + 1, case when f1 < f2 then a else x1 end, case when f1 < f2 then x2 else b end from (
+           select any_value(i) as i, any_value(a) as a, any_value(b) as b, any_value(x1) as x1, any_value(x2) as x2, """
+    + REML.replace("R", "exp(x1)") + " as f1, " + REML.replace("R", "exp(x2)")
+    + """ as f2 from (select i, a, b, b - 0.6180339887498949 * (b - a) as x1, a + 0.6180339887498949 * (b - a) as x2 from it where i < 60) cross join g) where i is not null),
+       r as (select exp((a + b) / 2) as r from it order by i desc limit 1),
+       f as (select any_value(r) as r, sum(n) as n, sum(s / (1 + r * n)) as xy, sum(n / (1 + r * n)) as xx, sum(q - r / (1 + r * n) * s * s) as yy from g, r),
+       e as (select r, xy / xx as b, (yy - xy * xy / xx) / (n - 1) as v, xx from f)
+       select 'Intercept' as term, round(b, 4) as estimate, round(sqrt(v / xx), 4) as se, round(r * v, 2) as group_var, round(v, 2) as residual_var, round(r / (1 + r), 4) as icc from e""",
+)
+def random_intercept_only(t):
+    rows = t.events.select("user_id", (F.col("value") + (F.col("user_id") % 17) * 5).alias("y"))
+    table, facts = stats.random_intercept(rows, "y", "user_id", {})
+    return table.select(
+        "term", F.round("estimate", 4).alias("estimate"), F.round("se", 4).alias("se"),
+        *[F.round(F.lit(float(facts[k])), d).alias(k) for k, d in (("group_var", 2), ("residual_var", 2), ("icc", 4))],
+    )

@@ -234,7 +234,7 @@ def safe_key(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<="), F.lit("le")), F.lit(">"), F.lit("gt"))
 
 
-def default_language(language: Column, source: Column, local_source: str = "charite", local: str = "de") -> Column:
+def default_language(language: Column, source: Column, local_source: str = V.LOCAL_SOURCE, local: str = "de") -> Column:
     """Blank language of the local source becomes its language; other NULLs become ``unknown``."""
     blank = language.isNull() | (language == "")
     return F.coalesce(F.when(blank & (source == local_source), local).otherwise(language), F.lit("unknown"))

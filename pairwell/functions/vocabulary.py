@@ -57,7 +57,12 @@ RELOAD_NULL_TOKENS = ["nan", "NaN", "NAN", "", " ", "null", "NULL"]
 # Closed vocabularies of the recording table.
 DISEASES = sorted(set(DISEASE_TERMS.values()))
 CATEGORIES = ["a", "i", "o", "poem"]
-SOURCES = ["charite", "uk_covid"]
+LOCAL_SOURCE = "charite"
+CROWD_SOURCE = "uk_covid"
+SOURCES = [LOCAL_SOURCE, CROWD_SOURCE]
+
+# Fixed value: header field of nested result files that names the cohort variant.
+VARIANT_FIELD = "charite_cohort_variant"
 
 # Audio file names of single and dated recordings.
 SINGLE_FILE = r"^\d{1,4}_[A-Za-z]+\.wav$"

@@ -78,10 +78,10 @@ def with_identifiers(table: DataFrame) -> DataFrame:
 
 def merge_sources(local: DataFrame, crowd: DataFrame, durations: DataFrame, minimum: float = 3.0) -> DataFrame:
     """Two cohorts in one table: derived columns, union, duration gate, identifiers, contract."""
-    local = frames.ensure_columns(local.withColumn("data_source", F.lit("charite")), {"language": "de"})
+    local = frames.ensure_columns(local.withColumn("data_source", F.lit(V.LOCAL_SOURCE)), {"language": "de"})
     local = local.withColumn("age", E.age_at(V.REFERENCE_YEAR, F.col("birth_year")))
     local = local.withColumn("age_group", E.decade(F.col("age")))
-    crowd = frames.ensure_columns(crowd, {"data_source": "uk_covid"})
+    crowd = frames.ensure_columns(crowd, {"data_source": V.CROWD_SOURCE})
     if "age_group" not in crowd.columns:
         crowd = crowd.withColumn("age_group", E.decade(F.col("age")))
     merged = joins.union_cohorts(local, crowd)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwell.functions import vocabulary as V
 from pairwell.operators.contracts import ContractError
 from pairwell.operators.ranking import best_per_group
 
@@ -47,7 +48,8 @@ def read_results(
     A file holds one document, or one per line.
     """
     raw = spark.read.option("multiLine", not one_per_line).json(paths)
-    header = F.coalesce("charite_cohort_variant", F.lit(default_variant)) if "charite_cohort_variant" in raw.columns else F.lit(default_variant)
+    default = F.lit(default_variant)
+    header = F.coalesce(V.VARIANT_FIELD, default) if V.VARIANT_FIELD in raw.columns else default
     rows = raw.select("preproc", header.alias("cohort_variant"), F.explode("results").alias("r")).select(
         "preproc", "cohort_variant", "r.*"
     )
