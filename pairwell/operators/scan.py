@@ -109,6 +109,14 @@ def cumulate(
     """
     if bounds is None:
         bounds = value_bounds(df, order)
+    if not bounds:
+        # A single block: the caller knows that groups are short, or there is hardly a distinct value.
+        whole = Window.partitionBy(*keys)
+        below = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns(
+            {f"{v}_before": F.coalesce(F.sum(v).over(below), F.lit(0)) for v in values}
+            | {f"{v}_total": F.sum(v).over(whole) for v in values}
+        )
     marked = _with_key(df, keys).withColumn("_blk", block_of(F.col(order), bounds))
     part = ["_key", "_blk"]
     inner = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

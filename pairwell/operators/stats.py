@@ -96,10 +96,15 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, bounds: Sequence[float]
     # Equal p-values share the rank of the last of them. Distinct p-values go through the ordered scan.
     ranked = cumulate(counts, [], p, ["_n"], bounds)
     scaled = ranked.withColumn("_q", F.col(p) * F.col("_n_total") / (F.col("_n_before") + F.col("_n")))
+    if not bounds:
+        down = Window.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        short = scaled.select(p, F.least(F.min("_q").over(down), F.lit(1.0)).alias(out))
+        return df.join(short, p, "left")
     marked = scaled.withColumn("_blk", block_of(F.col(p), bounds))
     down = Window.partitionBy("_blk").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("_inner", F.min("_q").over(down))
     heads = marked.groupBy("_blk").agg(F.min("_q").alias("_m"))
+    # At most one row per block.
     later = Window.orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select("_blk", F.min("_m").over(later).alias("_after"))
     joined = null_safe_join(marked, heads, ["_blk"])

@@ -52,17 +52,25 @@ def compare_scores(
     limits = exact_percentiles(figures, "v", {"lo": 0.025, "hi": 0.975}, ["figure"], bounds=[])
     above = figures.where("figure = 'd' and v is not null").agg(F.avg((F.col("v") > 0).cast("double"))).scalar()
     at = lambda figure, end: F.max(F.when(F.col("figure") == figure, F.col(end)))
-    points = metrics.aurocs(
-        persons.withColumn("_all", F.lit(0)), label, [score, comparator], weight, ["_all"],
-        {s: value_bounds(persons, s) for s in (score, comparator)},
+    points = durable(
+        metrics.aurocs(
+            persons.withColumn("_all", F.lit(0)), label, [score, comparator], weight, ["_all"],
+            {s: value_bounds(persons, s) for s in (score, comparator)},
+        )
     )
     own = limits.agg(
         at("a", "lo").alias("auroc_lo"), at("a", "hi").alias("auroc_hi"),
         at("b", "lo").alias("comparator_lo"), at("b", "hi").alias("comparator_hi"),
         at("d", "lo").alias("diff_lo"), at("d", "hi").alias("diff_hi"),
-    ).withColumns({"_all": F.lit(0), "frac_diff_gt0": above})
-    named = points.select("_all", F.col(score).alias("auroc"), F.col(comparator).alias("comparator_auroc"))
-    return own.join(named, "_all").drop("_all").withColumn("diff", F.col("auroc") - F.col("comparator_auroc"))
+    )
+    named = own.withColumns(
+        {
+            "frac_diff_gt0": above,
+            "auroc": points.select(score).scalar(),
+            "comparator_auroc": points.select(comparator).scalar(),
+        }
+    )
+    return named.withColumn("diff", F.col("auroc") - F.col("comparator_auroc"))
 
 
 def group_audit(predictions: DataFrame, metadata: DataFrame, person: str, group: str, truth: str, predicted: str) -> dict[str, DataFrame]:
