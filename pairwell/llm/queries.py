@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import chat, decontamination, mixing, ngram_join, private, quality, sharding, urls, warc
+from pairwell.llm import chat, decontamination, mixing, ngram_join, private, quality, sharding, substrings, urls, warc
 from pairwell.llm.statements import STATEMENTS
 
 
@@ -31,6 +31,10 @@ def op4_private_data(spark: SparkSession, folder: str) -> DataFrame:
     return private.find_private(table(spark, folder, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.shingle_components(table(spark, folder, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op3_url_filter,
         op4_private_data,
+        op5_suffix_dedup,
         op6_ngram_join,
         op7_mixing,
         op8_warc,
