@@ -88,18 +88,18 @@ def with_facts(rows: DataFrame, out: str) -> DataFrame:
         lambda a: a["n"],
     )
     lines = F.size("_lines").cast("long")
-    return step.select(
-        "_row",
-        F.struct(
-            F.col("_text").alias("text"),
-            F.col("_n").alias("n_words"),
-            F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
-            without(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
-            lines.alias("n_lines"),
-            (lines - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
-            F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        ).alias(out),
-    )
+    facts = {
+        "text": F.col("_text"),
+        "n_words": F.col("_n"),
+        "word_chars": F.length(F.translate("_text", SPACES, "")).cast("long"),
+        "n_symbols": without(F.col("_text"), SYMBOLS).cast("long"),
+        "n_lines": lines,
+        "n_dup_lines": lines - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
+    }
+    flat = step.select("_row", *[v.alias(f"_f_{k}") for k, v in facts.items()])
+    # A generator keeps the optimizer from copying the facts into every condition on them.
+    return flat.select("_row", F.explode(F.array(F.struct(*[F.col(f"_f_{k}").alias(k) for k in facts]))).alias(out))
 
 
 def ordered_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
