@@ -273,12 +273,13 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if marks:
                 data, begins, ends = joined([raw])
                 _, _, grams, start, end = anchors_of(data, begins, ends)
-                there = set(zip(start.tolist(), (run_hashes(data, start, end) ^ grams).view(np.int64).tolist(), strict=True))
+                hashes = (run_hashes(data, start, end) ^ grams).view(np.int64)
+                there = dict(zip(zip(start.tolist(), hashes.tolist(), strict=True), end.tolist(), strict=True))
                 edge = np.zeros(len(raw) + 1, np.int64)
                 for m in marks:
-                    if (m["pos"], m["seg"]) in there:
+                    if (stop := there.get((m["pos"], m["seg"]))) is not None:
                         at = m["pos"] + np.flatnonzero((m["mask"] >> np.arange(STRINGS)) & 1)
-                        at = at[at + LENGTH <= len(raw)]
+                        at = at[at + LENGTH <= stop]
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + LENGTH, -1)
                 covered = np.cumsum(edge[:-1]) > 0
