@@ -147,7 +147,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
         def put(pending: list[bytes]) -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.warc.zst"
-            with files.open_output_stream(f"{path}/archives/{name}") as out:
+            with files.open_output_stream(f"{path}/archives/{name}", compression=None) as out:
                 out.write(pack(pending))
             return pa.RecordBatch.from_pydict({"name": [name], "records": pa.array([len(pending)], pa.int64())})
 
