@@ -5,7 +5,9 @@ indexed: nodes with a similarity of at least ``PERCENT`` share a shingle of thei
 
 1. Leaders. In every list of the index the nodes of similar size point to one of them, and each node is compared
    with the node it meets most often. Links found here join nodes to components; nodes inside a component need no
-   further comparison. This is repeated while it finds links, each time in linear work.
+   further comparison. This is repeated while it finds links, each time in linear work. A large group of copies may
+   be joined by few of its pairs; its members are then dealt over hashed cells of the lists, new ones each round,
+   and a node outside is compared with heads of these cells, as long as that finds enough links.
 2. Block skipping. What is left are pairs of nodes in different components. Index lists are cut into blocks by size
    and position. A node probes the directory of blocks first and skips every block in which no pair can reach the
    overlap, given the positions; only the others are read.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwell.llm.common import PLAIN, Words, chunks, join_facts, mixed, run_hashes
@@ -41,6 +43,12 @@ RANKED = 1 << 17
 REPEATED = 3
 #: Lists of ranked shingles above this share of all lists' rows are dealt over SALTS tasks.
 SALTS = 64
+#: Components of so many nodes are dealt over cells; partners of a node in a round; compared pairs per link from which
+#: on the rest is left to the exact search. They divide the work; no link depends on them.
+LARGE = 32
+CELLS = 16
+PARTNERS = 32
+PAIRS_PER_LINK = 100
 #: 2^19 words of 64 bits say which nodes are needed: a fixed size; errors only send more.
 BITMAP_WORDS = 1 << 19
 
@@ -314,6 +322,21 @@ def proposals(entries: DataFrame) -> DataFrame:
     return best.select("a", F.col("best.b").alias("b"))
 
 
+def cell_proposals(entries: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): for each node, heads of the cells of other, large components in its lists, those met most often first."""
+    large = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") >= LARGE)
+    drawn = F.xxhash64("token", "node", F.lit(turn))
+    members = entries.join(large, "comp", "left_semi").select("token", "sb", "comp", "node", "n", "pos", drawn.alias("drawn"))
+    cells = members.groupBy("token", "sb", F.pmod("drawn", F.lit(CELLS)).alias("cell")).agg(F.min(F.struct("comp", "drawn", "node", "n", "pos")).alias("head"))
+    n, pos = F.col("head.n"), F.col("head.pos")
+    rest = 1 + F.least(F.col("n") - F.col("pos") - 1, n - pos - 1)
+    met = entries.join(cells.drop("cell"), ["token", "sb"]).where((F.col("comp") != F.col("head.comp")) & ((100 + PERCENT) * rest >= PERCENT * (F.col("n") + n)))
+    counted = met.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+    # A node has at most CELLS partners for each shingle of its prefix.
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("lists"), F.xxhash64("b", F.lit(turn))))
+    return counted.withColumn("place", place).where(F.col("place") <= PARTNERS).select("a", "b")
+
+
 def open_pairs(entries: DataFrame) -> DataFrame:
     """Pairs of nodes in different components that may be similar, found by skipping blocks of the lists."""
     split = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
@@ -370,19 +393,24 @@ def derived(join: Join, pairs: DataFrame, leaders: DataFrame) -> DataFrame:
 def components_of_all(join: Join, entries: DataFrame) -> DataFrame | None:
     """``node, comp`` of all nodes with links, or None."""
     edges = comps = leaders = None
-    while True:
-        known = entries.withColumn("comp", F.col("node"))
-        if comps is not None:
-            known = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        known = durable(known) if comps is not None else known
-        found = join.compare(proposals(known))
+    known = entries.withColumn("comp", F.col("node"))
+    turn, enough = 0, False
+    while not enough:
+        found = join.compare(cell_proposals(known, comps, turn) if turn else proposals(known))
         new = found.where(linked(F.col("n_a"), F.col("n_b"), F.col("common")))
         if leaders is None:
             leaders = new.select(F.col("a").alias("node"), F.col("b").alias("leader"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("distance"))
-        if new.isEmpty():
-            break
-        edges = new.select("a", "b") if edges is None else edges.union(new.select("a", "b"))
-        comps = components(edges)
+        links = new.count()
+        if links:
+            edges = new.select("a", "b") if edges is None else edges.union(new.select("a", "b"))
+            comps = components(edges)
+            known = durable(entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        # One head for each list until that finds nothing, then cells.
+        if turn:
+            enough = links * PAIRS_PER_LINK < max(found.count(), 1)
+        else:
+            enough = comps is None
+        turn += int(turn > 0 or links == 0)
     last = derived(join, open_pairs(known), leaders)
     last = durable(last)
     if not last.isEmpty():

@@ -1,6 +1,7 @@
 """Every corpus query against its contract in plain Python, on the smallest tables and on a fixture of odd rows."""
 
 import os
+import random
 import sys
 from collections import Counter
 
@@ -110,6 +111,22 @@ def test_ngram_join(docs):
     assert sorted(d for d, _ in pairs(kept)) == sorted(d for d, (_, c) in expected.items() if c == d)
 
 
+def test_ngram_join_of_a_large_family(spark):
+    """Copies with some changed words: few of their pairs are links, but these join nearly all."""
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for d in range(200):
+        words = list(base)
+        for i in draw.sample(range(150), draw.choice((1, 2, 2, 3, 3, 3, 4))):
+            words[i] = f"c{d}x{i}"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.shingle_components(docs).collect()}
+    assert got == brute.classes(rows)
+    assert 1 < len({c for _, c in got.values()}) < 150
+
+
 def test_decontamination(docs, spark):
     items = spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()
     items = [tuple(r) for r in items] + [(900, PASSAGE), (901, "One two"), (902, None), (903, "")]
