@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder shared by driver and executors, as the session names it.
 
-    A temporary folder is used only if the session names none, which is the case in unit tests.
+    A temporary folder is used only if a local session names none, which is the case in unit tests. On a cluster
+    executors could not read it, so a session there has to name one.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = context.getCheckpointDir()
     return current
