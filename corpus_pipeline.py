@@ -34,8 +34,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sharded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives every row its shard and its slot."""
-    return sharding.interleave(docs)
+    """Moves every row with all its columns into its shard, in the order of the slots."""
+    return sharding.interleave(docs).sortWithinPartitions("shard", "slot")
 
 
 STAGES: list[tuple[str, Stage]] = [

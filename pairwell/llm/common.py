@@ -101,18 +101,21 @@ def positions(df: DataFrame, share: Column, order: Sequence[Column], out: str, t
 
     The order is cut into equal ranges of ``share``. Rows are numbered inside their range, and the counts of
     the earlier ranges, one row for each, are added. No range holds more than its part of evenly spread shares.
+    Neighbouring ranges go to one partition, so partitions follow each other in the order of the positions.
     """
     parts = buckets_for(df)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = df.withColumn("_p_cut", F.least(F.floor(share * parts), F.lit(parts - 1)).cast("int"))
     counts = cut.groupBy("_p_cut").agg(F.count(F.lit(1)).alias("_p_n"))
     # As many rows as there are ranges, so a window without a key is bounded.
     before = Window.orderBy("_p_cut").rowsBetween(Window.unboundedPreceding, -1)
     extra = [] if total is None else [F.sum("_p_n").over(Window.partitionBy()).alias(total)]
     offsets = counts.select("_p_cut", F.coalesce(F.sum("_p_n").over(before), F.lit(0)).alias("_p_off"), *extra)
-    numbered = cut.withColumn("_p_row", F.row_number().over(Window.partitionBy("_p_cut").orderBy(share, *order)) - 1)
+    dealt = cut.withColumn("_p_task", F.expr(f"cast(_p_cut * {tasks} div {parts} as int)")).repartitionById(tasks, F.col("_p_task"))
+    numbered = dealt.withColumn("_p_row", F.row_number().over(Window.partitionBy("_p_task", "_p_cut").orderBy(share, *order)) - 1)
     # One row for each range: at most ``parts``, a fixed bound.
     joined = numbered.join(F.broadcast(offsets), "_p_cut")
-    return joined.withColumn(out, F.col("_p_row") + F.col("_p_off")).drop("_p_cut", "_p_row", "_p_off")
+    return joined.withColumn(out, F.col("_p_row") + F.col("_p_off")).drop("_p_cut", "_p_task", "_p_row", "_p_off")
 
 
 HOT_SHARE = 1000

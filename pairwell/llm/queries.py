@@ -16,7 +16,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    return sharding.interleave(table(spark, folder, "documents"))
+    return sharding.digests(sharding.interleave(table(spark, folder, "documents")))
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

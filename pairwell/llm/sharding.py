@@ -2,10 +2,11 @@
 
 Rows are put into a seeded random order within their source. The row with rank r of a source with n rows has the
 fractional rank (r + 1/2) / n. Sorted by it, the sources are interleaved in proportion, and cutting that order into
-equal runs gives shards whose counts differ by one at most and which all have the mixture of the whole.
+equal runs gives shards whose counts differ by one at most and which all have the mixture of the whole. All columns of
+the input, the text among them, are moved: partitions follow each other by shard and slot.
 
 Defined cases: NULL source is a source of its own; NULL text has no bytes and counts as empty; rows that are equal
-in id and text are interchangeable and each gets a slot; with fewer rows than shards the last ones stay empty; an
+in id and text are interchangeable, each gets a slot; with fewer rows than shards the last ones stay empty; an
 empty table gives no rows; columns of the input named like an output column are replaced.
 """
 
@@ -21,14 +22,14 @@ from pairwell.llm.common import buckets_for, positions
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, keep: Sequence[str] = ("source",)) -> DataFrame:
-    """``doc_id``, the columns ``keep`` and size, text_crc32, law, shard, slot, grown_shard for every row."""
+def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, keep: Sequence[str] | None = None) -> DataFrame:
+    """``doc_id``, the columns ``keep`` (all, if None) and size, text_crc32, law, shard, slot, grown_shard for every row."""
     parts = buckets_for(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    keep = [c for c in dict.fromkeys(keep) if c not in ADDED and c != "doc_id"]
+    keep = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c not in ADDED and c != "doc_id"]
     rows = docs.select(
         F.col("doc_id"),
-        F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("kept"),
+        F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("kept"),
         F.coalesce(F.col("source"), F.lit("")).alias("_source"),
         F.col("source").isNull().alias("_none"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
@@ -60,3 +61,18 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, keep: Sequence
         (F.col("_at") - F.expr(f"(shard * _all + {shards - 1}) div {shards}")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def digests(sharded: DataFrame) -> DataFrame:
+    """The rows of ``interleave`` with the size and the CRC of the texts as they are in the shards, instead of the texts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return sharded.select(
+        "doc_id",
+        "source",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        "law",
+        "shard",
+        "slot",
+        "grown_shard",
+    )

@@ -12,6 +12,8 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import brute  # noqa: E402
 
+import corpus_pipeline  # noqa: E402
+
 from pairwell.llm import chat, decontamination, mixing, ngram_join, private, quality, sharding, substrings, urls, warc  # noqa: E402
 from pairwell.llm.queries import QUERIES  # noqa: E402
 
@@ -215,3 +217,17 @@ def test_repeated_rows_and_null_ids(spark, odd):
 
 def test_ten_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_sharding_moves_the_texts(documents, tmp_path):
+    """Every column arrives in the shards, whose rows lie together in the written files."""
+    got = sharding.interleave(documents)
+    assert rows_of(got, *documents.columns) == rows_of(documents)
+    assert "text" in corpus_pipeline.sharded_documents(documents.sparkSession, documents, FOLDER).columns
+    corpus_pipeline.sharded_documents(documents.sparkSession, documents, FOLDER).write.parquet(str(tmp_path / "shards"))
+    back = documents.sparkSession.read.parquet(str(tmp_path / "shards"))
+    spans = back.groupBy(F.input_file_name().alias("file")).agg(F.min(F.struct("shard", "slot")).alias("a"), F.max(F.struct("shard", "slot")).alias("b"))
+    spans = sorted((tuple(r["a"]), tuple(r["b"])) for r in spans.collect())
+    assert len(spans) > 1 and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+    told = QUERIES["op1_sharding"](documents.sparkSession, FOLDER)
+    assert rows_of(told) == rows_of(got, *told.columns)
