@@ -29,8 +29,9 @@ def untested_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents until the sources have their target weights; a copy is a row."""
-    return mixing.replicate(docs).select(*docs.columns)
+    """Repeats or drops documents until the sources have their target weights; a copy is a row, written at its position."""
+    placed = mixing.replicate(docs)
+    return placed.sortWithinPartitions("position").select(*[placed[f"`{c}`"] for c in docs.columns])
 
 
 def sharded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ equal runs gives shards whose counts differ by one at most and which all have th
 the input, the text among them, are moved: partitions follow each other by shard and slot.
 
 Defined cases: NULL source is a source of its own; NULL text has no bytes and counts as empty; rows that are equal
-in id and text are interchangeable, each gets a slot; with fewer rows than shards the last ones stay empty; an
+in id and text are interchangeable, each gets a slot of its own, spread over the shards like those of other rows; with fewer rows than shards the last ones stay empty; an
 empty table gives no rows; columns of the input named like an output column are replaced.
 """
 
@@ -34,7 +34,10 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, keep: Sequence
         F.col("source").isNull().alias("_none"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
+    )
+    # Equal rows are numbered, else they would have one hash and neighbouring slots.
+    same = Window.partitionBy("_source", "_none", "doc_id", "text_crc32", "size").orderBy(F.lit(0))
+    rows = rows.withColumn("_nth", F.row_number().over(same)).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", "_nth"))
     # A source may hold a third of all rows: its order is cut into parts by the hash.
     rows = rows.withColumn("_part", F.pmod("_h", F.lit(parts)).cast("int"))
     keys = ["_source", "_none", "_part"]
@@ -45,7 +48,7 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, keep: Sequence
         F.coalesce(F.sum("_n").over(source.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_n").over(source).alias("_of"),
     )
-    order = ["_h", "doc_id", "text_crc32", "size"]
+    order = ["_h", "doc_id", "text_crc32", "size", "_nth"]
     ranked = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).join(offsets, keys)
     share = (2 * (F.col("_row") + F.col("_off")) + 1) / (2 * F.col("_of"))
     ranked = ranked.withColumn("_share", share)

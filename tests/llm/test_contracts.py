@@ -231,3 +231,20 @@ def test_sharding_moves_the_texts(documents, tmp_path):
     assert len(spans) > 1 and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
     told = QUERIES["op1_sharding"](documents.sparkSession, FOLDER)
     assert rows_of(told) == rows_of(got, *told.columns)
+
+
+def test_copies_are_spread(spark, tmp_path):
+    """The pipeline's mixture is written in its global order, and copies of a document go to different shards."""
+    rows = [(d, f"text of document {d} " * 20, "b" if d % 10 else "a") for d in range(300)] + [(300, "one", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # Nearly all copies of "c" are of one document.
+    expected = [r[0] for r in mixing.replicate(docs).orderBy("position").select("doc_id").collect()]
+    corpus_pipeline.mixed_documents(spark, docs, FOLDER).coalesce(1).write.parquet(str(tmp_path / "mixed"))
+    got = [r[0] for r in spark.read.parquet(str(tmp_path / "mixed")).select("doc_id").collect()]
+    assert got == expected and len(got) > 250
+    places = [i for i, d in enumerate(got) if d == 300]
+    assert len(places) > 20 and max(places) - min(places) > len(got) // 2 and sum(b - a == 1 for a, b in zip(places, places[1:], strict=False)) < len(places) // 2
+    copies = spark.range(50).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a copy").alias("text"), F.lit("a").alias("source"))
+    more = spark.range(1000, 1750).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("a").alias("source"))
+    shards = sharding.interleave(copies.union(more)).where("doc_id = 7").select("shard", "slot").collect()
+    assert len({(r["shard"], r["slot"]) for r in shards}) == 50 and len({r["shard"] for r in shards}) > 20
