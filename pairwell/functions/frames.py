@@ -112,15 +112,16 @@ def strip_prefixes(df: DataFrame, prefixes: Sequence[str] = ("params.", "metrics
     return df.toDF(*[renames.get(c, c) for c in df.columns])
 
 
-def flatten_json(df: DataFrame, column: str, keys: Sequence[str], depth: int = 3) -> DataFrame:
-    """JSON objects to rows of dotted key and text value; lists stay as text."""
+def flatten_json(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """JSON objects of any depth to rows of dotted key and text value; lists and malformed objects stay as text."""
     entries = lambda c: F.map_entries(F.from_json(c, "map<string,string>"))
     level = df.select(*keys, F.explode(entries(F.col(column))).alias("e")).select(
         *keys, F.col("e.key").alias("key"), F.col("e.value").alias("value")
     )
-    for _ in range(depth - 1):
-        nested = F.when(F.col("value").startswith("{"), entries(F.col("value")))
-        own = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("value").alias("value")))
+    nested = F.when(F.col("value").startswith("{"), entries(F.col("value")))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("value").alias("value")))
+    # Each round removes the outermost braces, so it ends with the deepest object.
+    while not level.where(nested.isNotNull()).isEmpty():
         level = level.select(*keys, "key", F.explode(F.coalesce(nested, own)).alias("e")).select(
             *keys, F.concat_ws(".", "key", "e.key").alias("key"), F.col("e.value").alias("value")
         )

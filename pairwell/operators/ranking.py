@@ -41,10 +41,11 @@ def by_size(df: DataFrame, column: str, tie: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(F.abs(column).desc_nulls_last(), *tie)
 
 
-def best_per_group(df: DataFrame, group: str, column: str, tie: Sequence[str], n: int = 1) -> DataFrame:
-    """Best rows per group; a missing figure counts as -1."""
+def best_per_group(df: DataFrame, group: str, column: str, tie: Sequence[str], n: int | None = 1) -> DataFrame:
+    """Best rows per group, all of them if ``n`` is None; a missing figure counts as -1."""
     w = Window.partitionBy(group).orderBy(F.coalesce(column, F.lit(-1)).desc(), *tie)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    ranked = df.withColumn("rank", F.row_number().over(w))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 def average_ranks(

@@ -63,8 +63,8 @@ def read_results(
 
 
 def best_by_direction(results: DataFrame) -> DataFrame:
-    """Results per direction from the best weighted AUROC down."""
-    return best_per_group(results, "direction", "weighted_auroc", ["splitting", "classifier"], n=1_000)
+    """All results per direction from the best weighted AUROC down."""
+    return best_per_group(results, "direction", "weighted_auroc", ["splitting", "classifier"], n=None)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

@@ -179,3 +179,16 @@ def test_raw_sheet_to_recordings(spark):
     merged = metadata.merge_sources(table, empty, durations)
     assert metadata.validate(merged.withColumns({"height_cm": F.lit(None).cast("double"), "weight_kg": F.lit(None).cast("double"),
         "chunk_start_sec": F.lit(None).cast("double"), "chunk_duration_sec": F.lit(None).cast("double")})).count() == 2
+
+
+def test_flatten_json_of_any_depth(spark):
+    deep = '{"a":{"b":{"c":{"d":{"e":"x"}},"l":[{"m":1}]}},"bad":"{no object","k":"y"}'
+    df = spark.createDataFrame([(1, deep), (2, '{"k":"z"}'), (3, None)], "id int, j string")
+    got = sorted(tuple(r) for r in frames.flatten_json(df, "j", ["id"]).collect())
+    assert got == [(1, "a.b.c.d.e", "x"), (1, "a.b.l", '[{"m":1}]'), (1, "bad", "{no object"), (1, "k", "y"), (2, "k", "z")]
+
+
+def test_best_by_direction_ranks_all_rows(spark):
+    rows = spark.range(1500).select(F.lit("a_to_b").alias("direction"), (F.col("id") / 1500).alias("weighted_auroc"), F.lit("s").alias("splitting"), F.col("id").alias("classifier"))
+    got = tables.best_by_direction(rows)
+    assert sorted(r["rank"] for r in got.collect()) == list(range(1, 1501))
