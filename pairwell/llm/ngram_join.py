@@ -94,8 +94,15 @@ def _counts(gathered: list[np.ndarray]) -> pa.RecordBatch | None:
     return batch_of(["doc_id", "n", "node", "check", "token", "sets"], none, none, none, none, signed(tokens[often]), pa.array(counts[often]))
 
 
-def sketched(seed: int):
-    """Rows of two kinds: (doc_id, n, node, check) for documents and (token, sets) for shingles that repeat in a task."""
+def sketched(seed: int, keyed: bool = False):
+    """Rows of two kinds: (doc_id, n, node, check) for documents and (token, sets) for shingles that repeat in a task.
+
+    ``keyed``: a third column of the input is passed on as ``sha``.
+    """
+
+    def counted(gathered: list[np.ndarray]) -> pa.RecordBatch | None:
+        rows = _counts(gathered)
+        return batch_of([*rows.schema.names, "sha"], *rows.columns, pa.nulls(rows.num_rows, pa.binary())) if keyed and rows is not None else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -112,12 +119,15 @@ def sketched(seed: int):
                     gathered.append(found)
                     size += len(found)
                 if size > 4_000_000:
-                    if (rows := _counts(gathered)) is not None:
+                    if (rows := counted(gathered)) is not None:
                         yield rows
                     gathered, size = [], 0
             none = pa.nulls(len(n), pa.int64())
-            yield batch_of(["doc_id", "n", "node", "check", "token", "sets"], batch.column(0), pa.array(n, pa.int64()), signed(node), signed(check), none, none)
-        if (rows := _counts(gathered)) is not None:
+            names, more = ["doc_id", "n", "node", "check", "token", "sets"], ()
+            if keyed:
+                names, more = [*names, "sha"], (batch.column(2),)
+            yield batch_of(names, batch.column(0), pa.array(n, pa.int64()), signed(node), signed(check), none, none, *more)
+        if (rows := counted(gathered)) is not None:
             yield rows
 
     return run
@@ -240,17 +250,25 @@ def linked(n_a: Column, n_b: Column, common: Column) -> Column:
     return (common > 0) & (100 * common >= PERCENT * (n_a + n_b - common))
 
 
+def whole_hash() -> Column:
+    """SHA-256 of the whole text."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("sha")
+
+
 class Join:
-    """One run over a table of documents."""
+    """One run over a table of documents. ``keyed``: rows are told apart by ``sha``, the hash of the whole text, too."""
 
-    def __init__(self, docs: DataFrame):
-        self.docs = docs
+    def __init__(self, docs: DataFrame, keyed: bool = False):
+        self.docs, self.keyed = docs, keyed
         self.text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
         for self.seed in range(1, 100):
-            both = docs.select(F.col("doc_id").cast("long"), self.text).mapInArrow(sketched(self.seed), "doc_id long, n long, node long, check long, token long, sets long")
+            columns = [F.col("doc_id").cast("long"), self.text] + ([whole_hash()] if keyed else [])
+            schema = "doc_id long, n long, node long, check long, token long, sets long" + (", sha binary" if keyed else "")
+            both = docs.select(*columns).mapInArrow(sketched(self.seed, keyed), schema)
             both = durable(both)
-            self.sets = both.where("token is null").select("doc_id", "n", "node", "check")
-            nodes = self.sets.where("n > 0").groupBy("node").agg(F.min("check").alias("c"), F.max("check").alias("d"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_rows"))
+            self.sets = both.where("token is null").select("doc_id", "n", "node", "check", *(["sha"] if keyed else []))
+            best = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("best")] if keyed else []
+            nodes = self.sets.where("n > 0").groupBy("node").agg(F.min("check").alias("c"), F.max("check").alias("d"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_rows"), *best)
             self.nodes = durable(nodes)
             if self.nodes.where("c != d").isEmpty():
                 break
@@ -296,7 +314,10 @@ class Join:
         return durable(both.mapInArrow(compared, "a long, b long, n_a long, n_b long, common long"))
 
     def run(self) -> DataFrame:
-        """``doc_id, n_shingles, component_id`` for every document."""
+        """``doc_id, n_shingles, component_id`` for every document; if keyed, its ``sha`` and the ``best`` row of its component.
+
+        ``best`` has the smallest id, a NULL id last, then the smallest ``sha``; it is NULL for components of one row.
+        """
         entries = durable(self.index())
         comps = None
         if not entries.isEmpty():
@@ -306,11 +327,15 @@ class Join:
         if comps is not None:
             facts = self.nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         # One row per node; only components of several rows matter below.
-        firsts = facts.groupBy("comp").agg(F.min("first").alias("component"), F.sum("_rows").alias("_all")).where("_all > 1")
-        named = facts.join(firsts, "comp").select("node", "component", "_rows")
-        rows = self.sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-        joined = join_facts(rows, named, "node", "doc_id")
-        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        best = [F.min("best").alias("best")] if self.keyed else []
+        firsts = facts.drop("best").join(facts.groupBy("comp").agg(F.min("first").alias("component"), F.sum("_rows").alias("_all"), *best).where("_all > 1"), "comp")
+        named = firsts.select("node", "component", "_rows", *(["best"] if self.keyed else []))
+        more = ["sha"] if self.keyed else []
+        rows = self.sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), *more)
+        rows = rows.withColumn("_spread", F.xxhash64("doc_id", *more))
+        joined = join_facts(rows, named, "node", "_spread")
+        more = ["sha", "best"] if self.keyed else []
+        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *more)
 
 
 def proposals(entries: DataFrame) -> DataFrame:
@@ -425,17 +450,18 @@ def shingle_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of every component, with all its columns.
+    """One document of every component, with all its columns.
 
-    Rows equal in id and text are one document.
+    It is decided by row, told by id and whole text: an id that other rows hold does not drop them. The row with the
+    smallest id stays, a NULL id comes after all others, and the smallest SHA-256 of the text decides between rows
+    of one id. Rows equal in id (NULL equals NULL) and text are one document.
     """
-    found = Join(docs).run()
-    found = durable(found)
-    rest = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(rest, docs["doc_id"] == rest["_gone"], "left_anti")
-    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice"))
-    if twice.isEmpty():
-        return kept
-    whole = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
-    once = whole.where("doc_id is not null").groupBy("doc_id", "_sha").agg(F.first("_row").alias("_row"))
-    return once.select("_row").union(whole.where("doc_id is null").select("_row")).select("_row.*")
+    found = durable(Join(docs, keyed=True).run())
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("sha") == F.col("best.sha"))
+    rest = found.where(F.col("best").isNotNull() & ~stays).select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_gone_sha")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), whole_hash().alias("_sha"))
+    kept = whole.join(rest, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
+    twice = found.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        kept = kept.groupBy("_id", "_sha").agg(F.first("_row").alias("_row"))
+    return kept.select("_row.*")
