@@ -1,11 +1,12 @@
 """URL filter: explicit rules first, gradient-boosted trees on lexical features for the rest.
 
-The trees learn from the URLs that the rules decide. Features: lengths, depths, digit share, entropy of the
+The trees learn from distinct URLs that the rules decide, a bounded number for each label, weighted so that the labels
+have the shares that they have among all of these URLs. Features: lengths, depths, digit share, entropy of the
 characters, parameters, and statistics of the host's suffix counted over all URLs.
 
 Defined cases: NULL urls and urls without ``://`` have an empty host and path, fit no rule and are judged by the
-trees; equal rows are judged alike; without labelled URLs, or with one label only, that label (allow if none)
-holds for all; an empty table gives no rows; extra columns are ignored.
+trees; equal rows are judged alike; without labelled URLs, or with one label only in all rows, that label (allow
+if none) holds for all; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ RULES = (
     ("net/fr/", "block"),
 )
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: At most so many labelled URLs, those with the smallest hashes, train the trees.
+#: At most so many distinct URLs of each label, those with the smallest hashes, train the trees.
 TRAINING_ROWS = 8000
 FEATURES = ("url_length", "host_length", "host_depth", "path_length", "path_depth", "digit_share", "entropy", "parameters", "suffix_rows", "suffix_blocked")
 
@@ -92,15 +93,20 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, train
         ((F.coalesce(blocked, F.lit(0)) + 1.0) / (F.count("_says") + 2.0)).alias("suffix_blocked"),
     )
     known = lexical(join_facts(rows, suffixes, "_suffix", "page_id"))
-    order = F.xxhash64("_url")
-    labelled = known.where(F.col("_says").isNotNull()).orderBy(order, "page_id").limit(training_rows)
-    sample = durable(labelled.select((F.col("_says") == "block").cast("double").alias("label"), *FEATURES))
-    labels = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    distinct = rows.where(F.col("_says").isNotNull()).select("_url", "host", "path", "_suffix", "_says").distinct()
+    labels = {r["_says"]: r["n"] for r in distinct.groupBy("_says").agg(F.count(F.lit(1)).alias("n")).collect()}
     columns = ("page_id", "host", "path", "rule")
     if len(labels) < 2:
-        return known.select(*columns, F.coalesce("_says", F.lit("block" if 1.0 in labels else "allow")).alias("verdict"))
+        return known.select(*columns, F.coalesce("_says", F.lit("block" if "block" in labels else "allow")).alias("verdict"))
+    sample = None
+    for says, n in sorted(labels.items()):
+        part = distinct.where(F.col("_says") == says).orderBy(F.xxhash64("_url"), "_url").limit(training_rows)
+        part = part.withColumn("weight", F.lit(n / min(n, training_rows)))
+        sample = part if sample is None else sample.union(part)
+    sample = lexical(durable(sample).join(suffixes.drop("_rows"), "_suffix"))
+    sample = durable(sample.orderBy("_url").select((F.col("_says") == "block").cast("double").alias("label"), "weight", *FEATURES))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=10, maxDepth=3, stepSize=0.3, seed=5)
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=10, maxDepth=3, stepSize=0.3, seed=5)
     model = trees.fit(assembler.transform(sample.coalesce(1)))
     judged = model.transform(assembler.transform(known.select(*columns, "_says", *FEATURES)))
     found = F.when(F.col("prediction") == 1.0, F.lit("block")).otherwise(F.lit("allow"))
