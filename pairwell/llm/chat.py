@@ -95,11 +95,26 @@ def read_chats(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", F.flatten(F.transform(F.slice(pieces, 2, F.size(pieces)), turns_of)))
 
 
+def masked_texts(text: Column, mask: Column) -> Column:
+    """The pieces of ``text`` under the runs of ``mask`` with loss, as they stand in it."""
+    none = F.array().cast("array<struct<at:int,chars:int>>")
+    cuts = F.aggregate(
+        mask,
+        F.struct(F.lit(0).alias("at"), none.alias("cuts")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["chars"]).alias("at"),
+            F.when(x["loss"], F.array_append(acc["cuts"], F.struct(acc["at"].alias("at"), x["chars"].alias("chars")))).otherwise(acc["cuts"]).alias("cuts"),
+        ),
+        lambda acc: acc["cuts"],
+    )
+    return F.transform(cuts, lambda c: F.substring(text, c["at"] + 1, c["chars"]))
+
+
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """What a formatted text says when read back: turns, trained texts and lengths."""
+    """What a formatted text says when read back: turns, the texts under the loss mask and lengths."""
     back = read_chats(formatted)
     turns = F.col("turns")
-    learned = F.array_join(F.transform(F.filter(turns, lambda x: x["role"] == LOSS_ROLE), lambda x: x["text"]), "")
+    learned = F.array_join(F.transform(masked_texts(F.col("formatted"), F.col("mask")), unescape), "")
     told = F.array_join(F.transform(turns, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
