@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import chat, decontamination, mixing, ngram_join, private, quality, sharding, substrings, urls, warc
+from pairwell.llm import chat, decontamination, mixing, ngram_join, private, quality, sharding, substrings, turns, urls, warc
 from pairwell.llm.statements import STATEMENTS
 
 
@@ -63,6 +63,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.repair_report(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_chat,
         op10_decontamination,
+        op11_turn_repair,
     )
 }
 
