@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import chat, decontamination, mixing, ngram_join, private, quality, sharding, substrings, turns, urls, warc
+from pairwell.llm import chat, decontamination, mixing, ngram_join, pieces, private, quality, sharding, substrings, turns, urls, variants, warc
 from pairwell.llm.statements import STATEMENTS
 
 
+#: The same file on every machine.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -67,6 +72,14 @@ def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     return turns.repair_report(table(spark, folder, "conversations"))
 
 
+def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(pieces.decode(pieces.encode(table(spark, folder, "documents"), PIECE_MODEL), PIECE_MODEL))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_chat,
         op10_decontamination,
         op11_turn_repair,
+        op12_pieces,
+        op13_spelling_variants,
     )
 }
 

@@ -216,7 +216,7 @@ def test_repeated_rows_and_null_ids(spark, odd):
 
 
 def test_ten_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_sharding_moves_the_texts(documents, tmp_path):
