@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
-
-import numpy as np
-from pyspark.ml import Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.ml.feature import StringIndexer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions import expressions as E
-from pairwell.operators import metrics, sampling, weights
-from pairwell.operators.scan import exact_percentiles
+from pairwell.operators import contracts, metrics, sampling, weights
+from pairwell.operators.scan import exact_percentiles, null_safe_join
+from pairwell.plans import crossfit
+from pairwell.plans.crossfit import Recipe, classifier
+from pairwell.plans.preparation import Preparation, dimension_medians, fit_preparation
 from pairwell.session import durable
 
+__all__ = ["Preparation", "Recipe", "classifier", "dimension_medians", "fit_preparation"]
+
 
 def encode_labels(df: DataFrame, column: str, out: str) -> DataFrame:
     """Index of the label in alphabetical order."""
@@ -51,185 +49,117 @@ def scope_features(df: DataFrame, scope: str, covariates: Sequence[str], keys: S
     return df.select(*keys, *[columns[c].alias(c) for c in scopes[scope]])
 
 
-@dataclass
-class Preparation:
-    """Fitted preprocessing: medians, kept dimensions, scale, and a projection per block."""
-
-    medians: list[float]
-    kept: list[int]
-    mean: list[float]
-    scale: list[float]
-    blocks: list[tuple[list[int], Transformer | None]]
-    sizes: list[int] = field(default_factory=list)
-
-    def scaled(self, vector: Column) -> Column:
-        """Kept dimensions, filled and standardized; the fitted numbers are one array literal."""
-        table = F.array(
-            *[
-                F.struct(F.lit(i).alias("i"), F.lit(self.medians[i]).alias("d"), F.lit(m).alias("m"), F.lit(s).alias("s"))
-                for i, m, s in zip(self.kept, self.mean, self.scale)
-            ]
-        )
-        value = lambda t: F.coalesce(F.nanvl(F.get(vector, t["i"]).cast("double"), F.lit(None).cast("double")), t["d"])
-        return F.transform(table, lambda t: (value(t) - t["m"]) / t["s"])
-
-    def apply(self, df: DataFrame, vector: str, out: str = "features") -> DataFrame:
-        done = df.withColumn("_scaled", self.scaled(F.col(vector)))
-        parts = []
-        for b, (positions, projection) in enumerate(self.blocks):
-            piece = block_slice(positions)
-            if projection is not None:
-                done = projection.transform(done.withColumn("_in", array_to_vector(piece))).drop("_in")
-                done = done.withColumnRenamed("_out", f"_p{b}")
-                piece = vector_to_array(f"_p{b}")
-            parts.append(piece)
-        done = done.withColumn(out, array_to_vector(F.concat(*parts)))
-        return done.drop("_scaled", *[f"_p{b}" for b in range(len(self.blocks))])
-
-
-def block_slice(positions: Sequence[int]) -> Column:
-    """The kept dimensions of a block lie next to each other in the scaled vector."""
-    if not positions:
-        return F.array().cast("array<double>")
-    return F.slice("_scaled", positions[0] + 1, len(positions))
-
-
-def dimension_medians(df: DataFrame, vector: str) -> list[float]:
-    """Exact median of every dimension; one number per dimension reaches the driver."""
-    cells = df.select(F.posexplode(vector).alias("dim", "v"))
-    rows = exact_percentiles(cells, "v", {"m": 0.5}, ["dim"]).orderBy("dim").collect()
-    return [r["m"] for r in rows]
-
-
-def fit_preparation(
-    df: DataFrame,
-    vector: str,
-    block_sizes: Sequence[int],
-    components: Mapping[int, int] = {},
-    weight: str | None = None,
-    minimum_variance: float = 0.01,
-) -> Preparation:
-    """Median fill, variance above a limit, weighted standardization, PCA per block.
-
-    The blocks follow each other in the vector; ``components`` names the blocks to project. A block
-    keeps its columns as they are if it has no more of them than components asked for. Fit this on
-    training rows only.
-    """
-    medians = dimension_medians(df, vector)
-    filled = F.transform(
-        F.col(vector), lambda v, i: F.coalesce(F.nanvl(v.cast("double"), F.lit(None).cast("double")), F.get(F.array(*[F.lit(m) for m in medians]), i))
-    )
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    base = df.select(array_to_vector(filled).alias("v"), w.alias("w"))
-    plain = base.agg(Summarizer.metrics("variance", "count").summary(F.col("v")).alias("s"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww")).first()
-    n = plain["s"]["count"]
-    population = np.array(plain["s"]["variance"].toArray()) * (n - 1) / n
-    kept = [i for i, v in enumerate(population) if v > minimum_variance]
-    if not kept:
-        raise ValueError("no dimension varies enough")
-    weighted = base.agg(Summarizer.metrics("mean", "variance").summary(F.col("v"), F.col("w")).alias("s")).first()["s"]
-    # The summarizer's weighted variance is the reliability-weighted one; turn it into the population form.
-    sw, sww = plain["sw"], plain["sww"]
-    variance = weighted["variance"].toArray() * (sw - sww / sw) / sw
-    scale = [float(np.sqrt(variance[i])) or 1.0 for i in kept]
-    mean = [float(weighted["mean"].toArray()[i]) for i in kept]
-    edges = np.cumsum([0, *block_sizes])
-    blocks: list[tuple[list[int], Transformer | None]] = []
-    prepared = Preparation(medians, kept, mean, scale, blocks)
-    ready = df.withColumn("_scaled", prepared.scaled(F.col(vector)))
-    for b in range(len(block_sizes)):
-        positions = [p for p, i in enumerate(kept) if edges[b] <= i < edges[b + 1]]
-        wanted = components.get(b)
-        projection = None
-        if wanted is not None and positions and wanted < min(len(positions), n):
-            projection = PCA(k=wanted, inputCol="_in", outputCol="_out").fit(
-                ready.select(array_to_vector(block_slice(positions)).alias("_in"))
-            )
-        blocks.append((positions, projection))
-        prepared.sizes.append(wanted if projection is not None else len(positions))
-    return prepared
-
-
-def classifier(name: str, seed: int = 42, weight: str | None = None):
-    """Spark ML classifier by name."""
-    extra = {} if weight is None else {"weightCol": weight}
-    if name == "LogisticRegression":
-        return LogisticRegression(labelCol="y", standardization=False, maxIter=1000, **extra)
-    if name == "RandomForestClassifier":
-        return RandomForestClassifier(labelCol="y", seed=seed, **extra)
-    if name == "GBTClassifier":
-        return GBTClassifier(labelCol="y", seed=seed, **extra)
-    raise ValueError(f"unsupported classifier {name}")
-
-
-def grid_for(learner, grid: Mapping[str, Sequence]) -> list:
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(learner.getParam(name), list(values))
-    return builder.build()
-
-
-def grouped_search(train: DataFrame, learner, grid: Mapping[str, Sequence], person: str, folds: int, seed: int, parallelism: int = 4):
-    """Grid search whose inner folds keep the rows of a person together."""
-    inner = durable(sampling.grouped_folds(train.drop("_inner"), person, ["y"], folds, seed, "_inner"))
-    evaluator = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC", numBins=0)
-    search = CrossValidator(
-        estimator=learner, estimatorParamMaps=grid_for(learner, grid), evaluator=evaluator, numFolds=folds,
-        foldCol="_inner", parallelism=parallelism,
-    )
-    return search.fit(inner)
-
-
 def nested_predictions(
     samples: DataFrame,
     person: str,
     label: str,
-    vector: str,
-    block_sizes: Sequence[int],
-    name: str = "LogisticRegression",
+    recipe: Recipe,
     grid: Mapping[str, Sequence] | None = None,
-    components: Mapping[int, int] = {},
     outer: int = 5,
-    inner: int = 3,
+    inner: int = 5,
     repeats: int = 1,
+    inner_repeats: int = 1,
+    scorer: str = "auroc",
     strategy: str = "flat",
+    age: str | None = None,
+    sex: str | None = None,
+    alpha: float = 0.2,
     seed: int = 42,
+    parallelism: int = 4,
 ) -> DataFrame:
-    """Out-of-fold scores of grouped nested cross-validation, with the tuned threshold per fold.
+    """``person, y, score, fold, threshold, candidate``: test scores of grouped nested cross-validation.
 
-    The loop runs over the few outer folds; inside, fitting and scoring are Spark jobs.
+    In every outer fold candidates are searched over inner folds of the training persons, the best one is fitted on
+    all training rows, and a threshold is taken from out-of-fold scores of the training rows under population weights
+    (by ``age`` and ``sex``). No person is on both sides of a split, which is checked; persons with two labels are an error.
     """
     base = samples.withColumn("y", F.col(label).cast("int"))
-    folds = durable(sampling.repeated_folds(base, person, ["y"], outer, repeats, seed).select(person, "fold"))
-    out = None
+    folds = durable(sampling.repeated_folds(base, person, ["y"], outer, repeats, seed).select(person, "repeat", "fold"))
+    crossfit.check_folds(base, folds, person, "y")
+    placed = durable(base.drop("fold", "repeat").join(folds, person))
+    candidates = crossfit.expand(grid)
+    parts = []
     for fold in range(1, outer * repeats + 1):
-        repeat = (fold - 1) // outer
-        mine = folds.where(F.floor((F.col("fold") - 1) / outer) == repeat)
-        placed = base.join(mine, person)
-        train, test = placed.where(F.col("fold") != fold), placed.where(F.col("fold") == fold)
-        train = durable(weights.fold_weights(train, strategy, "y", person, "w"))
-        prepared = fit_preparation(train, vector, block_sizes, components, "w")
-        fitted = durable(prepared.apply(train, vector))
-        learner = classifier(name, seed, "w")
-        model = grouped_search(fitted, learner, grid, person, inner, seed + fold).bestModel if grid else learner.fit(fitted)
-        probability = lambda df: model.transform(df).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
-        own = probability(fitted).select("y", "score", "w")
-        threshold = metrics.threshold_at_fpr(metrics.roc_points(own, "y", "score", "w"))
-        scored = probability(prepared.apply(test, vector)).select(person, "y", "score").withColumns(
-            {"fold": F.lit(fold), "threshold": threshold.select("threshold").scalar()}
-        )
-        out = scored if out is None else out.unionByName(scored)
-    return out
+        mine = placed.where(F.col("repeat") == (fold - 1) // outer)
+        train, test = mine.where(F.col("fold") != fold).drop("fold", "repeat"), mine.where(F.col("fold") == fold)
+        train = durable(weights.fold_weights(train, strategy, "y", person, "w", **({} if age is None else {"age": age, "sex": sex})))
+        keep = [c for c in (age, sex) if c]
+        chosen, params = 0, candidates[0]
+        if len(candidates) > 1:
+            found = crossfit.search(train, person, recipe, candidates, inner, inner_repeats, scorer, seed + fold, keep, parallelism)
+            chosen, params, own = found.best, found.params, found.out_of_fold()
+        else:
+            own = crossfit.out_of_fold(train, person, recipe, params, inner, seed + fold, keep, parallelism)
+        own = crossfit.population_weights(own, age, sex)
+        threshold = crossfit.threshold_from_scores(own, "population_weight", "fpr", alpha)
+        model = recipe.fit(train, params)
+        scored = crossfit.scored(model, test.withColumn("w", F.lit(1.0)), [person, "y"])
+        parts.append(scored.withColumns({"fold": F.lit(fold), "threshold": threshold.select("threshold").scalar(), "candidate": F.lit(chosen)}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def transfer(
-    train: DataFrame, test: DataFrame, person: str, label: str, vector: str, block_sizes: Sequence[int],
-    name: str = "LogisticRegression", components: Mapping[int, int] = {}, strategy: str = "class_only", seed: int = 42,
-) -> DataFrame:
-    """Train on one cohort, score another; scores are pooled per person of the test cohort."""
-    ready = durable(weights.fold_weights(train.withColumn("y", F.col(label).cast("int")), strategy, "y", person, "w"))
-    prepared = fit_preparation(ready, vector, block_sizes, components, "w")
-    model = classifier(name, seed, "w").fit(prepared.apply(ready, vector))
-    scored = model.transform(prepared.apply(test.withColumn("y", F.col(label).cast("int")), vector))
-    scored = scored.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
-    return scored.groupBy(person).agg(F.max("y").alias("y"), F.avg("score").alias("score"))
+    train: DataFrame,
+    test: DataFrame,
+    person: str,
+    label: str,
+    recipe: Recipe,
+    grid: Mapping[str, Sequence] | None = None,
+    inner: int = 5,
+    inner_repeats: int = 3,
+    scorer: str = "auroc",
+    strategy: str = "ps_overlap",
+    age: str | None = None,
+    sex: str | None = None,
+    replicates: int = 2000,
+    seed: int = 42,
+    parallelism: int = 4,
+) -> tuple[DataFrame, DataFrame]:
+    """Train on one cohort, judge on another: (pooled scores of the test persons, one row of figures).
+
+    Candidates are searched on the training cohort, the threshold with the best weighted balanced accuracy comes from
+    its out-of-fold scores. Figures are AUROC, AUROC under population weights and balanced accuracy at the threshold,
+    each with a percentile interval over plain resamples of the test persons; one-class resamples are skipped.
+    """
+    covariates = {} if age is None else {"age": age, "sex": sex}
+    ready = durable(weights.fold_weights(train.withColumn("y", F.col(label).cast("int")), strategy, "y", person, "w", **covariates))
+    judged = test.withColumn("y", F.col(label).cast("int"))
+    contracts.require_empty(contracts.label_conflicts(judged, person, "y"), "persons with several labels")
+    candidates = crossfit.expand(grid)
+    best, params, mean = 0, candidates[0], F.lit(None).cast("double")
+    if len(candidates) > 1:
+        found = crossfit.search(ready, person, recipe, candidates, inner, inner_repeats, scorer, seed, (), parallelism)
+        best, params, own = found.best, found.params, found.out_of_fold()
+        mean = found.means.where(F.col("candidate") == best).select("mean_value").scalar()
+    else:
+        own = crossfit.out_of_fold(ready, person, recipe, params, inner, seed, parallelism=parallelism)
+    threshold = crossfit.threshold_from_scores(own, "w", "balanced_accuracy").select("threshold").scalar()
+    model = recipe.fit(ready, params)
+    scored = crossfit.scored(model, judged.withColumn("w", F.lit(1.0)), [person, "y", *covariates.values()])
+    facts = [F.max(c).alias(c) for c in covariates.values()]
+    pooled = scored.groupBy(person).agg(F.max("y").alias("y"), F.avg("score").alias("score"), *facts)
+    pooled = durable(crossfit.population_weights(pooled, age, sex).withColumn("threshold", threshold))
+    return pooled, transfer_figures(pooled, person, replicates, seed).withColumns({"candidate": F.lit(best), "search_value": mean})
+
+
+def transfer_figures(pooled: DataFrame, person: str, replicates: int, seed: int = 42) -> DataFrame:
+    """One row: the figures of ``transfer`` from pooled scores with ``population_weight`` and ``threshold``.
+
+    The resamples are drawn once; every figure is computed per replicate from the same multiplicities.
+    """
+    drawn = durable(sampling.bootstrap(pooled, person, replicates, (), seed).join(pooled, person))
+    # Replicate 0 is the cohort itself.
+    rows = durable(drawn.unionByName(pooled.withColumns({"b": F.lit(0), "m": F.lit(1).cast("long")})).withColumn("mw", F.col("m") * F.col("population_weight")))
+    plain = metrics.auroc(rows, "y", "score", "m", ["b"], out="auroc")
+    weighted = metrics.auroc(rows, "y", "score", "mw", ["b"], out="weighted_auroc")
+    cells = metrics.confusion(rows, "y", (F.col("score") >= F.col("threshold")).cast("int"), "m", ["b"])
+    accuracy = metrics.rates(cells.where("tp + fn > 0 and fp + tn > 0")).select("b", "balanced_accuracy")
+    figures = durable(null_safe_join(null_safe_join(plain, weighted, ["b"]), accuracy, ["b"]))
+    names = ["auroc", "weighted_auroc", "balanced_accuracy"]
+    long = figures.where("b > 0").unpivot(["b"], names, "figure", "v")
+    limits = exact_percentiles(long, "v", {"lo": 0.025, "hi": 0.975}, ["figure"], bounds=[])
+    ends = limits.agg(*[F.max(F.when(F.col("figure") == n, F.col(e))).alias(f"{n}_{e}") for n in names for e in ("lo", "hi")])
+    out = ends
+    for n in names:
+        out = out.withColumn(n, figures.where("b = 0").select(n).scalar())
+    return out.withColumns({"threshold": pooled.agg(F.max("threshold").alias("t")).scalar(), "n_test": pooled.agg(F.count(F.lit(1)).alias("n")).scalar()})
