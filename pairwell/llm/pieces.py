@@ -4,8 +4,8 @@ The library finds the pieces. Which bytes of the text a piece stands for is told
 more with a record of where each byte comes from: at every place the longest prefix that the model's compiled
 character map knows is replaced, and the bytes of the replacement are aligned with the start of that prefix. Spaces
 become the space mark, a leading mark is added and white space is trimmed as the model says. The pieces of a text,
-joined, are its normalised text, which is checked for every text; their ends in it, looked up in the alignment, are
-the byte spans.
+joined, are its normalised text; that they are as long is checked for every text. Their ends in it, looked up in the
+alignment, are the byte spans.
 
 A character that the model spells in bytes has its span at its last byte; the bytes before have empty spans.
 
@@ -21,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,21 +164,27 @@ class Model:
         )
         self.pieces = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.encode() for p in proto.pieces]
         self.lengths = np.array([len(p) for p in self.pieces])
-        self.unknown = self.processor.unk_id()
+        self.unknown, self.bytes_known = self.processor.unk_id(), proto.trainer_spec.byte_fallback
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, starts, ends) of each text: its pieces and their byte spans in it."""
+        for text, ids in zip(texts, self.processor.encode(texts, num_threads=1, return_type="numpy") if texts else [], strict=True):
+            ids = np.asarray(ids, np.int32)
+            yield ids, *self.spans(text, ids)
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, starts, ends): the pieces of a text and their byte spans in it."""
-        ids = self.processor.encode(text)
+        return next(self.encode_all([text]))
+
+    def spans(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         normal, places = self.normalise(text)
-        pieces, lengths = [self.pieces[i] for i in ids], self.lengths[ids] if ids else np.zeros(0, np.int64)
-        if self.unknown in ids:
+        lengths = self.lengths[ids]
+        if not self.bytes_known and (ids == self.unknown).any():
             # An unknown piece stands for the characters themselves.
-            pieces = [b if i != self.unknown else s.encode() for i, b, s in zip(ids, pieces, self.processor.encode(text, out_type=str), strict=True)]
-            lengths = np.array([len(p) for p in pieces])
-        if b"".join(pieces) != normal:
-            raise ValueError("the pieces are not the normalised text")
+            lengths = np.array([self.lengths[i] if i != self.unknown else len(s.encode()) for i, s in zip(ids, self.processor.encode(text, out_type=str), strict=True)])
         ends = np.cumsum(lengths)
-        return np.array(ids, np.int32), places[ends - lengths], places[ends]
+        if len(normal) != (ends[-1] if len(ends) else 0):
+            raise ValueError("the pieces are not as long as the normalised text")
+        return places[ends - lengths], places[ends]
 
 
 @cache
@@ -201,7 +208,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for low, high in chunks([len(t) for t in texts]):
-                found = [m.encode(t) for t in texts[low:high]]
+                found = list(m.encode_all(texts[low:high]))
                 columns = [lists_of([f[i] for f in found]) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *columns], names=["doc_id", "ids", "starts", "ends"])
 
@@ -214,9 +221,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = model(path).processor
         for batch in batches:
-            ids = [x or [] for x in batch.column(1).to_pylist()]
-            for low, high in chunks([4 * len(x) for x in ids]):
-                texts = [processor.decode(x) if x else "" for x in ids[low:high]]
+            lists = batch.column(1)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
+            for low, high in chunks((4 * np.diff(bounds)).tolist()):
+                texts = [processor.decode(ids[a:b]) if a < b else "" for a, b in zip(bounds[low:high], bounds[low + 1 : high + 1], strict=True)]
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
