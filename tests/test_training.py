@@ -74,7 +74,7 @@ def test_labels_are_numbered_alphabetically(spark):
 def test_every_person_is_scored_once_and_by_a_model_that_never_saw_it(spark):
     df, _, _ = vectors(spark, 60, 3)
     samples = df.select(F.floor(F.col("id") / 2).alias("person"), "v", (F.floor(F.col("id") / 2) % 3 == 0).cast("int").alias("label"))
-    out = training.nested_predictions(samples, "person", "label", "v", [5], outer=2).toPandas()
+    out = training.nested_predictions(samples, "person", "label", training.Recipe("LogisticRegression", "v", (5,)), outer=2, inner=2).toPandas()
     assert len(out) == 60 and set(out.fold) == {1, 2}
     assert (out.groupby("person").fold.nunique() == 1).all()
     assert out.score.between(0, 1).all()
