@@ -19,9 +19,30 @@ from pyspark.sql import functions as F
 
 from pairwell.llm.common import buckets_for, positions
 
+#: A bound on what is broadcast to find copies; with more of them, more rows are moved once more.
+BUCKETS = 1 << 20
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """Add ``_nth``, different for rows that are equal in source, id and text: else they would have one hash and neighbouring slots.
+
+    Equal rows are found by counting hashes. Only rows in the buckets of hashes that occur several times, of which there are
+    at most ``BUCKETS``, are moved for it; the others are numbered 0 where they are. Copies are numbered within the input
+    partition that they come from, so no task gets all copies of a row, in an order that is the same when a task is repeated.
+    """
+    equal = F.xxhash64("_source", "_none", "doc_id", "text_crc32", "size")
+    bucket = F.pmod(equal, F.lit(BUCKETS)).cast("int")
+    several = rows.groupBy(equal.alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = several.select(F.pmod("_key", F.lit(BUCKETS)).cast("int").alias("_bucket")).distinct().withColumn("_copied", F.lit(True))
+    marked = rows.withColumn("_bucket", bucket).join(F.broadcast(buckets), "_bucket", "left").drop("_bucket")
+    single = marked.where("_copied is null").withColumn("_nth", F.lit(0).cast("long"))
+    copies = marked.where("_copied").withColumn("_from", F.spark_partition_id())
+    same = Window.partitionBy("_source", "_none", "doc_id", "text_crc32", "size", "_from").orderBy(F.xxhash64(F.to_json("kept")))
+    copies = copies.withColumn("_nth", F.row_number().over(same) + F.shiftleft(F.col("_from").cast("long"), 32)).drop("_from")
+    return single.unionByName(copies).drop("_copied")
+
+
 def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, keep: Sequence[str] | None = None) -> DataFrame:
     """``doc_id``, the columns ``keep`` (all, if None) and size, text_crc32, law, shard, slot, grown_shard for every row."""
     parts = buckets_for(docs)
@@ -35,9 +56,7 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, keep: Sequence
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    # Equal rows are numbered, else they would have one hash and neighbouring slots.
-    same = Window.partitionBy("_source", "_none", "doc_id", "text_crc32", "size").orderBy(F.lit(0))
-    rows = rows.withColumn("_nth", F.row_number().over(same)).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", "_nth"))
+    rows = numbered_copies(rows).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", "_nth"))
     # A source may hold a third of all rows: its order is cut into parts by the hash.
     rows = rows.withColumn("_part", F.pmod("_h", F.lit(parts)).cast("int"))
     keys = ["_source", "_none", "_part"]
