@@ -18,7 +18,7 @@ def rows_of(spark, n=90, seed=5, persons=60):
     return spark.createDataFrame(out, "person int, y int, w double, v array<double>").repartition(4)
 
 
-def folds_of(rows, k=3, repeats=2):
+def folds_of(rows, k=2, repeats=1):
     from pairwell.operators import sampling
 
     return sampling.repeated_folds(rows, "person", ["y"], k, repeats, 1)
@@ -26,7 +26,7 @@ def folds_of(rows, k=3, repeats=2):
 
 def test_every_row_is_scored_once_in_each_repeat(spark):
     rows = rows_of(spark)
-    scores = crossfit.cross_fit(rows, "person", folds_of(rows), TWO, [{"C": 0.1}, {"C": 10.0}])
+    scores = crossfit.cross_fit(rows, "person", folds_of(rows, 2, 2), TWO, [{"C": 0.1}, {"C": 10.0}])
     counts = scores.groupBy("candidate", "repeat").count().collect()
     assert len(counts) == 4 and all(r["count"] == 90 for r in counts)
     assert scores.groupBy("person", "repeat").agg(F.countDistinct("fold").alias("n")).where("n > 1").isEmpty()
@@ -35,7 +35,7 @@ def test_every_row_is_scored_once_in_each_repeat(spark):
 def test_leaks_and_conflicting_labels_raise(spark):
     rows = rows_of(spark)
     folds = folds_of(rows)
-    twice = folds.union(folds.limit(1).withColumn("fold", F.col("fold") % 3 + 1))
+    twice = folds.union(folds.limit(1).withColumn("fold", F.col("fold") % 2 + 1))
     with pytest.raises(ContractError, match="both sides"):
         crossfit.cross_fit(rows, "person", twice, TWO, [{}])
     with pytest.raises(ContractError, match="without a fold"):
@@ -78,11 +78,11 @@ def plain(scorer, rows):
 
 def test_scorers_equal_the_stored_scores(spark):
     rows = rows_of(spark)
-    found = crossfit.search(rows, "person", TWO, crossfit.expand({"C": [0.001, 1.0]}), 3, 2, "auroc")
+    found = crossfit.search(rows, "person", TWO, crossfit.expand({"C": [0.001, 1.0]}), 2, 1, "auroc")
     table = found.scores.collect()
     for scorer in crossfit.SCORERS:
         values = {(r["candidate"], r["fold"]): r["value"] for r in crossfit.fold_values(found.scores, scorer).collect()}
-        assert len(values) == 12
+        assert len(values) == 4
         for (candidate, fold), value in values.items():
             mine = [r for r in table if (r["candidate"], r["fold"]) == (candidate, fold)]
             assert value == pytest.approx(plain(scorer, mine), abs=1e-9), scorer
@@ -95,7 +95,7 @@ def test_scorers_equal_the_stored_scores(spark):
 
 def test_first_of_equal_candidates_and_undefined_folds(spark):
     rows = rows_of(spark)
-    assert crossfit.search(rows, "person", TWO, [{"C": 1.0}, {"C": 1.0}], 3).best == 0
+    assert crossfit.search(rows, "person", TWO, [{"C": 1.0}, {"C": 1.0}], 2).best == 0
     assert crossfit.expand({"a": [1, 2], "b": [3, 4]}) == [{"a": 1, "b": 3}, {"a": 1, "b": 4}, {"a": 2, "b": 3}, {"a": 2, "b": 4}]
     scores = spark.createDataFrame([(0, 1, 1, 1.0, 0.9), (0, 2, 0, 1.0, 0.1), (1, 1, 1, 1.0, 0.9), (1, 1, 0, 1.0, 0.2)], "candidate int, fold int, y int, w double, score double")
     means = {r["candidate"]: r["mean_value"] for r in crossfit.candidate_means(scores, "auroc").collect()}
@@ -138,7 +138,7 @@ def test_preparation_as_a_pipeline_stage(spark):
 
 def test_transfer_figures(spark):
     rows = rows_of(spark)
-    pooled, figures = training.transfer(rows.where("person < 30"), rows.where("person >= 30"), "person", "y", TWO, {"C": [0.1, 1.0]}, 3, 1, strategy="class_only", replicates=50)
+    pooled, figures = training.transfer(rows.where("person < 30"), rows.where("person >= 30"), "person", "y", TWO, None, 2, 1, strategy="class_only", replicates=50)
     got, table = figures.collect()[0], pooled.collect()
     assert got["n_test"] == len(table) == 30
     plain_rows = [{"y": r["y"], "w": 1.0, "score": r["score"]} for r in table]
