@@ -49,6 +49,9 @@ LARGE = 32
 CELLS = 16
 PARTNERS = 32
 PAIRS_PER_LINK = 100
+#: So many rows of two numbers at most are broadcast; a head is dealt out from so many pairs on.
+SMALL = 1 << 20
+PAIRS_OF_HEAD = 5_000
 #: 2^19 words of 64 bits say which nodes are needed: a fixed size; errors only send more.
 BITMAP_WORDS = 1 << 19
 
@@ -184,8 +187,10 @@ def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     which a task sees a part, all stay.
     """
     held: pa.RecordBatch | None = None
+    told = 0  # so many rows of ``held`` are out already and only stand beside what follows
 
-    def kept(rows: pa.RecordBatch) -> pa.RecordBatch:
+    def kept(rows: pa.RecordBatch, start: int, stop: int) -> pa.RecordBatch:
+        """What stays of the rows from ``start`` to ``stop``."""
         token, part, node, n, _ = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         if not len(token):
             return rows
@@ -195,23 +200,24 @@ def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, part, node, n = token[one], part[one], node[one], n[one].astype(np.int64)
         near = np.zeros(len(token) + 1, dtype=bool)
         near[1:-1] = (token[1:] == token[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
-        return rows.take(pa.array(one[near[1:] | near[:-1] | (part > 0)]))
+        stay = one[near[1:] | near[:-1] | (part > 0)]
+        return rows.take(pa.array(stay[(stay >= start) & (stay < stop)]))
 
     for batch in batches:
         rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         token = rows.column(0).to_numpy()
         last = int(np.flatnonzero(token != token[-1])[-1]) + 1 if len(token) and token[0] != token[-1] else 0
-        # The last list may go on in the next batch; one that outgrows a batch is cut with its last entry kept back.
+        # The last list may go on in the next batch; of one that outgrows a batch, the last two rows are kept back.
         if last == 0 and len(token) > 200_000:
-            out = kept(rows)
-            held = rows.slice(len(token) - 1)
-            yield out
+            yield kept(rows, told, len(token) - 1)
+            held, told = rows.slice(len(token) - 2), 1
             continue
         held = rows.slice(last)
         if last:
-            yield kept(rows.slice(0, last))
+            yield kept(rows.slice(0, last), told, last)
+            told = 0
     if held is not None:
-        yield kept(held)
+        yield kept(held, told, held.num_rows)
 
 
 def arrays_of(seed: int, words: np.ndarray):
@@ -290,27 +296,39 @@ class Join:
         """The index lists with something to compare, written once."""
         entries = self.docs.select(self.text).mapInArrow(postings_of(self.seed, self.ranked, self.levels, self.salted), "token long, part int, node long, n int, pos int")
         dealt = entries.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
-        kept = durable(dealt.mapInArrow(shared_lists, "token long, part int, node long, n int, pos int"))
+        kept = durable(dealt.mapInArrow(shared_lists, "token long, part int, node long, n int, pos int").select("token", "node", "n", "pos"))
         size = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
-        # Rows of one node in a hot list may stem from several tasks.
-        return kept.select("token", "node", "n", "pos", size.alias("sb")).dropDuplicates(["token", "node"])
+        return kept.withColumn("sb", size)
 
     def arrays(self, entries: DataFrame) -> DataFrame:
-        """``node, shingles`` of the nodes in the index."""
-        wanted = durable(entries.select("node").distinct())
+        """``node, shingles`` of the nodes in the index, where their texts are: a node comes once from a task that has it.
+
+        They are stored without a shuffle; ``compare`` moves the ones that it needs.
+        """
+        wanted = entries.select("node").distinct()
         bit = F.shiftrightunsigned("node", 39)
         words = wanted.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(node, 39) & 63L as int))")).alias("bits"))
         rows = words.toPandas()
         table = np.zeros(BITMAP_WORDS, np.uint64)
         table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-        found = self.docs.select(self.text).mapInArrow(arrays_of(self.seed, table), "node long, shingles binary")
-        return durable(found.dropDuplicates(["node"]).join(wanted, "node", "left_semi"))
+        return durable(self.docs.select(self.text).mapInArrow(arrays_of(self.seed, table), "node long, shingles binary"))
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """Exact overlaps of pairs (a, b)."""
-        a = self.sets_of.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        b = self.sets_of.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "x", "y")
+        """Exact overlaps of pairs (a, b). The shingles of ``a`` go to those of ``b``, which are dealt out if many pairs ask for them.
+
+        Up to ``SMALL`` pairs are broadcast, so that only shingles of their nodes are moved; more are joined by shuffles.
+        """
+        pairs = durable(pairs.select("a", "b"))
+        near = F.broadcast if pairs.count() <= SMALL else lambda df: df
+        heads = durable(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_OF_HEAD).cast("int").alias("parts")))
+        asked = pairs.join(near(heads), "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
+        x = self.sets_of.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(near(asked), "a")
+        y = self.sets_of.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(near(heads), "b")
+        y = y.select("b", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        # Several tasks may hold a node.
+        x = x.repartition("b", "part").dropDuplicates(["b", "part", "a"])
+        y = y.repartition("b", "part").dropDuplicates(["b", "part"])
+        both = x.join(y, ["b", "part"]).select("a", "b", "x", "y")
         return durable(both.mapInArrow(compared, "a long, b long, n_a long, n_b long, common long"))
 
     def run(self) -> DataFrame:
@@ -318,7 +336,7 @@ class Join:
 
         ``best`` has the smallest id, a NULL id last, then the smallest ``sha``; it is NULL for components of one row.
         """
-        entries = durable(self.index())
+        entries = self.index()
         comps = None
         if not entries.isEmpty():
             self.sets_of = self.arrays(entries)
@@ -429,7 +447,9 @@ def components_of_all(join: Join, entries: DataFrame) -> DataFrame | None:
         if links:
             edges = new.select("a", "b") if edges is None else edges.union(new.select("a", "b"))
             comps = components(edges)
-            known = durable(entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+            small = comps.count() <= SMALL
+            known = entries.join(F.broadcast(comps) if small else comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            known = known if small else durable(known)
         # One head for each list until that finds nothing, then cells.
         if turn:
             enough = links * PAIRS_PER_LINK < max(found.count(), 1)
