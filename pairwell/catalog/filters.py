@@ -286,6 +286,17 @@ def sorted_people(t):
     return ranking.by_size(ranking.stable_sort(p, ["flag_c", "age", "person_id"]), "balance", ["person_id"])
 
 
+@query("W3", "select person_id, flag_c, age, row_number() over (order by flag_c nulls last, age nulls last, person_id) - 1 as position from {persons}")
+def positions_in_stable_order(t):
+    return ranking.sort_positions(t.persons.select("person_id", "flag_c", "age"), ["flag_c", "age", "person_id"], "position")
+
+
+@query("W5", "select person_id, balance, row_number() over (order by abs(balance) desc nulls last, person_id) - 1 as position from {persons}")
+def positions_by_absolute_value(t):
+    order = [F.abs("balance").desc_nulls_last(), F.col("person_id").asc_nulls_last()]
+    return ranking.sort_positions(t.persons.select("person_id", "balance"), order, "position")
+
+
 @query("W4", "select run_id, round(wauroc, 6) as wauroc from {runs} order by wauroc desc nulls last, run_id limit 10")
 def top_runs(t):
     return rounded(ranking.top_n(t.runs.select("run_id", "wauroc"), "wauroc", 10, ["run_id"]))
@@ -294,10 +305,10 @@ def top_runs(t):
 @query(
     "W6",
     """select classifier_name, run_id, round(wauroc, 6) as wauroc, row_number() over (partition by classifier_name order by coalesce(wauroc, -1) desc, run_id) as rank
-       from {runs} qualify rank <= 3""",
+       from {runs}""",
 )
 def best_per_direction(t):
-    best = ranking.best_per_group(t.runs, "classifier_name", "wauroc", ["run_id"], 3)
+    best = ranking.best_per_group(t.runs, "classifier_name", "wauroc", ["run_id"], None)
     return rounded(best.select("classifier_name", "run_id", "wauroc", "rank"))
 
 

@@ -124,7 +124,7 @@ def label_swapped_matching(t):
 
 
 AGE_PAIRS_SQL = """with recursive cs as (select sex, row_number() over (partition by sex order by age, person_id) as ord, person_id as cid, age as ca from {persons} where label = 1),
-ct as (select sex, person_id as kid, age as ka from {persons} where label = 0 and person_id % 4 = 0),
+ct as (select sex, person_id as kid, age as ka from {persons} where label = 0),
 step(sex, n, cid, ca, picked, used) as (
   select distinct sex, 0::bigint, null::bigint, null::int, []::bigint[], []::bigint[] from {persons}
   union all
@@ -137,14 +137,13 @@ select step.sex, cid as case_id, picked[1] as control_id, ca::double as case_age
 
 @query("M9", AGE_PAIRS_SQL)
 def nearest_age_pairs(t):
-    people = t.persons.where("label = 1 or person_id % 4 = 0")
-    return matching.age_pairs(people, "sex", "age", "label", "person_id", 5)
+    return matching.age_pairs(t.persons, "sex", "age", "label", "person_id", 5)
 
 
 @query("M10")
 def matching_ratio_sweep(t):
     spec = MatchSpec(caliper=0.2, exact=("sex",), covariates=("flag_a",), age_squared=False)
-    return rounded(matched_cohort.ratio_sweep(t.persons, spec, [1, 2, 3]))
+    return rounded(matched_cohort.ratio_sweep(t.persons, spec, [1, 2, 3, 4, 5, 6, 7, 8, 10]))
 
 
 SMD_SQL = """sm(phase, covariate, smd) as (

@@ -191,17 +191,17 @@ def bootstrap_comparison(t):
 
 @query(
     "X6",
-    "with " + BOOT_SQL.replace("REPS", "100").replace("STRATUM", "'_all_'") + ", " + boot_auroc_sql("p", "a1")
+    "with " + BOOT_SQL.replace("REPS", "2000").replace("STRATUM", "'_all_'") + ", " + boot_auroc_sql("p", "a1")
     + " select count(*) as n, round(quantile_cont(a1, 0.025), 6) as lo, round(quantile_cont(a1, 0.975), 6) as hi from a1",
 )
 def plain_bootstrap_interval(t):
-    draws = sampling.bootstrap_auroc(pooled_persons(t), "person_id", "y", ["p"], "w", 100, stratified=False)
+    draws = sampling.bootstrap_auroc(pooled_persons(t), "person_id", "y", ["p"], "w", 2000, stratified=False)
     return rounded(sampling.interval(draws, "p"))
 
 
 @query(
     "E12",
-    "with " + BOOT_SQL.replace("REPS", "100").replace("STRATUM", "'_all_'") + """, th(threshold) as (values (0.35), (0.4), (0.45)),
+    "with " + BOOT_SQL.replace("REPS", "2000").replace("STRATUM", "'_all_'") + """, th(threshold) as (values (0.35), (0.4), (0.45)),
     r as (select threshold, b, sum(case when y = 1 and p >= threshold then m end) / sum(case when y = 1 then m end) as tpr,
       coalesce(sum(case when y = 0 and p >= threshold then m end), 0) / sum(case when y = 0 then m end) as fpr from bs, th group by all),
     ba as (select threshold, (coalesce(tpr, 0) + 1 - fpr) / 2 as v from r)
@@ -209,7 +209,7 @@ def plain_bootstrap_interval(t):
 )
 def threshold_sweep_intervals(t):
     persons = pooled_persons(t)
-    return rounded(evaluation.threshold_sweep(persons, "person_id", "y", "p", [0.35, 0.4, 0.45], 100))
+    return rounded(evaluation.threshold_sweep(persons, "person_id", "y", "p", [0.35, 0.4, 0.45], 2000))
 
 
 @query(

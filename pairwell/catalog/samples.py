@@ -52,11 +52,11 @@ def chunked_data_report(t):
 
 @query(
     "X7",
-    f"""with s as (select person_id, sex, label, g.b, {HASH.format(seed="('42|' || g.b)", unit="person_id")} as h from {{persons}}, range(1, 51) g(b))
+    f"""with s as (select person_id, sex, label, g.b, {HASH.format(seed="('42|' || g.b)", unit="person_id")} as h from {{persons}}, range(1, 501) g(b))
         select person_id, sex, label, cast(b as int) as b from s qualify row_number() over (partition by b, sex, label order by h, person_id) <= 3""",
 )
 def stratified_holdouts(t):
-    return sampling.holdouts(t.persons, "person_id", ["sex", "label"], 3, 50)
+    return sampling.holdouts(t.persons, "person_id", ["sex", "label"], 3, 500)
 
 
 @query(
@@ -102,23 +102,24 @@ def overlapping_chunks(t):
 
 @query(
     "X12",
-    """with poem as (select * from {recordings} where recording_category = 'poem' and chunk_number is null),
+    """with poem as (select * from {recordings} where recording_category = 'poem'),
        o as (select audio_id, cast(floor(max(price) / 10) as bigint) as ms from poem group by audio_id), """
     + chunk_sql(6000, 0, "o", "audio_id")
-    + """, base as (select audio_id, date, longitudinal, data_source from poem qualify row_number() over (partition by audio_id order by date, rec_no) = 1),
-       ch as (select audio_id, date, longitudinal, data_source, cast(n as int) as chunk_number, s / 1000.0 as st, ((case when merged and n = m then ms else e end) - s) / 1000.0 as du from ok join tail on tk = audio_id join base using (audio_id)),
-       og as (select audio_id, date, longitudinal, data_source from poem qualify row_number() over (partition by audio_id, date order by rec_no) = 1)
-       select audio_id, date, longitudinal, data_source, null::int as chunk_number, false as is_chunked, null::double as chunk_start_sec, null::double as chunk_duration_sec, null::bigint as recording_identifier from og
-       union all select audio_id, date, longitudinal, data_source, chunk_number, true, st::double, du::double,
-         cast('0x' || substr(md5(audio_id || '_poem_' || date || '_chunk' || chunk_number), 1, 8) as bigint) from ch""",
+    + """, base as (select audio_id, rec_no, date, longitudinal, data_source from poem qualify row_number() over (partition by audio_id order by date, rec_no) = 1),
+       ch as (select audio_id, rec_no, date, longitudinal, data_source, cast(n as int) as chunk_number, s / 1000.0 as st, ((case when merged and n = m then ms else e end) - s) / 1000.0 as du from ok join tail on tk = audio_id join base using (audio_id)),
+       al as (select 0 as o, audio_id, rec_no, recording_category, date, longitudinal, data_source, chunk_number, false as is_chunked, null::double as chunk_start_sec, null::double as chunk_duration_sec,
+           null::bigint as recording_identifier from {recordings}
+         union all select 1, audio_id, rec_no, 'poem', date, longitudinal, data_source, chunk_number, true, st::double, du::double,
+           cast('0x' || substr(md5(audio_id || '_poem_' || date || '_chunk' || chunk_number), 1, 8) as bigint) from ch)
+       select * exclude (o) from al qualify row_number() over (partition by audio_id, recording_category, date, chunk_number order by o, date, rec_no) = 1""",
 )
 def append_chunk_rows(t):
-    poem = t.recordings.where("recording_category = 'poem' and chunk_number is null")
+    poem = t.recordings.where("recording_category = 'poem'")
     durations = poem.groupBy("audio_id").agg(F.floor(F.max("price") / 10).alias("ms"))
     chunks = sampling.chunk_plan(durations, ["audio_id"], "ms", 6000)
-    table = poem.select("rec_no", "audio_id", "recording_category", "date", "longitudinal", "data_source")
+    table = t.recordings.select("rec_no", "audio_id", "recording_category", "date", "longitudinal", "data_source", "chunk_number")
     full = sampling.append_chunks(table, chunks, ["date", "rec_no"])
     return full.select(
-        "audio_id", "date", "longitudinal", "data_source", "chunk_number", "is_chunked", "chunk_start_sec",
+        "audio_id", "rec_no", "recording_category", "date", "longitudinal", "data_source", "chunk_number", "is_chunked", "chunk_start_sec",
         "chunk_duration_sec", "recording_identifier",
     )

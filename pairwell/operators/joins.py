@@ -141,13 +141,20 @@ def fold_membership_differences(left: DataFrame, right: DataFrame, fold: str, pe
 def gather(samples: DataFrame, ids: str, vectors: DataFrame, vector_id: str, vector: str, sample: str, out: str):
     """Vectors of an ordered id list as one flat array per sample, in the order of the list.
 
-    Samples are bounded lists of recordings, so the arrays are built inside their own group.
+    An id without a vector is an error, raised where the sample is computed; ``missing_ids`` lists them all beforehand. A
+    sample with an empty or NULL list has an empty vector. Samples are bounded lists of recordings, so the arrays are
+    built inside their own group.
     """
     wide = samples.select(sample, F.posexplode(ids).alias("pos", vector_id))
-    found = wide.join(vectors.select(vector_id, vector), vector_id)
-    rows = found.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct("pos", vector))).alias("_r"))
-    flat = F.flatten(F.transform("_r", lambda s: s[vector]))
-    return samples.join(rows.select(sample, flat.alias(out)), sample)
+    known = vectors.select(vector_id, F.struct(F.col(vector).alias("v")).alias("_known"))
+    found = wide.join(known, vector_id, "left")
+    lost = F.raise_error(F.concat(F.lit(f"no vector for {vector_id} "), F.coalesce(F.col(vector_id).cast("string"), F.lit("NULL"))))
+    # The struct is NULL only where the join found nothing.
+    present = F.when(F.col("_known").isNull(), lost.cast(known.schema["_known"].dataType)).otherwise(F.col("_known"))
+    rows = found.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct("pos", present["v"].alias("v")))).alias("_r"))
+    flat = F.flatten(F.transform("_r", lambda s: s["v"]))
+    gathered = samples.join(rows.select(sample, flat.alias(out)), sample, "left")
+    return gathered.withColumn(out, F.coalesce(F.col(out), F.array().cast(vectors.schema[vector].dataType)))
 
 
 def missing_ids(samples: DataFrame, ids: str, vectors: DataFrame, vector_id: str, sample: str) -> DataFrame:
@@ -197,14 +204,18 @@ def original_sets(
     recordings: DataFrame, persons: DataFrame, categories: Sequence[str], order: Sequence[str],
     person: str = "audio_id", category: str = "recording_category",
 ) -> DataFrame:
-    """First recording per person and category, with its identifier as if it had no chunk."""
+    """First recording per person and category, with its identifier as if it had no chunk.
+
+    A person without one of the categories is an error, raised where its row is computed.
+    """
     wanted = persons.select(person).distinct().withColumn(
         category, F.explode(F.array(*[F.lit(c) for c in categories]))
     )
     first = keep_first(recordings.where(F.col(category).isin(*categories)), [person, category], order)
     rows = wanted.join(first.select(person, category, "date"), [person, category], "left")
+    lost = F.raise_error(F.concat(F.lit("no recording "), F.col(category), F.lit(" of "), F.col(person).cast("string"))).cast("bigint")
     return rows.withColumn(
-        "recording_identifier", F.when(F.col("date").isNotNull(), E.recording_identifier(F.col(person), F.col(category), F.col("date")))
+        "recording_identifier", F.when(F.col("date").isNull(), lost).otherwise(E.recording_identifier(F.col(person), F.col(category), F.col("date")))
     )
 
 

@@ -22,7 +22,6 @@ import heapq
 import math
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ from pairwell.operators.scan import cumulate, global_positions, largest_group, m
 from pairwell.session import durable
 
 MAX_ROWS = 200_000
+#: The holder of a control that no case has: later than every case. Ids and orders are whole numbers throughout.
+FREE = (1 << 63) - 1
 
 
 def with_stratum(df: DataFrame, exact: Sequence[str]) -> DataFrame:
@@ -98,10 +99,10 @@ def settle_piece(piece: pd.DataFrame, k: int, age_caliper: float | None) -> pd.D
     u = controls["u"].tolist()
     ids = controls["id"].tolist()
     ages = controls["age"].tolist()
-    holder = controls["holder"].fillna(np.inf).tolist()
+    holder = [FREE if pd.isna(h) else int(h) for h in controls["holder"].tolist()]
     before = list(holder)
     total = len(z)
-    exhausted: list[tuple[float, int]] = []
+    exhausted: list[tuple[int, int]] = []
     # Controls held by earlier cases than the present one stay closed to all later ones, so whole
     # runs of them can be skipped: next open position to the right and to the left.
     right_of = list(range(total + 1))
@@ -149,7 +150,7 @@ def settle_piece(piece: pd.DataFrame, k: int, age_caliper: float | None) -> pd.D
             for du, _, i in heapq.merge(*sides):
                 yield gap, du, i
 
-    closing = sorted((h, i) for i, h in enumerate(holder) if h < np.inf)
+    closing = sorted((h, i) for i, h in enumerate(holder) if h < FREE)
     closed_to = 0
     for order, case_id, x, v, age, need in zip(
         cases["ord"].tolist(), cases["id"].tolist(), cases["z"].tolist(), cases["u"].tolist(),
@@ -179,8 +180,8 @@ def settle_piece(piece: pd.DataFrame, k: int, age_caliper: float | None) -> pd.D
             close(i)
         if len(taken) < need and not stuck and outside[0] > caliper:
             exhausted.append((order, case_id))
-    rows = [(False, ids[i], float(h)) for i, h in enumerate(holder) if h != before[i]]
-    rows += [(True, case_id, float(order)) for order, case_id in exhausted]
+    rows = [(False, ids[i], h) for i, h in enumerate(holder) if h != before[i]]
+    rows += [(True, case_id, int(order)) for order, case_id in exhausted]
     return pd.DataFrame(rows, columns=["is_case", "id", "holder"])
 
 
@@ -197,26 +198,26 @@ def greedy_match(
     """Pairs ``(case_id, control_id, stratum, distance)`` of exact greedy 1:k matching.
 
     ``df`` needs ``stratum``, ``logit_ps`` and ``caliper``; ids are unique longs and ``order`` is a
-    unique number that says in which order cases choose (default: the id).
+    unique whole number that says in which order cases choose (default: the id).
     """
     order = order or id_column
     rows = df.select(
         "stratum",
         (F.col(label) == 1).alias("is_case"),
         F.col(id_column).cast("long").alias("id"),
-        F.col(order).cast("double").alias("ord"),
+        F.col(order).cast("long").alias("ord"),
         F.col("logit_ps").cast("double").alias("z"),
         (F.col(age).cast("double") if age in df.columns else F.lit(0.0)).alias("age"),
         F.col("caliper").cast("double").alias("caliper"),
     )
     layout = _relative_positions(rows, "ord", "id")
     if largest_group(rows, ["stratum"]) <= max_rows:
-        play = layout.withColumns({"holder": F.lit(None).cast("double"), "need": F.lit(k)})
+        play = layout.withColumns({"holder": F.lit(FREE).cast("long"), "need": F.lit(k)})
         changes = _settle(_whole_pieces(play), k, age_caliper)
         held = changes.where("not is_case").select("stratum", F.col("id").alias("control_id"), F.col("holder").alias("ord"))
         control_z = rows.where("not is_case").select(F.col("id").alias("control_id"), F.col("z").alias("_zc"))
         return _with_distance(held.join(control_z, "control_id"), rows)
-    state = durable(layout.withColumns({"holder": F.lit(None).cast("double"), "done": F.lit(False)}))
+    state = durable(layout.withColumns({"holder": F.lit(FREE).cast("long"), "done": F.lit(False)}))
     piece_rows, shifted = max_rows, False
     while True:
         placed = _rows_in_play(state, k)
@@ -231,13 +232,13 @@ def greedy_match(
             state = durable(
                 state.join(news, ["stratum", "is_case", "id"], "left").withColumns(
                     {
-                        "holder": F.when(~F.col("is_case"), F.least("holder", "_new")),
+                        "holder": F.when(F.col("is_case"), F.col("holder")).otherwise(F.least("holder", "_new")),
                         "done": F.col("done") | (F.col("is_case") & F.col("_new").isNotNull()),
                     }
                 ).drop("_new")
             )
         shifted = not shifted
-    taken = state.where("not is_case and holder is not null").select(
+    taken = state.where(f"not is_case and holder < {FREE}").select(
         "stratum", F.col("holder").alias("ord"), F.col("id").alias("control_id"), F.col("z").alias("_zc")
     )
     return _with_distance(taken, state)
@@ -245,7 +246,7 @@ def greedy_match(
 
 def _rows_in_play(state: DataFrame, k: int) -> DataFrame:
     """Cases that still want controls and controls they could get, with their position in the stratum."""
-    held = state.where("not is_case and holder is not null").groupBy("stratum", F.col("holder").alias("ord")).agg(
+    held = state.where(f"not is_case and holder < {FREE}").groupBy("stratum", F.col("holder").alias("ord")).agg(
         F.count(F.lit(1)).alias("held")
     )
     wanting = (
@@ -256,7 +257,7 @@ def _rows_in_play(state: DataFrame, k: int) -> DataFrame:
         .drop("held", "done")
     )
     earliest = wanting.groupBy("stratum").agg(F.min("ord").alias("_first"))
-    gettable = measured_join(state.where("not is_case"), earliest, ["stratum"]).where("holder is null or holder > _first")
+    gettable = measured_join(state.where("not is_case"), earliest, ["stratum"]).where("holder > _first")
     play = wanting.unionByName(gettable.drop("_first", "done").withColumn("need", F.lit(0)))
     return global_positions(play, ["stratum"], ["z", "u", "is_case", "id"], "pos")
 
@@ -278,7 +279,7 @@ def _settle(pieces: DataFrame, k: int, age_caliper: float | None) -> DataFrame:
         changed.insert(0, "stratum", key[0])
         return changed
 
-    schema = "stratum string, is_case boolean, id long, holder double"
+    schema = "stratum string, is_case boolean, id long, holder long"
     return pieces.groupBy("stratum", "piece").applyInPandas(settle, schema)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwell.operators.scan import cumulate, global_positions, null_safe_join, numbered
@@ -33,6 +33,14 @@ def stable_sort(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
 
 
+def sort_positions(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
+    """The place of every row in an order without ties, from 0; a name stands for ascending with NULLs last.
+
+    Rows are range-partitioned and counted per partition, so the order of a table of any size is data that can be stored.
+    """
+    return global_positions(df, [], order, out)
+
+
 def top_n(df: DataFrame, column: str, n: int, tie: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(F.col(column).desc_nulls_last(), *tie).limit(n)
 
@@ -42,10 +50,15 @@ def by_size(df: DataFrame, column: str, tie: Sequence[str] = ()) -> DataFrame:
 
 
 def best_per_group(df: DataFrame, group: str, column: str, tie: Sequence[str], n: int | None = 1) -> DataFrame:
-    """Best rows per group, all of them if ``n`` is None; a missing figure counts as -1."""
-    w = Window.partitionBy(group).orderBy(F.coalesce(column, F.lit(-1)).desc(), *tie)
-    ranked = df.withColumn("rank", F.row_number().over(w))
-    return ranked if n is None else ranked.where(F.col("rank") <= n)
+    """Best rows per group, all of them if ``n`` is None; a missing figure counts as -1.
+
+    A limit is applied before rows are shuffled; without one, groups of any size are numbered in parts.
+    """
+    order = [F.coalesce(column, F.lit(-1)).desc(), *tie]
+    if n is None:
+        return numbered(df, [group], order, "rank")
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ranked.where(F.col("rank") <= n)
 
 
 def average_ranks(

@@ -106,12 +106,23 @@ def test_parallel_lists_must_have_one_length(spark):
 
 def test_gather_keeps_the_order_and_reports_gaps(spark):
     vectors = spark.createDataFrame([(1, [1.0, 1.5]), (2, [2.0, 2.5])], "vid int, v array<double>")
-    samples = spark.createDataFrame([("s", [2, 1]), ("t", [1, 9])], "s string, ids array<int>")
-    got = {r.s: r.out for r in joins.gather(samples, "ids", vectors, "vid", "v", "s", "out").collect()}
-    assert got["s"] == [2.0, 2.5, 1.0, 1.5]
+    samples = spark.createDataFrame([("s", [2, 1]), ("t", [1, 9]), ("u", [])], "s string, ids array<int>")
+    gather = lambda df: {r.s: r.out for r in joins.gather(df, "ids", vectors, "vid", "v", "s", "out").collect()}
+    assert gather(samples.where("s != 't'")) == {"s": [2.0, 2.5, 1.0, 1.5], "u": []}
+    with pytest.raises(Exception, match="no vector for vid 9"):
+        gather(samples)
     assert [(r.s, r.vid) for r in joins.missing_ids(samples, "ids", vectors, "vid", "s").collect()] == [("t", 9)]
 
 
+def test_original_sets_need_every_category(spark):
+    rows = [(1, "a", "2025-01-02", 1), (1, "o", "2025-01-03", 2), (2, "a", "2025-01-04", 3)]
+    table = spark.createDataFrame(rows, "audio_id int, recording_category string, date string, no int")
+    sets = lambda df: joins.original_sets(table, df, ["a", "o"], ["date"]).collect()
+    assert len(sets(table.where("audio_id = 1"))) == 2
+    with pytest.raises(Exception, match="no recording o of 2"):
+        sets(table)
+
+
 def test_file_names(spark, tmp_path):
     for name in ["12_a.wav", "12_poem_20250203.wav", "12_a_20251399.wav", "notes.txt", "12345_a.wav"]:
         (tmp_path / name).write_bytes(b"x")

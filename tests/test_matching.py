@@ -159,3 +159,13 @@ def test_swapped_matching_restores_labels(spark):
     assert all(labels[i] == y for i, y in zip(got.person_id, got.label))
     # Each pair has one control and up to two cases, since the rare controls chose.
     assert (got[got.label == 0].groupby("pair_id").size() == 1).all()
+
+
+def test_ids_beyond_double_precision(spark):
+    """Ids that differ only below the precision of a double are different cases."""
+    base = 1 << 60
+    rows = [(base + i, int(i < 3), "s", 0.5 * (i % 3), 0.4, 40.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "person_id long, label int, stratum string, logit_ps double, caliper double, age double")
+    got = {(r.case_id, r.control_id) for r in matching.greedy_match(df, 1).collect()}
+    assert got == {(base + i, base + i + 3) for i in range(3)}
+    assert got == {(r.case_id, r.control_id) for r in matching.greedy_match(df, 1, max_rows=4).collect()}
