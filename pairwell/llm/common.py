@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwell.session import durable
+from pairwell.session import durable, scratch_path
 
 #: Bytes that end a word: space and the controls 9 to 13 for plain words; all ASCII but a-z and 0-9 for
 #: normalised words (texts are lower-cased first).
@@ -118,6 +118,19 @@ def positions(df: DataFrame, share: Column, order: Sequence[Column], out: str, t
     return joined.withColumn(out, F.col("_p_row") + F.col("_p_off")).drop("_p_cut", "_p_task", "_p_row", "_p_off")
 
 
+class Written:
+    """A table written below the shared folder: cuts the plan as a checkpoint does, compressed, and can be dropped when it is no longer read."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, name)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 HOT_SHARE = 1000
 SALTS = 64
 

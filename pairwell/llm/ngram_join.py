@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import PLAIN, Words, chunks, join_facts, mixed, run_hashes
+from pairwell.llm.common import PLAIN, Words, Written, chunks, join_facts, mixed, run_hashes
 from pairwell.llm.components import components
 from pairwell.session import durable
 
@@ -50,7 +50,7 @@ CELLS = 16
 PARTNERS = 32
 PAIRS_PER_LINK = 100
 #: So many rows of two numbers at most are broadcast; a head is dealt out from so many pairs on.
-SMALL = 1 << 20
+SMALL = 1 << 18
 PAIRS_OF_HEAD = 5_000
 #: 2^19 words of 64 bits say which nodes are needed: a fixed size; errors only send more.
 BITMAP_WORDS = 1 << 19
@@ -296,7 +296,7 @@ class Join:
         """The index lists with something to compare, written once."""
         entries = self.docs.select(self.text).mapInArrow(postings_of(self.seed, self.ranked, self.levels, self.salted), "token long, part int, node long, n int, pos int")
         dealt = entries.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
-        kept = durable(dealt.mapInArrow(shared_lists, "token long, part int, node long, n int, pos int").select("token", "node", "n", "pos"))
+        kept = Written(dealt.mapInArrow(shared_lists, "token long, part int, node long, n int, pos int").select("token", "node", "n", "pos"), "index").df
         size = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
         return kept.withColumn("sb", size)
 
@@ -437,7 +437,7 @@ def components_of_all(join: Join, entries: DataFrame) -> DataFrame | None:
     """``node, comp`` of all nodes with links, or None."""
     edges = comps = leaders = None
     known = entries.withColumn("comp", F.col("node"))
-    turn, enough = 0, False
+    turn, enough, kept = 0, False, None
     while not enough:
         found = join.compare(cell_proposals(known, comps, turn) if turn else proposals(known))
         new = found.where(linked(F.col("n_a"), F.col("n_b"), F.col("common")))
@@ -447,17 +447,20 @@ def components_of_all(join: Join, entries: DataFrame) -> DataFrame | None:
         if links:
             edges = new.select("a", "b") if edges is None else edges.union(new.select("a", "b"))
             comps = components(edges)
-            small = comps.count() <= SMALL
-            known = entries.join(F.broadcast(comps) if small else comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            known = known if small else durable(known)
+            near = F.broadcast(comps) if comps.count() <= SMALL else comps
+            before, kept = kept, Written(entries.join(near, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "entries")
+            known = kept.df
+            if before is not None:
+                before.drop()
         # One head for each list until that finds nothing, then cells.
         if turn:
             enough = links * PAIRS_PER_LINK < max(found.count(), 1)
         else:
             enough = comps is None
         turn += int(turn > 0 or links == 0)
-    last = derived(join, open_pairs(known), leaders)
-    last = durable(last)
+    last = durable(derived(join, open_pairs(known), leaders))
+    if kept is not None:
+        kept.drop()
     if not last.isEmpty():
         edges = last if edges is None else edges.union(last)
         comps = components(edges)
