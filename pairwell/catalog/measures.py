@@ -28,6 +28,7 @@ def weighted_auroc_by_language(t):
     weighted = weights.strata_weights(t.persons.select("person_id", "label", "age", "sex"), "label", "age", "sex", "sw")
     rows = t.predictions.join(weighted.select("person_id", "sw"), "person_id")
     value = metrics.auroc(rows, "truth", "score", "sw", ["language"], value_bounds(t.predictions, "score"), "weighted_auroc")
+    # One row for each language, from the few columns that it needs.
     counts = t.predictions.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
     return rounded(null_safe_join(value, counts, ["language"]))
 
@@ -146,6 +147,20 @@ def score_age_correlation(t):
     return rounded(metrics.score_age_correlation(t.predictions, "truth", "score", "age", "person_id", "fold"))
 
 
+AGE_CUM = cumulated_sql("aged", "truth", "age", "weight", "fold")
+
+
+@query(
+    "E13 J6",
+    "with aged as (select fold, person_id, truth, weight, p.age::double as age from (select fold, person_id, truth, weight from {predictions}) join (select person_id, age from {persons}) p using (person_id)), "
+    + AGE_CUM + " select fold, round(sum(wp * (nb + wn / 2)) / (sum(wp) * sum(wn)), 6) as auroc from cum group by fold",
+)
+def covariate_scores(t):
+    """Age in place of the score, on the same folds and weights."""
+    aged = evaluation.covariate_as_score(t.predictions.drop("age"), t.persons.select("person_id", "age"), "person_id", "age", "score")
+    return rounded(metrics.auroc(aged, "truth", "score", "weight", ["fold"]))
+
+
 BOOT_SQL = """people as (select person_id, max(truth) as y, avg(score) as p, avg(weight) as w, max(age) as age from {predictions} group by 1),
 h as (select *, STRATUM as s, cast('0x' || substr(md5('42|' || person_id), 1, 15) as bigint) as h from people),
 rk as (select *, row_number() over (partition by s order by h, person_id) - 1 as r, count(*) over (partition by s) as n from h),

@@ -18,6 +18,14 @@ def csv_round_trip(t):
     return rounded(back.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("mean")), 4)
 
 
+@query("S11", "select c_mktsegment, count(*) as n, count(c_name) as named, round(sum(c_acctbal) / count(*), 4) as mean from customer group by 1")
+def json_round_trip(t):
+    path = scratch_path(t.spark, "json")
+    tables.write_json(t.customer, path)
+    back = t.spark.read.schema("c_custkey long, c_name string, c_acctbal double, c_mktsegment string").json(path)
+    return rounded(back.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count("c_name").alias("named"), F.avg("c_acctbal").alias("mean")), 4)
+
+
 @query("S2 J11", "select l_returnflag, count(*) as n, sum(l_quantity) as quantity from lineitem group by 1")
 def indexed_csv_union(t):
     path = scratch_path(t.spark, "semicolon")

@@ -78,14 +78,6 @@ COARSE_SHARES = (0.361, 0.341, 0.298)
 SHARE_FEMALE = 0.463
 SHARE_MALE = 0.537
 
-# Comorbidity groups and the sheet columns that make them up.
-COMORBIDITY_GROUPS = {
-    "breathing": ["Schlafapnoe", "Adipositas"],
-    "metabolic": ["Arterielle Hypertonie", "Diabetes Mellitus II"],
-    "depression": ["Depression"],
-    "hypothyreose": ["Hypothyreose"],
-}
-
 # Run-name scopes without voice features, acoustic families, table rows and columns.
 DEMOGRAPHIC_SCOPES = ["age_sex_only", "comorbidity_only", "age_sex_comorbidity"]
 FEATURE_FAMILIES = ["all_features", "basic_acoustics", "egemaps", "spectral", "temporal"]

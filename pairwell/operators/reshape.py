@@ -146,10 +146,6 @@ def token_counts(df: DataFrame, column: str, separator: str = ",") -> DataFrame:
     return df.select(tokens).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-
-
 def explode_parallel(df: DataFrame, keys: Sequence[str], lists: Sequence[str], names: Sequence[str]) -> DataFrame:
     """List columns side by side, with their position; lists of unequal length are an error."""
     first = F.size(lists[0])

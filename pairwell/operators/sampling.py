@@ -135,14 +135,6 @@ def interval(replicated: DataFrame, column: str, alpha: float = 0.05) -> DataFra
     return exact_percentiles(replicated, column, {"lo": alpha / 2, "hi": 1 - alpha / 2}, bounds=[])
 
 
-def paired_difference(replicated: DataFrame, a: str, b: str) -> DataFrame:
-    """Interval of the difference on common resamples and the share of replicates above zero."""
-    with_diff = replicated.withColumn("_d", F.col(a) - F.col(b)).where("_d is not null")
-    limits = exact_percentiles(with_diff, "_d", {"diff_lo": 0.025, "diff_median": 0.5, "diff_hi": 0.975}, bounds=[])
-    share = with_diff.agg(F.avg((F.col("_d") > 0).cast("double")).alias("s")).scalar()
-    return limits.withColumn("frac_diff_gt0", share)
-
-
 def quantile_placement(df: DataFrame, column: str, value: float) -> DataFrame:
     """5/25/50/75/95 % points, mean, and where a fixed value falls in the distribution."""
     points = exact_percentiles(df, column, {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95})

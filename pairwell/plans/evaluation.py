@@ -73,16 +73,6 @@ def compare_scores(
     return named.withColumn("diff", F.col("auroc") - F.col("comparator_auroc"))
 
 
-def group_audit(predictions: DataFrame, metadata: DataFrame, person: str, group: str, truth: str, predicted: str) -> dict[str, DataFrame]:
-    """Subgroup tables: accuracy, confusion cells and the distribution of predictions per group."""
-    joined = predictions.join(metadata.select(person, group), person)
-    return {
-        "accuracy": reshape.accuracy(joined, truth, predicted, [group]),
-        "confusion": reshape.confusion_matrix(joined, truth, predicted, [0, 1], [group]),
-        "predictions": reshape.crosstab(joined, group, predicted),
-    }
-
-
 def covariate_as_score(predictions: DataFrame, covariate: DataFrame, person: str, column: str, score: str) -> DataFrame:
     """The same predictions with a raw covariate in place of the score; persons without it go."""
     joined = joins.map_values(predictions.drop(score), covariate, person, column)
@@ -98,6 +88,4 @@ def threshold_sweep(
     rows = drawn.select("b", "m", label, score, steps)
     cells = metrics.confusion(rows, label, (F.col(score) >= F.col("threshold")).cast("int"), "m", ["threshold", "b"])
     kept = metrics.rates(cells.where("tp + fn > 0 and fp + tn > 0"))
-
-
     return exact_percentiles(kept, "balanced_accuracy", {"lo": 0.025, "hi": 0.975}, ["threshold"])
