@@ -137,8 +137,8 @@ def models_sql(n: str, train: str, test: str, costs: str, keys: str = "m") -> st
       from {test} t join md{n} {on} join ms{n} {on} join newton{n} {on} where i = 10)"""
 
 
-COSTS = {"C": [0.001, 0.1, 10.0]}
-COSTS_SQL = "values (0.001::double), (0.1), (10.0)"
+COSTS = {"C": [0.0001, 0.003, 10.0]}
+COSTS_SQL = "values (0.0001::double), (0.003), (10.0)"
 #: The folds outside one, and the one, with the rows of all folds of its repeat.
 CROSS_SQL = """train as (select o.fold as m, r.* from rows r join folds f using (id) join (select distinct repeat, fold from folds) o on o.repeat = f.repeat and o.fold <> f.fold),
 test as (select f.fold as m, r.*, f.repeat from rows r join folds f using (id))"""
@@ -159,7 +159,7 @@ vals as (select 'auroc' as scorer, c, m, sum(wp * (nb + wn / 2)) / (sum(wp) * su
     "L4 L3 X2",
     "with recursive " + PEOPLE_SQL + ", " + weighted_sql("rows", "base") + ", " + folds_sql("folds", "base", 3, 2) + ", " + CROSS_SQL + ", "
     + models_sql("1", "train", "test", COSTS_SQL) + ", " + VALUES_SQL
-    + " select scorer, cast(case c when 0.001 then 0 when 0.1 then 1 else 2 end as int) as candidate, round(avg(v), 5) as mean_value, count(*) as folds from vals group by scorer, c",
+    + " select scorer, cast(case c when 0.0001 then 0 when 0.003 then 1 else 2 end as int) as candidate, round(avg(v), 5) as mean_value, count(*) as folds from vals group by scorer, c",
 )
 def weighted_scorer_search(t):
     """All scorers of a search over repeated folds, from one table of stored scores."""
@@ -183,9 +183,14 @@ def own_scores(t):
     return crossfit.out_of_fold(rows, "person_id", TWO, {"C": 0.1}, 5, keep=["age", "sex", "b"])
 
 
-@query("L6", "with recursive " + OUT_OF_FOLD_SQL + " select id as person_id, b, m as fold, round(w, 5) as w, round(score, 5) as score from score1")
+@query("L6", "with recursive " + OUT_OF_FOLD_SQL + """ select m as fold, age, count(*) as n, round(sum(w) / count(*), 5) as w, round(sum(score) / count(*), 4) as score, round(sum(score * b) / count(*), 3) as score_b
+       from score1 group by m, age""")
 def cross_fitted_scores(t):
-    return rounded(own_scores(t).select("person_id", "b", "fold", "w", "score"), 5)
+    """Every row once, scored by the model of the other folds; summed up by fold and age, since fits agree to some digits only."""
+    means = own_scores(t).groupBy("fold", "age").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("w"), 5).alias("w"), F.round(F.avg("score"), 4).alias("score"), F.round(F.avg(F.col("score") * F.col("b")), 3).alias("score_b")
+    )
+    return means.select("fold", "age", "n", "w", "score", "score_b")
 
 
 THRESHOLD_SQL = """ select round(threshold, 5) as threshold, round(fpr, 5) as fpr, round(tpr, 5) as tpr from (
@@ -213,7 +218,7 @@ def cross_fitted_threshold(t):
     test as (select o * 100 + f.fold as m, r.* from rows r join folds f using (o, id)), """
     + models_sql("1", "train", "test", COSTS_SQL) + ", " + cumulated_sql("score1", "y", "score", "w", "c, m")
     + """, best as (select o, c from (select cast(floor(m / 100) as int) as o, c, avg(v) as v from (select c, m, sum(wp / pt * (pt - pb) / (pt - pb + nt - nb)) as v from cum group by c, m) group by 1, c)
-      qualify row_number() over (partition by o order by v desc, c) = 1),
+      qualify row_number() over (partition by o order by round(v, 9) desc, c) = 1),
     final as (select o as m, * exclude (o) from rows), held as (select f.fold as m, r.*, 1.0 as w from base r join outer_ f using (id)), """
     + models_sql("2", "final", "held", COSTS_SQL)
     + """, own as (select s.*, best.o as oo from score1 s join best on s.o = best.o and s.c = best.c),
@@ -231,7 +236,7 @@ def cross_fitted_threshold(t):
       where fpr <= 0.2 qualify row_number() over (partition by oo order by round(tpr, 10) desc, threshold desc) = 1),
     held2 as (select s.* from score2 s join best on s.m = best.o and s.c = best.c), """
     + cumulated_sql("held2", "y", "score", "1.0", "m").replace("mass", "mass3").replace("cum as", "cum3 as")
-    + """ select cast(m as int) as fold, cast(case best.c when 0.001 then 0 when 0.1 then 1 else 2 end as int) as candidate, round(threshold, 5) as threshold,
+    + """ select cast(m as int) as fold, cast(case best.c when 0.0001 then 0 when 0.003 then 1 else 2 end as int) as candidate, round(threshold, 5) as threshold,
       round(sum(wp * (nb + wn / 2)) / (sum(wp) * sum(wn)), 5) as auroc from cum3 join best on best.o = m join th on oo = m group by m, best.c, threshold""",
 )
 def nested_logistic_validation(t):
@@ -255,7 +260,7 @@ def cohort_boot_sql(replicates: int) -> str:
     "with recursive " + PEOPLE_SQL + ", " + weighted_sql("rows", "(select * from base where id % 2 = 0)") + ", " + folds_sql("folds", "rows", 5, 3) + ", " + CROSS_SQL + ", "
     + models_sql("1", "train", "test", COSTS_SQL) + ", " + cumulated_sql("score1", "y", "score", "w", "c, m")
     + """, means as (select c, avg(v) as v from (select c, m, sum(wp * (nb + wn / 2)) / (sum(wp) * sum(wn)) as v from cum group by c, m) group by c),
-    best as (select c, v from means order by v desc, c limit 1), own as (select s.* from score1 s join best using (c) where repeat = 0), """
+    best as (select c, v from means order by round(v, 9) desc, c limit 1), own as (select s.* from score1 s join best using (c) where repeat = 0), """
     + cumulated_sql("own", "y", "score", "w").replace("mass", "mass2").replace("cum as", "cum2 as")
     + """, th as (select score as threshold from cum2 order by round((pt - pb) / pt + 1 - (nt - nb) / nt, 10) desc, score desc limit 1),
     final as (select 1 as m, * from rows), held as (select 1 as m, *, 1.0 as w from base where id % 2 = 1), """
@@ -269,7 +274,7 @@ def cohort_boot_sql(replicates: int) -> str:
     f3 as (select b, (sum(case when y = 1 and score >= threshold then mult else 0 end) / sum(case when y = 1 then mult end)
       + sum(case when y = 0 and score < threshold then mult else 0 end) / sum(case when y = 0 then mult end)) / 2 as z from bs, th group by b),
     fg as (select * from f1 join f2 using (b) left join f3 using (b))
-    select (select cast(case c when 0.001 then 0 when 0.1 then 1 else 2 end as int) from best) as candidate, (select round(v, 5) from best) as search_value, (select round(threshold, 5) from th) as threshold,
+    select (select cast(case c when 0.0001 then 0 when 0.003 then 1 else 2 end as int) from best) as candidate, (select round(v, 5) from best) as search_value, (select round(threshold, 5) from th) as threshold,
       (select count(*) from pw) as n_test, round(max(u) filter (b = 0), 5) as auroc, round(quantile_cont(u, 0.025) filter (b > 0), 5) as auroc_lo, round(quantile_cont(u, 0.975) filter (b > 0), 5) as auroc_hi,
       round(max(v) filter (b = 0), 5) as weighted_auroc, round(quantile_cont(v, 0.025) filter (b > 0), 5) as weighted_auroc_lo, round(quantile_cont(v, 0.975) filter (b > 0), 5) as weighted_auroc_hi,
       round(max(z) filter (b = 0), 5) as balanced_accuracy, round(quantile_cont(z, 0.025) filter (b > 0), 5) as balanced_accuracy_lo, round(quantile_cont(z, 0.975) filter (b > 0), 5) as balanced_accuracy_hi from fg""",

@@ -32,7 +32,7 @@ def classifier(name: str, seed: int = 42, weight: str | None = None):
     """Spark ML classifier by name."""
     extra = {} if weight is None else {"weightCol": weight}
     if name == "LogisticRegression":
-        return LogisticRegression(labelCol="y", standardization=False, maxIter=1000, tol=1e-9, **extra)
+        return LogisticRegression(labelCol="y", standardization=False, maxIter=1000, tol=1e-11, **extra)
     if name == "RandomForestClassifier":
         return RandomForestClassifier(labelCol="y", seed=seed, **extra)
     if name == "GBTClassifier":
@@ -186,14 +186,14 @@ def search(
     rows: DataFrame, person: str, recipe: Recipe, candidates: Sequence[Params], inner: int, repeats: int = 1, scorer: str = "auroc", seed: int = 42,
     keep: Sequence[str] = (), parallelism: int = 4,
 ) -> Search:
-    """Grid search over repeated folds that keep persons together; the first of equally good candidates wins."""
+    """Grid search over repeated folds that keep persons together; the first of equally good candidates (to nine digits) wins."""
     if scorer not in SCORERS:
         raise ValueError(f"unknown scorer {scorer}; known are {SCORERS}")
     folds = sampling.repeated_folds(rows, person, ["y"], inner, repeats, seed)
     scores = cross_fit(rows, person, folds, recipe, candidates, keep, parallelism)
     means = candidate_means(scores, scorer)
     # One row for each candidate.
-    table = [(r["mean_value"], -r["candidate"]) for r in means.collect() if r["mean_value"] is not None]
+    table = [(round(r["mean_value"], 9), -r["candidate"]) for r in means.collect() if r["mean_value"] is not None]
     if not table:
         raise contracts.ContractError(f"{scorer} is undefined in a fold of every candidate")
     best = -max(table)[1]

@@ -5,6 +5,7 @@ As an estimator it is fitted wherever a model is fitted, so the inner folds of a
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1024
+#: The driver decomposes a covariance matrix in a library that must not run in two threads at a time.
+DECOMPOSITION = threading.Lock()
 
 
 def dimension_medians(df: DataFrame, vector: str, bins: int = BINS) -> list[float | None]:
@@ -146,7 +149,9 @@ def fit_preparation(
         wanted = components.get(b)
         projection = None
         if wanted is not None and positions and wanted < min(len(positions), n):
-            projection = PCA(k=wanted, inputCol="_in", outputCol="_out").fit(ready.select(array_to_vector(block_slice(positions)).alias("_in")))
+            block = ready.select(array_to_vector(block_slice(positions)).alias("_in"))
+            with DECOMPOSITION:
+                projection = PCA(k=wanted, inputCol="_in", outputCol="_out").fit(block)
         blocks.append((positions, projection))
         prepared.sizes.append(wanted if projection is not None else len(positions))
     return prepared
