@@ -32,7 +32,7 @@ def classifier(name: str, seed: int = 42, weight: str | None = None):
     """Spark ML classifier by name."""
     extra = {} if weight is None else {"weightCol": weight}
     if name == "LogisticRegression":
-        return LogisticRegression(labelCol="y", standardization=False, maxIter=1000, tol=1e-11, **extra)
+        return LogisticRegression(labelCol="y", standardization=False, maxIter=1000, tol=1e-8, **extra)
     if name == "RandomForestClassifier":
         return RandomForestClassifier(labelCol="y", seed=seed, **extra)
     if name == "GBTClassifier":
