@@ -48,22 +48,23 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+",
-    "password": rf"(?<![\p{{L}}\p{{N}}]){ASSIGNED}[^\s\"',;]{{6,}}+",
+    "password": rf"(?=[acpstACPST])(?<![\p{{L}}\p{{N}}]){ASSIGNED}[^\s\"',;]{{6,}}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     # Groups of digits with few capitals, six digits or more.
     "id": (
-        r"(?<![\p{L}\p{N}_+./:@-])(?=(?:[A-Z]{0,3}[ -]?[A-Z]?[0-9]){6})"
-        r"[A-Z]{0,3}+ ?+[0-9]++[A-Z]?+(?:[ -](?:[A-Z]?[0-9]++[A-Z]?+|[A-Z](?![\p{L}])))*+(?![\p{L}\p{N}_@])"
+        r"(?=[A-Z0-9])(?<![\p{L}\p{N}_+./:@-])(?=(?:[A-Z]{0,3}[ -]?[A-Z]?[0-9]){6})"
+        r"[A-Z]{0,3}+ ?+[0-9]++[A-Z]?+(?:[ -](?:[A-Z]?[0-9]++[A-Z]?+|[A-Z](?![\p{L}]))){0,8}+(?![\p{L}\p{N}_@])"
     ),
-    "name": r"(?<![\p{L}\p{N}_@./'-])\p{Lu}\p{Ll}++(?: \p{Lu}\.)?+(?: \p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)?+){1,3}+",
+    "name": r"\p{Lu}(?<![\p{L}\p{N}_@./'-]\p{Lu})\p{Ll}++(?: \p{Lu}\.)?+(?: \p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)?+){1,3}+",
     # A number before capitalised words, or after them; a town and a postal code may follow.
     "address": (
-        rf"(?:(?<![\p{{L}}\p{{N}}.,:/-])[0-9]{{1,5}}[A-Za-z]?+,?+(?: (?:rue|avenue|boulevard|place|allée|chemin|quai)(?: (?:de|du|des|la|le|les))*+)?+(?: {CAPITAL}){{1,4}}+"
-        rf"|(?<![\p{{L}}\p{{N}}'-]){CAPITAL}(?: (?:{CAPITAL}|de|del|la|di|der|van))*+ [0-9]{{1,4}}[a-z]?+(?![\p{{L}}\p{{N}}.:-]))"
+        rf"(?=[0-9\p{{Lu}}])(?:(?<![\p{{L}}\p{{N}}.,:/-])[0-9]{{1,5}}[A-Za-z]?+,?+(?: (?:rue|avenue|boulevard|place|allée|chemin|quai)(?: (?:de|du|des|la|le|les))*+)?+(?: {CAPITAL}){{1,4}}+"
+        rf"|(?<![\p{{L}}\p{{N}}.'’-]){CAPITAL}(?: (?:{CAPITAL}|de|del|la|di|der|van)){{0,3}}+ [0-9]{{1,4}}[a-z]?+(?![\p{{L}}\p{{N}}.:-]))"
         rf"(?:,(?: {CAPITAL}){{1,2}}+)*+(?:,? [0-9]{{5}}(?:-[0-9]{{4}})?+(?![0-9]))?+(?: {CAPITAL})?+"
     ),
 }
-KNOWN_TOKEN = r"^(?:AKIA|ASIA|AIza|ghp|gho|glpat|xox|eyJ|sk|pk)"
+#: Published forms of keys: the key itself, or what stands right before it.
+KNOWN_TOKEN, BEFORE_TOKEN = r"^(?:A[KS]IA[A-Z0-9]{16}$|AIza|eyJ)", r"(?:gh[oprsu]_|github_pat_|glpat-|xox[abprs]-|[prs]k[_-](?:live_|test_|proj-)?)$"
 KNOWN_ID = (
     r"^(?:[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}"  # three, two and four digits
     r"|[A-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]"
@@ -87,7 +88,7 @@ CUES = {
     "address": r"(?i)(?:address|adresse|dirección|lives at|living at|live at|resid\p{L}* (?:at|in)|located at|ship to|deliver to|wohnhaft|home|moved to)\P{L}*$",
 }
 SIDE = 32
-ROUNDS = 20
+ROUNDS, STILL = 20, 0.001
 LABELERS = ("regex", "gazetteer", "context", "shape")
 #: Digits of a code below the kind: a vote (0 to 2) for each labeler, then these features with their numbers of values.
 FEATURES = {"long": 2, "quoted": 2, "digits": 4}
@@ -148,8 +149,10 @@ def votes(kind: str, value: Column, left: Column, lists: Gazetteer) -> dict[str,
         good = valid(kind, value)
         return {"regex": side(good, ~good), "gazetteer": none, "context": side(cued, F.lit(False)), "shape": side(good, F.lit(False))}
     if kind == "secret":
-        regex = side(value.rlike(KNOWN_TOKEN) | (hexadecimal & (length >= 32)), ~hexadecimal & (length < 32))
-        return {"regex": regex, "gazetteer": none, "context": side(cued, ~cued), "shape": side(share.between(0.25, 0.75), ~share.between(0.25, 0.75))}
+        # The known form of a key needs no cue and no mixture of digits.
+        known, mixed = value.rlike(KNOWN_TOKEN) | left.rlike(BEFORE_TOKEN), share.between(0.25, 0.75)
+        regex = side(known | (hexadecimal & (length >= 32)), ~hexadecimal & (length < 32))
+        return {"regex": regex, "gazetteer": none, "context": side(cued, ~cued & ~known), "shape": side(known | mixed, ~mixed)}
     if kind == "password":
         mixed = value.rlike(r"[0-9]") | value.rlike(r"[^\p{L}0-9.?!)-]")
         return {"regex": side(mixed, ~mixed), "gazetteer": none, "context": side(cued, F.lit(False)), "shape": side(mixed & value.rlike(r"\p{L}"), ~mixed)}
@@ -261,7 +264,7 @@ def probabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     ``patterns`` has ``kind``, a column per labeler and ``n``. A labeler is right with one probability wherever it
     votes, every kind has its own share of personal candidates; both stay within ``RELIABLE`` and ``SHARE``, so that
-    labels cannot turn over. Every round is one aggregate over this table of at most ``CODES`` rows.
+    labels cannot turn over. Rounds end when no figure moves by ``STILL`` or more. Every round is one aggregate over this table of at most ``CODES`` rows.
     """
     within = lambda x, limits: min(max(x, limits[0]), limits[1])
     right, share = dict.fromkeys(LABELERS, 0.8), [0.5] * len(KINDS)
@@ -282,8 +285,11 @@ def probabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             *[F.sum(F.when(F.col("kind") == k, p * n).otherwise(0.0)).alias(f"k{k}") for k in range(len(KINDS))],
             *[F.sum(F.when(F.col("kind") == k, n).otherwise(0.0)).alias(f"n{k}") for k in range(len(KINDS))],
         ).first()
+        before = [*right.values(), *share]
         right = {v: within((m[f"{v}_right"] + 4) / (m[f"{v}_all"] + 5), RELIABLE) for v in LABELERS}
         share = [within((m[f"k{k}"] + 1) / (m[f"n{k}"] + 2), SHARE) for k in range(len(KINDS))]
+        if max(abs(a - b) for a, b in zip(before, [*right.values(), *share], strict=True)) < STILL:
+            break
     return patterns.withColumn("p", posterior())
 
 

@@ -30,6 +30,7 @@ def planted(rng):
             ("id", f"{digits(3)}-{digits(2)}-{digits(4)}", "the social security number {} was used"),
             ("id", f"P{digits(8)}", "with passport number {} at the border"),
             ("password", f"hunter{digits(3)}!", "log in with password: {} there"),
+            ("secret", "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23") for _ in range(16)), "we saw {} in the logs"),
             ("secret", token, 'the api key = "{}" is still valid'),
         ]
     )
@@ -83,6 +84,15 @@ def test_many_matches_in_one_text_take_linear_steps(spark):
     assert time.perf_counter() - start < 60
 
 
+def test_runs_that_end_without_a_match_take_linear_steps(spark):
+    start = time.perf_counter()
+    texts = ["12 34 " * 200_000 + "56x", "Aa " * 300_000 + "x", "A." * 300_000, "AB12 CD34 " * 100_000, "1 Aa, " * 100_000, "password" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert private.candidates(docs).count() == 6
+    assert [r["n_email"] for r in private.find_private(docs).collect()] == [0] * 6
+    assert time.perf_counter() - start < 90
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, None), (None, ""), (3, "a@b.c 😀 a@b.c"), (3, "a@b.c 😀 a@b.c")], "doc_id long, text string")
     got = sorted(r["spans"] for r in private.find_private(docs).collect())
