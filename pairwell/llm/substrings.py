@@ -3,15 +3,17 @@
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id.
 
 1. Anchors. Of the ``GRAM``-byte strings inside each 50-byte string the one with the smallest hash is its anchor, so
-   equal strings have equal anchors. Anchors of one document only are dropped by a counted join.
-2. Segments. The bytes around an anchor that any 50-byte string with it can reach are a segment. Equal segments are
-   one; all documents with it but the smallest lose all its strings.
-3. Intervals. Segments that share an anchor but differ meet in blocks of bounded size. A block's Burrows-Wheeler
+   equal strings have equal anchors. The bytes around an anchor that any 50-byte string with it can reach are a
+   segment. Equal segments of a task are settled there: all but those of the smallest document go.
+2. Segments. What is left moves once, packed by columns and dealt out by anchor. Of equal segments those of the
+   smallest document stay; a hot anchor comes at most once from a chunk and document. Segments whose anchor has no
+   other segment are done.
+3. Intervals. Segments that share an anchor but differ are cut from the texts and meet in blocks of bounded size. A block's Burrows-Wheeler
    transform is extended backwards, breadth first: every round derives the boundaries of one more common prefix
    value, up to ``length - 1``. What is not bounded by then shares ``length`` bytes, and the smallest id in it counts.
    An anchor with more segments than ``BLOCK_SEGMENTS`` is dealt over several blocks, whose strings are merged by a
    128-bit hash, so no anchor is too frequent for one task.
-4. Marks go back to the documents, which check the segment's hash at its place.
+4. The spans found go back to the documents. Texts are compressed before they are moved.
 
 Defined cases: NULL and empty texts have no bytes; texts under 50 bytes are kept whole; a document with a NULL id
 neither loses nor takes anything; rows with equal ids take nothing from each other; an empty table gives no rows;
@@ -25,20 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import chunks, run_hashes
-from pairwell.session import durable
+from pairwell.llm.common import Written, buckets_for, chunks, run_hashes
 
 LENGTH = 50
 GRAM = 24
 #: Bytes of a segment on either side of its anchor, and strings in it.
 REACH = LENGTH - GRAM
 STRINGS = REACH + 1
-ALL = (1 << STRINGS) - 1
 BLOCK_SEGMENTS = 10_000
 BLOCK_BYTES = 1_000_000
+#: So many segments are sorted together in a task before they are sent.
+HELD = 1_000_000
+#: A span is one number: its start times this, plus its length.
+SPAN = 1 << 31
 
 
 def sliding(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
@@ -74,42 +79,183 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
 
 
-def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, seg, doc, pos) of all anchors of (doc, text); ``pos`` is where the segment starts in the text."""
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers, lowest bytes of all numbers first, which compresses well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unplanes(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view(np.uint64).reshape(-1)
+
+
+def steps_of(values: np.ndarray) -> np.ndarray:
+    """Differences to the number before, modulo 2^64."""
+    values = values.view(np.uint64)
+    return np.diff(values, prepend=np.uint64(0))
+
+
+def packed(anchor, seg, doc, kind, pos, size) -> bytes:
+    """Segments in one value: anchors and segments by 48 bits of their hashes, the rest as differences in the order of the documents."""
+    order = np.lexsort((pos, kind, doc))
+    parts = [planes(anchor[order], 6), planes(seg[order] >> 16, 6)]
+    parts += [planes(steps_of(c[order]), 8) for c in (doc, kind, pos)] + [planes(size[order], 1)]
+    return b"".join(parts)
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    n = len(raw) // PACKED
+    out, at = [], 0
+    for width, steps in ((6, False), (6, False), (8, True), (8, True), (8, True), (1, False)):
+        values = unplanes(raw[at : at + width * n], width)
+        out.append((np.cumsum(values, dtype=np.uint64) if steps else values).view(np.int64))
+        at += width * n
+    return out
+
+
+PACKED = 6 + 6 + 8 + 8 + 8 + 1
+
+
+def merged(doc: np.ndarray, kind: np.ndarray, pos: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """(doc, kind, span) of the unions of spans that touch in a text."""
+    order = np.lexsort((pos, kind, doc))
+    doc, kind, pos, stop = doc[order], kind[order], pos[order], (pos + size)[order]
+    # Segments have at most 2 * LENGTH bytes, and the order of their starts is that of their ends.
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1]) | (pos[1:] > stop[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return [doc[first], kind[first], pos[first] * SPAN + stop[last] - pos[first]]
+
+
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Whether any of the keys differs from the one before, from the second row on."""
+    return np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+
+
+def smallest_of(keys: tuple[np.ndarray, ...], doc: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether each row has the smallest document of its key; ``order`` brings keys together, documents ascending."""
+    doc = doc[order]
+    first = np.flatnonzero(np.concatenate([[True], changes(*(k[order] for k in keys))]))
+    least = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
+    out = np.empty(len(doc), dtype=bool)
+    out[order] = doc == least
+    return out
+
+
+ENTRIES = "bucket int, entries binary, doc long, kind long, span long"
+
+
+def located(buckets: int):
+    """Packed segments by bucket of their anchor, and spans that the texts of a task settle, from (doc, kind, text)."""
+    names = [c.split()[0] for c in ENTRIES.split(", ")]
+
+    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        anchor, seg, doc, kind, pos, size = (np.concatenate(c) for c in zip(*held, strict=True))
+        # Two anchors with one segment hash may split a group; what is not settled here is settled later.
+        stays = smallest_of((seg, anchor), doc, np.lexsort((doc, seg)))
+        gone = ~stays
+        if gone.any():
+            spans = merged(doc[gone], kind[gone], pos[gone], size[gone])
+            m = len(spans[0])
+            # The spans go along with any bucket.
+            yield pa.RecordBatch.from_arrays([pa.array((np.arange(m) % buckets).astype(np.int32)), pa.nulls(m, pa.binary()), *map(pa.array, spans)], names=names)
+        columns = [c[stays] for c in (anchor, seg, doc, kind, pos, size)]
+        bucket = (columns[0].astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        columns, bucket = [c[order] for c in columns], bucket[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        stop = np.append(first[1:], len(bucket))
+        blobs = [packed(*(c[f:t] for c in columns)) for f, t in zip(first.tolist(), stop.tolist(), strict=True)]
+        none = pa.nulls(len(blobs), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary()), none, none, none], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        count = 0
+        for batch in batches:
+            ids, kinds = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            texts = batch.column(2).to_pylist()
+            for low, high in chunks([len(t) for t in texts]):
+                data, begins, ends = joined(texts[low:high])
+                text, _, grams, start, end = anchors_of(data, begins, ends)
+                if not len(text):
+                    continue
+                seg = run_hashes(data, start, end) ^ grams
+                held.append([(grams >> np.uint64(16)).view(np.int64), seg.view(np.int64), ids[low:high][text], kinds[low:high][text], start - begins[text], end - start])
+                count += len(text)
+                if count >= HELD:
+                    yield from flush(held)
+                    held, count = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+SETTLED = "doc long, kind long, span long, anchor long, part int, dealt boolean"
+
+
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans to remove (anchor NULL), and segments whose anchor has other segments, from entries sorted by bucket."""
+    names = [c.split()[0] for c in SETTLED.split(", ")]
+
+    def solve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        anchor, seg, doc, kind, pos, size = (np.concatenate(c) for c in zip(*map(unpacked, blobs), strict=True))
+        order = np.lexsort((doc, seg, anchor))
+        stays = smallest_of((anchor, seg), doc, order)
+        gone = ~stays
+        if gone.any():
+            spans = merged(doc[gone], kind[gone], pos[gone], size[gone])
+            m = len(spans[0])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, spans), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_())], names=names)
+        order = order[stays[order]]
+        a, s = anchor[order], seg[order]
+        first = np.flatnonzero(np.concatenate([[True], changes(a)]))
+        rows = np.diff(np.append(first, len(a)))
+        several = np.repeat(s[first] != s[first + rows - 1], rows)
+        parts = np.repeat(-(-rows // BLOCK_SEGMENTS), rows)[several]
+        at = order[several]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[at]), pa.array(kind[at]), pa.array(pos[at] * SPAN + size[at]), pa.array(anchor[at]), pa.array((seg[at] % parts).astype(np.int32)), pa.array(parts > 1)], names=names
+        )
+
+    held: list[bytes] = []
+    current = None
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = batch.column(1).to_pylist()
-        for low, high in chunks([len(t) for t in texts]):
-            data, begins, ends = joined(texts[low:high])
-            text, _, grams, start, end = anchors_of(data, begins, ends)
-            if len(text):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(grams.view(np.int64)),
-                        pa.array((run_hashes(data, start, end) ^ grams).view(np.int64)),
-                        pa.array(ids[low:high][text].astype(np.int64)),
-                        pa.array((start - begins[text]).astype(np.int64)),
-                    ],
-                    names=["anchor", "seg", "doc", "pos"],
-                )
+        own = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        if own.any():
+            spans = batch.filter(pa.array(own))
+            m = spans.num_rows
+            yield pa.RecordBatch.from_arrays([*spans.columns[2:], pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_())], names=names)
+        rest = batch.filter(pa.array(~own))
+        for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist(), strict=True):
+            if held and bucket != current:
+                yield from solve(held)
+                held = []
+            current = bucket
+            held.append(blob)
+    if held:
+        yield from solve(held)
+
+
+CUT = "anchor long, part int, dealt boolean, doc long, kind long, pos long, bytes binary"
 
 
 def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, seg, part, parts, doc, bytes) from (text, wanted): the wanted segments of each text."""
-    names = ["anchor", "seg", "part", "parts", "doc", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    """The wanted segments of each text, from (doc, kind, text, wanted)."""
+    names = [c.split()[0] for c in CUT.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         rows: list[tuple] = []
-        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-            raw = text.as_py()
-            data, begins, ends = joined([raw])
-            _, _, grams, start, end = anchors_of(data, begins, ends)
-            hashes = (run_hashes(data, start, end) ^ grams).view(np.int64)
-            there = dict(zip(zip(start.tolist(), hashes.tolist(), strict=True), end.tolist(), strict=True))
-            for w in wanted.as_py():
-                if (e := there.get((w["pos"], w["seg"]))) is not None:
-                    rows.append((w["anchor"], w["seg"], w["part"], w["parts"], w["doc"], raw[w["pos"] : e]))
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        for doc, kind, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = unpack.decompress(text)
+            for w in wanted:
+                pos, size = divmod(w["span"], SPAN)
+                rows.append((w["anchor"], w["part"], w["dealt"], doc, kind, pos, raw[pos : pos + size]))
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
@@ -182,119 +328,108 @@ def block_masks(segments: list[bytes], docs: np.ndarray):
     return owner[at], at - begins[owner[at]], smallest[at]
 
 
-FOUND = "seg long, mask long, doc long, place int, string binary, least long"
+FOUND = "doc long, kind long, span long, string binary, least long"
 
 
 def found_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Masks of segments, or strings with their smallest document for anchors dealt over several blocks.
+    """Spans of strings that a smaller document has; for anchors dealt over several blocks all strings with their smallest document.
 
-    The rows are sorted by anchor; a block ends between anchors, or inside one that is alone too large because its
-    rows were dealt unevenly.
+    The rows are sorted by anchor and part; a block ends between anchors, or inside one that is alone too large because
+    its rows were dealt unevenly.
     """
     names = [c.split()[0] for c in FOUND.split(", ")]
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        docs = np.array([r[4] for r in rows], np.int64)
-        owner, offset, least = block_masks([r[5] for r in rows], docs)
-        segs, parts = np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows])
-        mask = np.zeros(len(rows), np.int64)
-        hit = least < docs[owner]
-        np.bitwise_or.at(mask, owner[hit], np.left_shift(np.int64(1), offset[hit]))
-        done = np.flatnonzero((parts == 1) & (mask != 0))
+        docs, kinds, starts = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5))
+        dealt = np.array([r[2] for r in rows])
+        owner, offset, least = block_masks([r[6] for r in rows], docs)
+        at = starts[owner] + offset
+        done = np.flatnonzero((least < docs[owner]) & ~dealt[owner])
         if len(done):
-            m = len(done)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(segs[done]), pa.array(mask[done]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], names=names
-            )
-        dealt = np.flatnonzero(parts[owner] > 1)
-        if len(dealt):
-            own, off = owner[dealt], offset[dealt]
-            strings = [hashlib.blake2b(rows[o][5][f : f + LENGTH], digest_size=16).digest() for o, f in zip(own.tolist(), off.tolist(), strict=True)]
+            own = owner[done]
+            spans = merged(docs[own], kinds[own], at[done], np.full(len(done), LENGTH, np.int64))
+            m = len(spans[0])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, spans), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], names=names)
+        rest = np.flatnonzero(dealt[owner])
+        if len(rest):
+            own, off = owner[rest], offset[rest]
+            strings = [hashlib.blake2b(rows[o][6][f : f + LENGTH], digest_size=16).digest() for o, f in zip(own.tolist(), off.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(segs[own]), pa.nulls(len(own), pa.int64()), pa.array(docs[own]), pa.array(off.astype(np.int32)), pa.array(strings, pa.binary()), pa.array(least[dealt])], names=names
+                [pa.array(docs[own]), pa.array(kinds[own]), pa.array(at[rest] * SPAN + LENGTH), pa.array(strings, pa.binary()), pa.array(least[rest])], names=names
             )
 
     rows: list[tuple] = []
     size = 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if size >= BLOCK_BYTES and row[:1] + row[2:3] != rows[-1][:1] + rows[-1][2:3]:
+            # A part of a dealt anchor may be cut anywhere, as its strings are merged below.
+            if rows and size >= BLOCK_BYTES and (row[:2] != rows[-1][:2] or row[2]):
                 yield from solve(rows)
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[5])
+            size += len(row[6])
     if rows:
         yield from solve(rows)
 
 
-def masks_of(docs: DataFrame, segments: DataFrame) -> DataFrame:
-    """``seg, mask``: which strings of a segment start in a document smaller than the segment's own smallest."""
-    per_anchor = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / BLOCK_SEGMENTS).cast("int")
-    wanted = segments.join(per_anchor.select("anchor", parts.alias("parts")), "anchor")
-    wanted = wanted.select(
-        F.col("first.doc").alias("doc_id"),
-        F.struct("anchor", "seg", F.pmod("seg", "parts").cast("int").alias("part"), "parts", F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos")).alias("w"),
-    )
-    lists = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    texts = docs.join(lists, "doc_id").select("text", "wanted")
-    cut = texts.mapInArrow(cut_segments, "anchor long, seg long, part int, parts int, doc long, bytes binary")
-    # Rows with equal ids may hold a segment twice.
+def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=6, write_checksum=False)
+    for batch in batches:
+        texts = pa.array([pack.compress(t) for t in batch.column(2).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "kind", "text"])
+
+
+def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``doc, kind, span``: what goes; ``texts`` are the compressed texts of ``docs``."""
+    buckets = buckets_for(docs)
+    entries = docs.where("doc_id is not null").mapInArrow(located(buckets), ENTRIES)
+    first = Written(entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settled, SETTLED), "segments").df
+    lists = first.where("anchor is not null").groupBy(F.col("doc").alias("doc_id"), "kind").agg(F.collect_list(F.struct("anchor", "part", "dealt", "span")).alias("wanted"))
+    cut = texts.join(lists, ["doc_id", "kind"]).select("doc_id", "kind", "text", "wanted").mapInArrow(cut_segments, CUT)
     blocks = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    found = durable(blocks.mapInArrow(found_in_blocks, FOUND))
+    found = Written(blocks.mapInArrow(found_in_blocks, FOUND), "strings").df
     dealt = found.where("string is not null")
     least = dealt.groupBy("string").agg(F.min("least").alias("all_least"))
-    merged = dealt.join(least, "string").where("all_least < doc").groupBy("seg").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
-    return found.where("mask is not null").groupBy("seg").agg(F.bit_or("mask").alias("mask")).unionByName(merged)
-
-
-def repeated_strings(docs: DataFrame) -> DataFrame:
-    """``doc, pos, seg, mask``: segments of documents with strings to remove; bit i stands for the string at pos + i."""
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(located, "anchor long, seg long, doc long, pos long")
-    shared = rows.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
-    kept = durable(rows.join(shared, "anchor", "left_semi"))
-    segments = kept.groupBy("seg").agg(F.first("anchor").alias("anchor"), F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"))
-    segments = durable(segments)
-    facts = segments.join(masks_of(docs, segments), "seg", "left").where("last > first.doc or mask is not null")
-    facts = facts.select("seg", F.col("first.doc").alias("least"), F.coalesce("mask", F.lit(0)).alias("own"))
-    marked = kept.join(facts, "seg").select("doc", "pos", "seg", F.when(F.col("doc") > F.col("least"), F.lit(ALL)).otherwise(F.col("own")).alias("mask"))
-    return marked.where("mask != 0").distinct()
+    spans = first.where("anchor is null").select("doc", "kind", "span").unionByName(found.where("string is null").select("doc", "kind", "span"))
+    return spans.unionByName(dealt.join(least, "string").where("all_least < doc").select("doc", "kind", "span"))
 
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) from (doc_id, text, marks)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) from (doc_id, compressed text, spans)."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         out: list[tuple] = []
-        for text, marks in zip(batch.column(1), batch.column(2), strict=True):
-            raw = text.as_py()
-            marks = marks.as_py()
-            left, gone, spans = raw, 0, 0
-            if marks:
-                data, begins, ends = joined([raw])
-                _, _, grams, start, end = anchors_of(data, begins, ends)
-                hashes = (run_hashes(data, start, end) ^ grams).view(np.int64)
-                there = dict(zip(zip(start.tolist(), hashes.tolist(), strict=True), end.tolist(), strict=True))
+        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+            raw = unpack.decompress(text.as_py())
+            left, gone, runs = raw, 0, 0
+            if spans.is_valid:
+                codes = spans.values.to_numpy()
+                begin, size = codes // SPAN, codes % SPAN
                 edge = np.zeros(len(raw) + 1, np.int64)
-                for m in marks:
-                    if (stop := there.get((m["pos"], m["seg"]))) is not None:
-                        at = m["pos"] + np.flatnonzero((m["mask"] >> np.arange(STRINGS)) & 1)
-                        at = at[at + LENGTH <= stop]
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + LENGTH, -1)
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + size, -1)
                 covered = np.cumsum(edge[:-1]) > 0
                 gone = int(covered.sum())
-                spans = int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum())
-                left = data[~covered].tobytes()
-            out.append((len(raw), gone, spans, hashlib.sha256(left).hexdigest(), left))
+                runs = int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum())
+                left = np.frombuffer(raw, np.uint8)[~covered].tobytes()
+            out.append((len(raw), gone, runs, hashlib.sha256(left).hexdigest(), left))
         columns = list(zip(*out, strict=True)) or [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
 
+def kind_of(docs: DataFrame) -> Column:
+    """Tells rows of one id apart by their texts; 0 in tables without such rows, where it costs nothing to move."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return F.lit(0).cast("long") if again.isEmpty() else F.xxhash64("text")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every document; ``kept`` is what is left, as bytes."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    marks = repeated_strings(plain).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("pos", "seg", "mask")).alias("marks"))
-    both = plain.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
+    plain = plain.select("doc_id", kind_of(plain).alias("kind"), "text")
+    texts = plain.mapInArrow(compressed, "doc_id long, kind long, text binary")
+    spans = repeated_spans(plain, texts).groupBy(F.col("doc").alias("doc_id"), "kind").agg(F.collect_list("span").alias("spans"))
+    both = texts.join(spans, ["doc_id", "kind"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
