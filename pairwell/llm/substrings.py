@@ -211,10 +211,11 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = len(spans[0])
             yield pa.RecordBatch.from_arrays([*map(pa.array, spans), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_())], names=names)
         order = order[stays[order]]
-        a, s = anchor[order], seg[order]
+        a, d = anchor[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], changes(a)]))
         rows = np.diff(np.append(first, len(a)))
-        several = np.repeat(s[first] != s[first + rows - 1], rows)
+        # Equal segments are of one document by now, and the segments of one document take nothing from each other.
+        several = np.repeat(np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first), rows)
         parts = np.repeat(-(-rows // BLOCK_SEGMENTS), rows)[several]
         at = order[several]
         yield pa.RecordBatch.from_arrays(
@@ -261,20 +262,21 @@ def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rotations(data: np.ndarray) -> np.ndarray:
     """Start of each rotation of ``data`` in the order of their first 64 bytes at least."""
-    packed = np.zeros(len(data), np.uint64)
-    for i in range(8):
-        packed = (packed << np.uint64(8)) | np.roll(data, -i).astype(np.uint64)
-    order = np.argsort(packed, kind="stable")
-    width = 8
-    while True:
-        key = packed[order]
-        rank = np.zeros(len(data), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
-        if width >= 64:
-            return order
-        packed = rank * len(data) + np.roll(rank, -width)
-        order = np.argsort(packed, kind="stable")
-        width *= 2
+    n = len(data)
+    around = np.resize(data, n + 7)
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(around, 8)).view(">u8").reshape(-1).astype(np.uint64)
+    order, width = np.argsort(key), 8
+    # So many ranks fit into one number.
+    joint = 3 if n < 1 << 21 else 2
+    while width < 64:
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        key = rank
+        for i in range(1, joint):
+            key = key * n + np.roll(rank, -i * width)
+        order, width = np.argsort(key), joint * width
+    return order
 
 
 def boundaries(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -285,24 +287,28 @@ def boundaries(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """
     n = len(data)
     before = data[order - 1]
+    source = np.argsort(before, kind="stable")
+    letter = before[source]
     lf = np.empty(n, np.int64)
-    lf[np.argsort(before, kind="stable")] = np.arange(n)
+    lf[source] = np.arange(n)
+    within = np.empty(n, np.int64)
     bound = np.zeros(n + 1, dtype=bool)
     bound[0] = bound[n] = True
     low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
     for _ in range(length):
-        # All rows of the intervals, with the byte before each: rows of one interval and byte are neighbours in lf.
+        # All rows of the intervals; where they lead, rows of one interval and byte are neighbours.
         width = high - low
         if not len(width):
             break
         which = np.repeat(np.arange(len(width)), width)
         rows = np.arange(len(which)) - np.repeat(np.cumsum(width) - width, width) + low[which]
-        key = which * 256 + before[rows]
-        by = np.argsort(key, kind="stable")
-        key, to = key[by], lf[rows[by]]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        within[rows] = which
+        led = np.zeros(n, dtype=bool)
+        led[lf[rows]] = True
+        to = np.flatnonzero(led)
+        first = np.flatnonzero(np.concatenate([[True], changes(within[source[to]], letter[to])]))
         new_low = to[first]
-        new_high = to[np.concatenate([first[1:], [len(to)]]) - 1] + 1
+        new_high = to[np.append(first[1:], len(to)) - 1] + 1
         # The interval that ends at the end of the order is also new in every round.
         fresh = ~bound[new_high] | (new_high == n)
         low, high = new_low[fresh], new_high[fresh]
