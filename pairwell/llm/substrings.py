@@ -40,8 +40,10 @@ REACH = LENGTH - GRAM
 STRINGS = REACH + 1
 BLOCK_SEGMENTS = 10_000
 BLOCK_BYTES = 1_000_000
-#: So many segments are sorted together in a task before they are sent.
-HELD = 1_000_000
+#: So many segments are sorted together in a task before they are sent, and so many bytes of texts hashed at once;
+#: both only bound a task's memory.
+HELD = 250_000
+AT_ONCE = 500_000
 #: A span is one number: its start times this, plus its length.
 SPAN = 1 << 31
 
@@ -177,7 +179,7 @@ def located(buckets: int):
         for batch in batches:
             ids, kinds = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             texts = batch.column(2).to_pylist()
-            for low, high in chunks([len(t) for t in texts]):
+            for low, high in chunks([len(t) for t in texts], AT_ONCE):
                 data, begins, ends = joined(texts[low:high])
                 text, _, grams, start, end = anchors_of(data, begins, ends)
                 if not len(text):
