@@ -425,8 +425,10 @@ def require_quality(row: DataFrame) -> None:
 def nearest_candidates(df: DataFrame, k: int, id_column: str = "person_id", label: str = "label") -> DataFrame:
     """The k nearest controls of every case within the caliper, along the score of its stratum.
 
-    Controls get their position in the stratum. A case looks at the k positions on either side of its
-    own, so 2k rows per case meet the controls in an equality join; no pairs are enumerated.
+    Controls get a position in the stratum for either side: by score and id for the cases below them,
+    by score and falling id for the cases above, so that of equal scores the lower ids are the nearer
+    ones both times. A case looks at the k positions on either side of its own, so 2k rows per case
+    meet the controls in an equality join; no pairs are enumerated.
     """
     base = df.select(
         "stratum",
@@ -437,14 +439,20 @@ def nearest_candidates(df: DataFrame, k: int, id_column: str = "person_id", labe
     )
     controls = numbered(base.where("side = 0"), ["stratum"], ["z", "id"], "pos")
     per_value = base.groupBy("stratum", "z").agg(F.sum(1 - F.col("side")).alias("c"))
-    before = cumulate(per_value, ["stratum"], "z", ["c"]).select("stratum", "z", F.col("c_before").alias("_b"))
+    before = cumulate(per_value, ["stratum"], "z", ["c"]).select("stratum", "z", "c", F.col("c_before").alias("_b"))
     cases = base.where("side = 1").join(before, ["stratum", "z"])
     # Ties at the case's own score count as the right-hand side, so k of them may be needed there.
-    reach = cases.withColumn("pos", F.explode(F.sequence(F.col("_b") + 1 - k, F.col("_b") + k)))
-    near = reach.join(
-        controls.select("stratum", "pos", F.col("id").alias("control_id"), F.col("z").alias("_zc")),
-        ["stratum", "pos"],
-    ).withColumn("distance", F.abs(F.col("_zc") - F.col("z")))
+    pos = F.explode(F.sequence(F.col("_b") + 1 - k, F.col("_b") + k))
+    reach = cases.withColumn("pos", pos).withColumn("below", F.col("pos") <= F.col("_b"))
+    # Among c equal scores after _b others, the position by falling id mirrors the one by id.
+    mirrored = 2 * F.col("_b") + F.col("c") + 1 - F.col("pos")
+    sides = F.array(
+        F.struct(F.lit(False).alias("below"), F.col("pos").alias("pos")), F.struct(F.lit(True).alias("below"), mirrored.alias("pos"))
+    )
+    offered = controls.join(before, ["stratum", "z"]).select(
+        "stratum", F.col("id").alias("control_id"), F.col("z").alias("_zc"), F.inline(sides)
+    )
+    near = reach.join(offered, ["stratum", "below", "pos"]).withColumn("distance", F.abs(F.col("_zc") - F.col("z")))
     near = near.where("distance <= caliper")
     ranked = Window.partitionBy("id").orderBy("distance", "control_id")
     return (

@@ -169,3 +169,16 @@ def test_ids_beyond_double_precision(spark):
     got = {(r.case_id, r.control_id) for r in matching.greedy_match(df, 1).collect()}
     assert got == {(base + i, base + i + 3) for i in range(3)}
     assert got == {(r.case_id, r.control_id) for r in matching.greedy_match(df, 1, max_rows=4).collect()}
+
+
+@pytest.mark.parametrize("digits", [0, 1])
+def test_nearest_candidates_prefer_low_ids_on_both_sides(spark, digits):
+    df = people(120, 11, digits=digits)
+    df["logit_ps"] = df.logit_ps + 0.25 * df.label
+    expected = set()
+    for _, c in df[df.label == 1].iterrows():
+        near = df[df.label == 0].assign(d=(df.logit_ps - c.logit_ps).abs())
+        near = near[near.d <= c.caliper].sort_values(["d", "person_id"]).head(2)
+        expected |= {(int(c.person_id), int(p), i + 1) for i, p in enumerate(near.person_id)}
+    got = matching.nearest_candidates(spark.createDataFrame(df), 2).collect()
+    assert {(r.case_id, r.control_id, r["rank"]) for r in got} == expected
