@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairwell.catalog.base import query, rounded
-from pairwell.operators import cohort, joins
+from pairwell.operators import joins
 
 
 @query(
@@ -203,13 +203,13 @@ def concatenate_blocks(t):
 
 @query(
     "J20",
-    """with w as (select p.audio_id, c.recording_category from (select audio_id from {recordings} where data_source = 'charite' and recording_category in ('a', 'poem')
-         group by audio_id having count(distinct recording_category) = 2) p, (values ('a'), ('poem')) c(recording_category)),
+    """with w as (select p.audio_id, c.recording_category from (select distinct audio_id from {recordings} where data_source = 'charite') p, (values ('a'), ('poem')) c(recording_category)),
        f as (select audio_id, recording_category, date from {recordings} qualify row_number() over (partition by audio_id, recording_category order by date, rec_no) = 1)
-       select audio_id, recording_category, date, cast('0x' || substr(md5(audio_id || '_' || recording_category || '_' || date), 1, 8) as bigint) as recording_identifier
-       from w join f using (audio_id, recording_category)""",
+       select audio_id, recording_category, date, case when date is not null then
+         cast('0x' || substr(md5(audio_id || '_' || recording_category || '_' || date), 1, 8) as bigint) end as recording_identifier
+       from w left join f using (audio_id, recording_category)""",
 )
 def original_recording_sets(t):
     r = t.recordings
-    persons = cohort.having_all(r.where("data_source = 'charite'"), "audio_id", "recording_category", ["a", "poem"])
-    return joins.original_sets(r, persons, ["a", "poem"], ["date", "rec_no"])
+    persons = r.where("data_source = 'charite'")
+    return joins.original_sets(r, persons, ["a", "poem"], ["date", "rec_no"], missing="null")

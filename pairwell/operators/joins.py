@@ -202,18 +202,23 @@ def recording_sets(
 
 def original_sets(
     recordings: DataFrame, persons: DataFrame, categories: Sequence[str], order: Sequence[str],
-    person: str = "audio_id", category: str = "recording_category",
+    person: str = "audio_id", category: str = "recording_category", missing: str = "error",
 ) -> DataFrame:
     """First recording per person and category, with its identifier as if it had no chunk.
 
-    A person without one of the categories is an error, raised where its row is computed.
+    A person without one of the categories is an error, raised where its row is computed; with
+    ``missing="null"`` its row is kept with NULL as date and identifier.
     """
+    if missing not in ("error", "null"):
+        raise ValueError(f"unknown treatment {missing} of missing categories")
     wanted = persons.select(person).distinct().withColumn(
         category, F.explode(F.array(*[F.lit(c) for c in categories]))
     )
     first = keep_first(recordings.where(F.col(category).isin(*categories)), [person, category], order)
     rows = wanted.join(first.select(person, category, "date"), [person, category], "left")
-    lost = F.raise_error(F.concat(F.lit("no recording "), F.col(category), F.lit(" of "), F.col(person).cast("string"))).cast("bigint")
+    lost = F.lit(None).cast("bigint")
+    if missing == "error":
+        lost = F.raise_error(F.concat(F.lit("no recording "), F.col(category), F.lit(" of "), F.col(person).cast("string"))).cast("bigint")
     return rows.withColumn(
         "recording_identifier", F.when(F.col("date").isNull(), lost).otherwise(E.recording_identifier(F.col(person), F.col(category), F.col("date")))
     )

@@ -123,6 +123,18 @@ def test_original_sets_need_every_category(spark):
         sets(table)
 
 
+def test_original_sets_query_keeps_persons_without_a_category(spark, tmp_path):
+    from pairwell.catalog import REGISTRY
+    from pairwell.catalog.base import Tables
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderpriority <> '1-URGENT' or o_custkey % 4 = 0")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = REGISTRY["original_recording_sets"].run(Tables(spark, str(tmp_path))).collect()
+    assert {r.audio_id for r in got} == {r[0] for r in orders.where("o_custkey % 2 = 0").select("o_custkey").distinct().collect()}
+    lost = {(r.audio_id, r.recording_category) for r in got if r.recording_identifier is None}
+    assert lost and all(r.date is None for r in got if r.recording_identifier is None)
+
+
 def test_file_names(spark, tmp_path):
     for name in ["12_a.wav", "12_poem_20250203.wav", "12_a_20251399.wav", "notes.txt", "12345_a.wav"]:
         (tmp_path / name).write_bytes(b"x")
