@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwell.functions import expressions as E
-from pairwell.operators import metrics
 from pairwell.operators.contracts import ContractError
-from pairwell.operators.scan import exact_percentiles, hash_ranks, md5_number, measured_join, null_safe_join, value_bounds
-from pairwell.session import durable
+from pairwell.operators.resampling import Resamples
+from pairwell.operators.scan import exact_percentiles, hash_ranks, md5_number, measured_join, null_safe_join
 
 
 def _fold_table(persons: DataFrame, person: str, stratum: Column, k: int, seed: Column | str, keys, out: str):
@@ -93,19 +92,7 @@ def bootstrap(
     Slot i of replicate b draws the person with rank ``md5(seed, b, stratum, i) mod n``. Only drawn
     persons are kept; multiplicities of a stratum add up to its size in every replicate.
     """
-    keyed = persons.select(person, *strata).withColumn(
-        "_s", E.composite_key([F.col(c) for c in strata]) if strata else F.lit("_all_")
-    )
-    keyed = keyed.withColumn("_h", md5_number(str(seed), F.col(person)))
-    ranked = durable(hash_ranks(keyed, ["_s"], "_h", [person], "_r", "_n").select(person, "_s", "_r", "_n"))
-    # Every row becomes one row per replicate: spread the rows first, with a fixed number of partitions.
-    parts = int(persons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = ranked.select("_s", "_r", "_n").repartition(parts, "_s", "_r").withColumn(
-        "b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    )
-    draw = md5_number(str(seed), F.col("b"), F.col("_s"), F.col("_r")) % F.col("_n")
-    drawn = slots.select("b", "_s", draw.alias("_r")).groupBy("b", "_s", "_r").agg(F.count(F.lit(1)).alias("m"))
-    return null_safe_join(drawn, ranked.select(person, "_s", "_r"), ["_s", "_r"]).select("b", person, "m")
+    return Resamples(persons.select(person, *strata), person, replicates, strata, seed).rows()
 
 
 def bootstrap_auroc(
@@ -122,12 +109,9 @@ def bootstrap_auroc(
 
     Replicates that lost a class give NULL, as the plain bootstrap has to skip them.
     """
-    drawn = bootstrap(persons, person, replicates, [label] if stratified else [], seed)
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    rows = drawn.join(persons, person).withColumn("_w", F.col("m") * w)
-    # Block limits come from the persons; the replicates only repeat their scores.
-    bounds = {s: value_bounds(persons, s) for s in scores}
-    return metrics.aurocs(rows, label, scores, "_w", ["b"], bounds)
+    needed = [c for c in dict.fromkeys([person, label, *scores, weight]) if c is not None]
+    drawn = Resamples(persons.select(*needed), person, replicates, [label] if stratified else [], seed)
+    return drawn.aurocs(label, {score: (score, weight) for score in scores})
 
 
 def interval(replicated: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.operators import joins, metrics, reshape, sampling, weights
+from pairwell.operators.resampling import Resamples
 from pairwell.operators.scan import exact_percentiles, null_safe_join, value_bounds
 from pairwell.session import durable
 
@@ -83,9 +84,16 @@ def threshold_sweep(
     persons: DataFrame, person: str, label: str, score: str, thresholds: Sequence[float], replicates: int, seed: int = 42
 ) -> DataFrame:
     """Bootstrap interval of the balanced accuracy at each threshold; one-class replicates are skipped."""
-    drawn = sampling.bootstrap(persons, person, replicates, (), seed).join(persons, person)
-    steps = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
-    rows = drawn.select("b", "m", label, score, steps)
-    cells = metrics.confusion(rows, label, (F.col(score) >= F.col("threshold")).cast("int"), "m", ["threshold", "b"])
-    kept = metrics.rates(cells.where("tp + fn > 0 and fp + tn > 0"))
-    return exact_percentiles(kept, "balanced_accuracy", {"lo": 0.025, "hi": 0.975}, ["threshold"])
+    drawn = Resamples(persons.select(person, label, score), person, replicates, (), seed)
+    names = ("tp", "fn", "fp", "tn")
+    cell = lambda y, p, x: ((F.col(label) == y) & ((F.col(score) >= x) == p)).cast("double")
+    cells = {
+        f"{n}{i}": cell(y, p, float(x))
+        for i, x in enumerate(thresholds)
+        for n, (y, p) in zip(names, ((1, True), (1, False), (0, True), (0, False)))
+    }
+    steps = F.array(*[F.struct(F.lit(float(x)).alias("threshold"), *[F.col(f"{n}{i}").alias(n) for n in names]) for i, x in enumerate(thresholds)])
+    rows = drawn.sums(cells).select("b", F.inline(steps))
+    kept = metrics.rates(rows.where("tp + fn > 0 and fp + tn > 0"))
+    # One row for each threshold and replicate needs no blocks.
+    return exact_percentiles(kept, "balanced_accuracy", {"lo": 0.025, "hi": 0.975}, ["threshold"], bounds=[])

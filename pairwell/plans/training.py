@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import expressions as E
 from pairwell.operators import contracts, metrics, sampling, weights
+from pairwell.operators.resampling import Resamples
 from pairwell.operators.scan import exact_percentiles, null_safe_join
 from pairwell.plans import crossfit
 from pairwell.plans.crossfit import Recipe, classifier
@@ -147,14 +148,18 @@ def transfer_figures(pooled: DataFrame, person: str, replicates: int, seed: int
 
     The resamples are drawn once; every figure is computed per replicate from the same multiplicities.
     """
-    drawn = durable(sampling.bootstrap(pooled, person, replicates, (), seed).join(pooled, person))
+    drawn = Resamples(pooled.select(person, "y", "score", "population_weight", "threshold"), person, replicates, (), seed).store()
     # Replicate 0 is the cohort itself.
-    rows = durable(drawn.unionByName(pooled.withColumns({"b": F.lit(0), "m": F.lit(1).cast("long")})).withColumn("mw", F.col("m") * F.col("population_weight")))
-    plain = metrics.auroc(rows, "y", "score", "m", ["b"], out="auroc")
-    weighted = metrics.auroc(rows, "y", "score", "mw", ["b"], out="weighted_auroc")
-    cells = metrics.confusion(rows, "y", (F.col("score") >= F.col("threshold")).cast("int"), "m", ["b"])
+    points = {"auroc": ("score", None), "weighted_auroc": ("score", "population_weight")}
+    areas = drawn.aurocs("y", points)
+    whole = pooled.withColumn("b", F.lit(0))
+    own = [metrics.auroc(whole, "y", *at, ["b"], out=name) for name, at in points.items()]
+    areas = areas.unionByName(null_safe_join(*own, ["b"]))
+    cell = lambda y, p: ((F.col("y") == y) & ((F.col("score") >= F.col("threshold")) == p)).cast("double")
+    cells = drawn.sums({"tp": cell(1, True), "fn": cell(1, False), "fp": cell(0, True), "tn": cell(0, False)})
+    cells = cells.unionByName(metrics.confusion(whole, "y", (F.col("score") >= F.col("threshold")).cast("int"), None, ["b"]))
     accuracy = metrics.rates(cells.where("tp + fn > 0 and fp + tn > 0")).select("b", "balanced_accuracy")
-    figures = durable(null_safe_join(null_safe_join(plain, weighted, ["b"]), accuracy, ["b"]))
+    figures = durable(null_safe_join(areas, accuracy, ["b"]))
     names = ["auroc", "weighted_auroc", "balanced_accuracy"]
     long = figures.where("b > 0").unpivot(["b"], names, "figure", "v")
     limits = exact_percentiles(long, "v", {"lo": 0.025, "hi": 0.975}, ["figure"], bounds=[])

@@ -104,3 +104,25 @@ def test_appended_chunks_inherit_and_are_unique(spark):
     assert sorted(got.audio_sample_path) == ["c1", "c2", "c9", "x", "y"]
     assert got[got.audio_sample_path == "c9"].date.item() == "1900-01-01"
     assert set(got[got.is_chunked].recording_category) == {"poem"}
+
+
+def test_resamples_move_blocks_and_not_draws(spark):
+    from pairwell.operators.resampling import BLOCK, Resamples
+
+    n = BLOCK + 500
+    persons = spark.range(n).select(
+        F.col("id").alias("person"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") * 7 % 40).cast("double").alias("p"),
+        (1 + F.col("id") % 5).cast("double").alias("w"),
+    )
+    drawn = Resamples(persons, "person", 3).store()
+    assert drawn.draws().count() == 3 * 2
+    pdf = drawn.rows().toPandas().merge(persons.toPandas(), on="person")
+    assert (pdf.groupby("b").m.sum() == n).all()
+    areas = {r.b: r for r in drawn.aurocs("y", {"plain": ("p", None), "weighted": ("p", "w")}).collect()}
+    sums = {r.b: r.s for r in drawn.sums({"s": F.col("w") * F.col("y")}).collect()}
+    for b, g in pdf.groupby("b"):
+        assert sums[b] == pytest.approx((g.m * g.w * g.y).sum())
+        for name, load in (("plain", g.m), ("weighted", g.m * g.w)):
+            mass = g.assign(wp=load * g.y, wn=load * (1 - g.y)).groupby("p")[["wp", "wn"]].sum().sort_index()
+            won = (mass.wp * (mass.wn.cumsum() - mass.wn / 2)).sum()
+            assert areas[b][name] == pytest.approx(won / (mass.wp.sum() * mass.wn.sum()))
