@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pairwell.functions import expressions as E
 from pairwell.operators.contracts import ContractError
 from pairwell.operators.resampling import Resamples
-from pairwell.operators.scan import exact_percentiles, hash_ranks, md5_number, measured_join, null_safe_join
+from pairwell.operators.scan import exact_percentiles, hash_ranks, md5_digits, md5_number, measured_join, null_safe_join
+from pairwell.session import durable
 
 
 def _fold_table(persons: DataFrame, person: str, stratum: Column, k: int, seed: Column | str, keys, out: str):
@@ -136,20 +137,43 @@ def quantile_placement(df: DataFrame, column: str, value: float) -> DataFrame:
     )
 
 
+#: How many more units than four times the drawn ones are expected below the hash limit of a hold-out.
+SPARE = 40
+
+
 def holdouts(
     units: DataFrame, unit: str, strata: Sequence[str], per_stratum: int, replicates: int, seed: int = 42
 ) -> DataFrame:
     """Repeated draws without replacement of ``per_stratum`` units from every stratum: (b, unit).
 
-    The rank limit is applied on the map side, so a task sends at most ``per_stratum`` rows per
-    replicate and stratum, whatever the size of the stratum.
+    Only units with a hash below a limit are ranked, so that some ``4 * per_stratum + SPARE`` of a stratum
+    are left per replicate whatever its size. Where fewer than needed are left, all units are ranked.
     """
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = units.select(unit, *strata).repartition(parts, unit)
+    groups = [*strata, "_g"]
+    rows = units.select(unit, *strata, F.lit(0).alias("_g"))
+    wanted = 4 * per_stratum + SPARE
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.lower(F.lpad(F.hex((F.lit(float(1 << 60)) * wanted / F.col("_n")).cast("long")), 15, "0"))
+    # A limit above every hex digit keeps all units of a small stratum.
+    sizes = durable(sizes.withColumn("_limit", F.when(F.col("_n") > wanted, share).otherwise("g")))
+    spread = measured_join(rows.repartition(parts, unit), sizes.select(*groups, "_limit"), groups)
     spread = spread.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    hashed = spread.withColumn("_h", md5_number(str(seed), F.col("b"), F.col(unit)))
-    w = Window.partitionBy("b", *strata).orderBy("_h", unit)
-    return hashed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_stratum).drop("_h", "_rn")
+    digits = md5_digits(str(seed), F.col("b"), F.col(unit))
+    near = durable(spread.withColumn("_h", digits).where(F.col("_h") < F.col("_limit")).drop("_limit"))
+    found = near.groupBy("b", *groups).agg(F.count(F.lit(1)).alias("_found"))
+    every = sizes.drop("_limit").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    short = null_safe_join(every, found, ["b", *groups], "left").where(
+        F.coalesce("_found", F.lit(0)) < F.least(F.lit(per_stratum), F.col("_n"))
+    )
+    short = durable(short.select("b", *groups))
+    kept = near
+    if not short.isEmpty():
+        whole = measured_join(rows, short, groups).withColumn("_h", digits)
+        kept = null_safe_join(near, short, ["b", *groups], "left_anti").unionByName(whole)
+    w = Window.partitionBy("b", *groups).orderBy("_h", unit)
+    ranked = kept.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_stratum)
+    return ranked.select(unit, *strata, "b")
 
 
 def chunk_plan(df: DataFrame, keys: Sequence[str], duration_ms: str, length_ms: int, overlap_ms: int = 0) -> DataFrame:

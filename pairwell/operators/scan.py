@@ -183,10 +183,15 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | N
     return {c: found.get(c) for c in columns}
 
 
+def md5_digits(*parts: Column | str) -> Column:
+    """First 15 hex digits of md5 over the ``|``-joined parts; their order as texts is that of the numbers."""
+    joined = F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.substring(F.md5(joined), 1, 15)
+
+
 def md5_number(*parts: Column | str) -> Column:
     """First 15 hex digits of md5 over the ``|``-joined parts, as a non-negative long."""
-    joined = F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
+    return F.conv(md5_digits(*parts), 16, 10).cast("long")
 
 
 def hash_ranks(

@@ -126,3 +126,18 @@ def test_resamples_move_blocks_and_not_draws(spark):
             mass = g.assign(wp=load * g.y, wn=load * (1 - g.y)).groupby("p")[["wp", "wn"]].sum().sort_index()
             won = (mass.wp * (mass.wn.cumsum() - mass.wn / 2)).sum()
             assert areas[b][name] == pytest.approx(won / (mass.wp.sum() * mass.wn.sum()))
+
+
+@pytest.mark.parametrize("spare", [40, -11])
+def test_holdouts_take_the_lowest_hashes_of_large_strata(spark, monkeypatch, spare):
+    import hashlib
+
+    monkeypatch.setattr(sampling, "SPARE", spare)
+    units = spark.range(400).select(F.col("id").alias("u"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("s"))
+    got = {(r.b, r.s, r.u) for r in sampling.holdouts(units, "u", ["s"], 3, 6).collect()}
+    expected = set()
+    for b in range(1, 7):
+        for s in (None, 1, 2):
+            mine = [u for u in range(400) if u % 3 == (s or 0)]
+            expected |= {(b, s, u) for u in sorted(mine, key=lambda u: hashlib.md5(f"42|{b}|{u}".encode()).hexdigest()[:15])[:3]}
+    assert got == expected
