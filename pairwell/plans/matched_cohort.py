@@ -104,8 +104,8 @@ def ratio_sweep(persons: DataFrame, spec: MatchSpec, ratios: Sequence[int], id_c
     kept = durable(matching.support_and_caliper(scored, spec.caliper))
     out = None
     for k in ratios:
-        pairs = matching.greedy_match(kept, k, id_column, age_caliper=spec.age_caliper, max_rows=spec.max_rows)
-        matched = matching.matched_long(scored, pairs, id_column)
+        pairs = durable(matching.greedy_match(kept, k, id_column, age_caliper=spec.age_caliper, max_rows=spec.max_rows))
+        matched = durable(matching.matched_long(scored, pairs, id_column))
         smd = matching.balance(scored, matched, list(spec.report or spec.covariates), ["age"])
         row = matched.agg(
             F.lit(k).alias("k"),
@@ -113,6 +113,9 @@ def ratio_sweep(persons: DataFrame, spec: MatchSpec, ratios: Sequence[int], id_c
             F.count_if(F.col("label") == 1).alias("n_cases"),
             F.count_if(F.col("label") == 0).alias("n_controls"),
         ).withColumn("max_abs_smd", smd.agg(F.max(F.abs("smd_after"))).scalar())
+        # The figures of a ratio are made before the next is matched: the plans of all ratios together, with
+        # what each broadcasts, would meet in the driver.
+        row = durable(row)
         out = row if out is None else out.unionByName(row)
     return out
 

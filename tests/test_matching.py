@@ -182,3 +182,11 @@ def test_nearest_candidates_prefer_low_ids_on_both_sides(spark, digits):
         expected |= {(int(c.person_id), int(p), i + 1) for i, p in enumerate(near.person_id)}
     got = matching.nearest_candidates(spark.createDataFrame(df), 2).collect()
     assert {(r.case_id, r.control_id, r["rank"]) for r in got} == expected
+
+
+def test_ratio_sweep_ends_each_ratio_before_the_next(spark):
+    df = people(60, 4).drop(columns=["stratum", "logit_ps", "caliper"]).assign(flag=lambda d: d.person_id % 2)
+    spec = MatchSpec(caliper=0.5, covariates=("flag",), age_squared=False)
+    out = matched_cohort.ratio_sweep(spark.createDataFrame(df), spec, [1, 2])
+    assert {r.k: r.n_cases > 0 for r in out.collect()} == {1: True, 2: True}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
