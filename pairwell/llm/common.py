@@ -121,9 +121,9 @@ def positions(df: DataFrame, share: Column, order: Sequence[Column], out: str, t
 class Written:
     """A table written below the shared folder: cuts the plan as a checkpoint does, compressed, and can be dropped when it is no longer read."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, **options):
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, name)
-        df.write.parquet(self.path)
+        df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -14,6 +14,9 @@ indexed: nodes with a similarity of at least ``PERCENT`` share a shingle of thei
 3. Derived answers. The symmetric difference is a metric, so the comparison of two leaders bounds those of their
    followers: most pairs follow from their leaders' computed distance, and only undecided ones are compared.
 
+Before shingles of a pair are moved, the bits of both are: a few bits for each shingle, set by its hash. Places in
+which they differ are at most as many as shingles in one set only, so too many of them rule a link out.
+
 Shingles and sets are told apart by 64-bit hashes; two sets with one hash are detected by a second hash, and the
 job starts again with another seed.
 
@@ -54,11 +57,18 @@ SMALL = 1 << 18
 PAIRS_OF_HEAD = 5_000
 #: 2^19 words of 64 bits say which nodes are needed: a fixed size; errors only send more.
 BITMAP_WORDS = 1 << 19
+#: Bytes of text hashed at once; index entries and bytes of shingles that leave a task at once.
+TEXT_BYTES = 500_000
+ENTRIES = 200_000
+ARRAY_BYTES = 8_000_000
+#: Bits of a node: the power of two from so many for each shingle on, in whole words, up to MOST_BITS. Fewer rule out less.
+BITS_PER_SHINGLE = 4
+MOST_BITS = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], seed: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
     """(index, sorted distinct shingle hashes, hash of the set, second hash of the set) for each text."""
-    for low, high in chunks([len(t) for t in texts]):
+    for low, high in chunks([len(t) for t in texts], TEXT_BYTES):
         words = Words(texts[low:high], PLAIN)
         at, hashes = words.windows(SHINGLE)
         cut = np.searchsorted(at, words.first)
@@ -88,13 +98,19 @@ def bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def _counts(gathered: list[np.ndarray]) -> pa.RecordBatch | None:
-    tokens, counts = np.unique(np.concatenate(gathered), return_counts=True) if gathered else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    often = counts >= REPEATED
-    if not often.any():
+    """Shingles that are there ``REPEATED`` times; ``gathered`` is emptied, and the rest is done in place."""
+    if not gathered:
+        return None
+    every = np.concatenate(gathered)
+    gathered.clear()
+    every.sort()
+    last = REPEATED - 1
+    often = np.unique(every[last:][every[last:] == every[: len(every) - last]])
+    if not len(often):
         return None
-    m = int(often.sum())
-    none = pa.nulls(m, pa.int64())
-    return batch_of(["doc_id", "n", "node", "check", "token", "sets"], none, none, none, none, signed(tokens[often]), pa.array(counts[often]))
+    counts = np.searchsorted(every, often, "right") - np.searchsorted(every, often, "left")
+    none = pa.nulls(len(often), pa.int64())
+    return batch_of(["doc_id", "n", "node", "check", "token", "sets"], none, none, none, none, signed(often), pa.array(counts, pa.int64()))
 
 
 def sketched(seed: int, keyed: bool = False):
@@ -124,7 +140,7 @@ def sketched(seed: int, keyed: bool = False):
                 if size > 4_000_000:
                     if (rows := counted(gathered)) is not None:
                         yield rows
-                    gathered, size = [], 0
+                    size = 0
             none = pa.nulls(len(n), pa.int64())
             names, more = ["doc_id", "n", "node", "check", "token", "sets"], ()
             if keyed:
@@ -156,26 +172,34 @@ def postings_of(seed: int, ranked: np.ndarray, levels: np.ndarray, salted: int):
     bits = np.zeros(1 << 20, dtype=bool)
     bits[ranked >> np.uint64(44)] = True
 
+    def packed(tokens, owners, sizes, places, dealt) -> pa.RecordBatch:
+        return batch_of(
+            ["token", "part", "node", "n", "pos"],
+            signed(np.concatenate(tokens)), pa.array(np.concatenate(dealt)), signed(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)),
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        columns, held = ([], [], [], [], []), 0
         for batch in batches:
-            tokens, owners, sizes, places, dealt = [], [], [], [], []
             for _, found, node, _ in shingle_sets(bytes_of(batch, 0), seed):
                 if not len(found) or node in seen:
                     continue
                 seen.add(node)
                 level = levels_of(found, ranked, levels, bits) if len(ranked) else np.zeros(len(found), np.uint8)
                 order = np.argsort(level, kind="stable")[: prefix_length(len(found))]
-                tokens.append(found[order])
-                owners.append(np.full(len(order), node, np.uint64))
-                sizes.append(np.full(len(order), len(found), np.int32))
-                places.append(np.arange(len(order), dtype=np.int32))
-                dealt.append(np.where(level[order] >= salted, 1 + node % SALTS, 0).astype(np.int32))
-            if tokens:
-                yield batch_of(
-                    ["token", "part", "node", "n", "pos"],
-                    signed(np.concatenate(tokens)), pa.array(np.concatenate(dealt)), signed(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)),
+                entries = (
+                    found[order], np.full(len(order), node, np.uint64), np.full(len(order), len(found), np.int32),
+                    np.arange(len(order), dtype=np.int32), np.where(level[order] >= salted, 1 + node % SALTS, 0).astype(np.int32),
                 )
+                for column, values in zip(columns, entries, strict=True):
+                    column.append(values)
+                held += len(order)
+                if held >= ENTRIES:
+                    yield packed(*columns)
+                    columns, held = ([], [], [], [], []), 0
+        if held:
+            yield packed(*columns)
 
     return run
 
@@ -220,42 +244,73 @@ def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield kept(held, told, held.num_rows)
 
 
+def bits_of(found: np.ndarray) -> np.ndarray:
+    """Words of 64 bits, a power of two of them, with the bits set that the low ends of the hashes name."""
+    size = min(MOST_BITS, max(64, 1 << (BITS_PER_SHINGLE * len(found) - 1).bit_length()))
+    flags = np.zeros(size, dtype=bool)
+    flags[(found & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def places_apart(left: np.ndarray, right: np.ndarray) -> int:
+    """In how many bits both differ; the longer one is folded first."""
+    size = min(len(left), len(right))
+    left, right = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) if len(x) > size else x for x in (left, right))
+    return int(np.bitwise_count(left ^ right).sum())
+
+
 def arrays_of(seed: int, words: np.ndarray):
-    """(node, shingles) of the nodes whose bit is set, each once in a task."""
+    """(node, n, bits, shingles) of the nodes whose bit is set, each once in a task."""
+
+    def packed(nodes, sizes, bits, values) -> pa.RecordBatch:
+        return batch_of(["node", "n", "bits", "shingles"], signed(nodes), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(values, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        columns, held = ([], [], [], []), 0
         for batch in batches:
-            nodes, values = [], []
             for _, found, node, _ in shingle_sets(bytes_of(batch, 0), seed):
                 bit = node >> 39
                 if len(found) and node not in seen and int(words[bit >> 6]) >> (bit & 63) & 1:
                     seen.add(node)
-                    nodes.append(node)
-                    values.append(found.tobytes())
-            if nodes:
-                yield batch_of(["node", "shingles"], signed(nodes), pa.array(values, pa.binary()))
+                    for column, value in zip(columns, (node, len(found), bits_of(found).tobytes(), found.tobytes()), strict=True):
+                        column.append(value)
+                    held += found.nbytes
+                    if held >= ARRAY_BYTES:
+                        yield packed(*columns)
+                        columns, held = ([], [], [], []), 0
+        if held:
+            yield packed(*columns)
 
     return run
 
 
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n_a, n_b, common) from the shingles of both."""
-    for batch in batches:
-        common = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            left, right = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            at = np.searchsorted(right, left)
-            at[at == len(right)] = 0
-            common.append((len(left), len(right), int((right[at] == left).sum())))
-        table = np.array(common, np.int64).reshape(-1, 3)
-        yield batch_of(["a", "b", "n_a", "n_b", "common"], batch.column(0), batch.column(1), *(pa.array(table[:, i]) for i in range(3)))
+def in_common(left: np.ndarray, right: np.ndarray) -> int:
+    at = np.searchsorted(right, left)
+    at[at == len(right)] = 0
+    return int((right[at] == left).sum())
+
+
+def measured(measure, name: str):
+    """(a, b, n_a, n_b) and a measure of the words that both have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [measure(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            yield batch_of(["a", "b", "n_a", "n_b", name], *(batch.column(i) for i in range(4)), pa.array(values, pa.int64()))
+
+    return run
 
 
 def linked(n_a: Column, n_b: Column, common: Column) -> Column:
     return (common > 0) & (100 * common >= PERCENT * (n_a + n_b - common))
 
 
+def apart(n_a: Column, n_b: Column, difference: Column) -> Column:
+    """Whether sets with at least this symmetric difference have no link."""
+    return (100 + PERCENT) * difference > (100 - PERCENT) * (n_a + n_b)
+
+
 def whole_hash() -> Column:
     """SHA-256 of the whole text."""
     return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("sha")
@@ -296,14 +351,14 @@ class Join:
         """The index lists with something to compare, written once."""
         entries = self.docs.select(self.text).mapInArrow(postings_of(self.seed, self.ranked, self.levels, self.salted), "token long, part int, node long, n int, pos int")
         dealt = entries.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
-        kept = Written(dealt.mapInArrow(shared_lists, "token long, part int, node long, n int, pos int").select("token", "node", "n", "pos"), "index").df
+        self.lists = Written(dealt.mapInArrow(shared_lists, "token long, part int, node long, n int, pos int").select("token", "node", "n", "pos"), "index")
         size = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
-        return kept.withColumn("sb", size)
+        return self.lists.df.withColumn("sb", size)
 
-    def arrays(self, entries: DataFrame) -> DataFrame:
-        """``node, shingles`` of the nodes in the index, where their texts are: a node comes once from a task that has it.
+    def arrays(self, entries: DataFrame) -> Written:
+        """``node, n, bits, shingles`` of the nodes in the index, where their texts are: a node comes once from a task that has it.
 
-        They are stored without a shuffle; ``compare`` moves the ones that it needs.
+        They are stored by columns without a shuffle; ``meet`` moves the ones that are needed.
         """
         wanted = entries.select("node").distinct()
         bit = F.shiftrightunsigned("node", 39)
@@ -311,25 +366,38 @@ class Join:
         rows = words.toPandas()
         table = np.zeros(BITMAP_WORDS, np.uint64)
         table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-        return durable(self.docs.select(self.text).mapInArrow(arrays_of(self.seed, table), "node long, shingles binary"))
+        return Written(self.docs.select(self.text).mapInArrow(arrays_of(self.seed, table), "node long, n long, bits binary, shingles binary"), "arrays", compression="none", **{"parquet.block.size": ARRAY_BYTES})
 
-    def compare(self, pairs: DataFrame) -> DataFrame:
-        """Exact overlaps of pairs (a, b). The shingles of ``a`` go to those of ``b``, which are dealt out if many pairs ask for them.
+    def meet(self, pairs: DataFrame, column: str) -> DataFrame:
+        """Pairs (a, b) with a column of both. What ``a`` has goes to ``b``, which is dealt out if many pairs ask for it.
 
-        Up to ``SMALL`` pairs are broadcast, so that only shingles of their nodes are moved; more are joined by shuffles.
+        Up to ``SMALL`` pairs are broadcast, so that only columns of their nodes are moved; more are joined by shuffles.
         """
         pairs = durable(pairs.select("a", "b"))
         near = F.broadcast if pairs.count() <= SMALL else lambda df: df
         heads = durable(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_OF_HEAD).cast("int").alias("parts")))
         asked = pairs.join(near(heads), "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
-        x = self.sets_of.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(near(asked), "a")
-        y = self.sets_of.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(near(heads), "b")
-        y = y.select("b", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        x = self.sets_of.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("x")).join(near(asked), "a")
+        y = self.sets_of.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("y")).join(near(heads), "b")
+        y = y.select("b", "n_b", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         # Several tasks may hold a node.
         x = x.repartition("b", "part").dropDuplicates(["b", "part", "a"])
         y = y.repartition("b", "part").dropDuplicates(["b", "part"])
-        both = x.join(y, ["b", "part"]).select("a", "b", "x", "y")
-        return durable(both.mapInArrow(compared, "a long, b long, n_a long, n_b long, common long"))
+        return x.join(y, ["b", "part"]).select("a", "b", "n_a", "n_b", "x", "y")
+
+    def bounds(self, pairs: DataFrame) -> DataFrame:
+        """``low``: a bound from below of the symmetric difference of pairs (a, b)."""
+        return durable(self.meet(pairs, "bits").mapInArrow(measured(places_apart, "low"), "a long, b long, n_a long, n_b long, low long"))
+
+    def overlaps(self, pairs: DataFrame) -> DataFrame:
+        """Exact overlaps ``common`` of pairs (a, b)."""
+        return durable(self.meet(pairs, "shingles").mapInArrow(measured(in_common, "common"), "a long, b long, n_a long, n_b long, common long"))
+
+    def links(self, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The linked ones of pairs (a, b) with their overlaps, and the number of all pairs."""
+        bounded = self.bounds(pairs)
+        found = self.overlaps(bounded.where(~apart(F.col("n_a"), F.col("n_b"), F.col("low"))))
+        return found.where(linked(F.col("n_a"), F.col("n_b"), F.col("common"))), bounded.count()
 
     def run(self) -> DataFrame:
         """``doc_id, n_shingles, component_id`` for every document; if keyed, its ``sha`` and the ``best`` row of its component.
@@ -339,8 +407,11 @@ class Join:
         entries = self.index()
         comps = None
         if not entries.isEmpty():
-            self.sets_of = self.arrays(entries)
+            arrays = self.arrays(entries)
+            self.sets_of = arrays.df
             comps = components_of_all(self, entries)
+            arrays.drop()
+        self.lists.drop()
         facts = self.nodes.withColumn("comp", F.col("node"))
         if comps is not None:
             facts = self.nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -420,17 +491,16 @@ def derived(join: Join, pairs: DataFrame, leaders: DataFrame) -> DataFrame:
         (F.coalesce("d_a", F.lit(0)) + F.coalesce("d_b", F.lit(0))).alias("off"),
     )
     told = durable(told)
-    between = join.compare(told.select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).distinct())
+    leading = [F.col("l_a").alias("a"), F.col("l_b").alias("b")]
+    bounded = join.bounds(told.select(*leading).distinct()).select(F.col("a").alias("l_a"), F.col("b").alias("l_b"), "low")
+    near = durable(told.join(bounded, ["l_a", "l_b"]).where(~apart(F.col("n_a"), F.col("n_b"), F.col("low") - F.col("off"))).drop("low"))
+    between = join.overlaps(near.select(*leading).distinct())
     distance = between.select(F.col("a").alias("l_a"), F.col("b").alias("l_b"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
-    judged = told.join(distance, ["l_a", "l_b"])
-    # Similar enough means a symmetric difference of at most this part of both sizes.
-    part, whole = 100 - PERCENT, 100 + PERCENT
-    room = part * (F.col("n_a") + F.col("n_b"))
-    judged = durable(
-        judged.withColumn("sure", F.when(whole * (F.col("d") + F.col("off")) <= room, F.lit(True)).when(whole * (F.col("d") - F.col("off")) > room, F.lit(False)))
-    )
-    direct = join.compare(judged.where("sure is null"))
-    return judged.where("sure").select("a", "b").union(direct.where(linked(F.col("n_a"), F.col("n_b"), F.col("common"))).select("a", "b"))
+    judged = near.join(distance, ["l_a", "l_b"])
+    sure = F.when(~apart(F.col("n_a"), F.col("n_b"), F.col("d") + F.col("off")), F.lit(True)).when(apart(F.col("n_a"), F.col("n_b"), F.col("d") - F.col("off")), F.lit(False))
+    judged = durable(judged.withColumn("sure", sure))
+    direct, _ = join.links(judged.where("sure is null"))
+    return judged.where("sure").select("a", "b").union(direct.select("a", "b"))
 
 
 def components_of_all(join: Join, entries: DataFrame) -> DataFrame | None:
@@ -439,8 +509,7 @@ def components_of_all(join: Join, entries: DataFrame) -> DataFrame | None:
     known = entries.withColumn("comp", F.col("node"))
     turn, enough, kept = 0, False, None
     while not enough:
-        found = join.compare(cell_proposals(known, comps, turn) if turn else proposals(known))
-        new = found.where(linked(F.col("n_a"), F.col("n_b"), F.col("common")))
+        new, pairs = join.links(cell_proposals(known, comps, turn) if turn else proposals(known))
         if leaders is None:
             leaders = new.select(F.col("a").alias("node"), F.col("b").alias("leader"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("distance"))
         links = new.count()
@@ -454,7 +523,7 @@ def components_of_all(join: Join, entries: DataFrame) -> DataFrame | None:
                 before.drop()
         # One head for each list until that finds nothing, then cells.
         if turn:
-            enough = links * PAIRS_PER_LINK < max(found.count(), 1)
+            enough = links * PAIRS_PER_LINK < max(pairs, 1)
         else:
             enough = comps is None
         turn += int(turn > 0 or links == 0)
