@@ -131,6 +131,15 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables of up to so many rows of a few numbers are held in so many partitions: each costs files in every shuffle.
+SMALL = 1 << 18
+FEW = 32
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    return df.coalesce(FEW) if rows <= SMALL else df
+
+
 HOT_SHARE = 1000
 SALTS = 64
 

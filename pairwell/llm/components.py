@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwell.llm.common import few
 from pairwell.session import durable
 
 
@@ -14,15 +15,14 @@ def components(edges: DataFrame) -> DataFrame:
     Every round takes the smallest label among the neighbours and then the label of that label, so long chains
     need a logarithmic number of rounds. Minima are combined before rows are shuffled, so hubs stay harmless.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
+    rows = 2 * edges.count()
+    both = few(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), rows)
+    labels = durable(few(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), rows))
     while True:
         seen = both.join(labels.select(F.col("node").alias("a"), "comp"), "a").groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(seen, "node").select("node", F.least("comp", "near").alias("next"), F.col("comp").alias("old"))
         jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        labels_next = durable(
-            lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("comp"), "old")
-        )
+        labels_next = durable(few(lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("comp"), "old"), rows))
         changed = not labels_next.where(F.col("comp") != F.col("old")).isEmpty()
         labels = labels_next.select("node", "comp")
         if not changed:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import PLAIN, Words, Written, chunks, join_facts, mixed, run_hashes
+from pairwell.llm.common import PLAIN, SMALL, Words, Written, chunks, few, join_facts, mixed, run_hashes
 from pairwell.llm.components import components
 from pairwell.session import durable
 
@@ -52,8 +52,7 @@ LARGE = 32
 CELLS = 16
 PARTNERS = 32
 PAIRS_PER_LINK = 100
-#: So many rows of two numbers at most are broadcast; a head is dealt out from so many pairs on.
-SMALL = 1 << 18
+#: A head is dealt out from so many pairs on.
 PAIRS_OF_HEAD = 5_000
 #: 2^19 words of 64 bits say which nodes are needed: a fixed size; errors only send more.
 BITMAP_WORDS = 1 << 19
@@ -374,8 +373,10 @@ class Join:
         Up to ``SMALL`` pairs are broadcast, so that only columns of their nodes are moved; more are joined by shuffles.
         """
         pairs = durable(pairs.select("a", "b"))
-        near = F.broadcast if pairs.count() <= SMALL else lambda df: df
-        heads = durable(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_OF_HEAD).cast("int").alias("parts")))
+        count = pairs.count()
+        near = F.broadcast if count <= SMALL else lambda df: df
+        pairs = few(pairs, count)
+        heads = durable(few(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_OF_HEAD).cast("int").alias("parts")), count))
         asked = pairs.join(near(heads), "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
         x = self.sets_of.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("x")).join(near(asked), "a")
         y = self.sets_of.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("y")).join(near(heads), "b")
@@ -383,7 +384,7 @@ class Join:
         # Several tasks may hold a node.
         x = x.repartition("b", "part").dropDuplicates(["b", "part", "a"])
         y = y.repartition("b", "part").dropDuplicates(["b", "part"])
-        return x.join(y, ["b", "part"]).select("a", "b", "n_a", "n_b", "x", "y")
+        return few(x.join(y, ["b", "part"]).select("a", "b", "n_a", "n_b", "x", "y"), count)
 
     def bounds(self, pairs: DataFrame) -> DataFrame:
         """``low``: a bound from below of the symmetric difference of pairs (a, b)."""
