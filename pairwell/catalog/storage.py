@@ -75,7 +75,9 @@ def write_store(t) -> str:
         F.col("e.kind").alias("kind"), F.col("e.key").alias("key"), F.col("e.value").alias("value"),
     )
     both = rows.unionByName(rows.where("kind = 'metrics' and run % 6 = 0").withColumn("exp", F.lit("new")))
-    both.repartition("run").write.partitionBy("exp", "run", "kind", "key").text(path)
+    # A file costs milliseconds and has few bytes: with a stated number of tasks they are not put together by bytes.
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    both.repartition(tasks, "run").write.partitionBy("exp", "run", "kind", "key").text(path)
     return path
 
 
