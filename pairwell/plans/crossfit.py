@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pairwell.operators import contracts, metrics, sampling, weights
 from pairwell.plans.preparation import BlockPreparation
-from pairwell.session import scratch_path
+from pairwell.session import durable, scratch_path
 
 SCORERS = ("matthews_corrcoef", "balanced_accuracy", "auroc", "partial_auroc_weighted", "average_prec")
 PARTIAL_LIMIT = 0.25
@@ -118,7 +118,8 @@ def cross_fit(
     repeat and fold, so a fit reads the folds it needs. The loop is over folds, not rows; ``parallelism`` fits run at a time.
     """
     spark = rows.sparkSession
-    folds = folds.select(person, "repeat", "fold")
+    # The checks, the numbers and the join read both; their plans are run once.
+    rows, folds = durable(rows), durable(folds.select(person, "repeat", "fold"))
     check_folds(rows, folds, person, "y")
     placed_path, path = scratch_path(spark, "placed"), scratch_path(spark, "cross_fit")
     rows.drop("repeat", "fold").join(folds, person).write.partitionBy("repeat", "fold").parquet(placed_path)
