@@ -11,8 +11,9 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 3. Intervals. Segments that share an anchor but differ are cut from the texts and meet in blocks of bounded size. A block's Burrows-Wheeler
    transform is extended backwards, breadth first: every round derives the boundaries of one more common prefix
    value, up to ``length - 1``. What is not bounded by then shares ``length`` bytes, and the smallest id in it counts.
-   An anchor with more segments than ``BLOCK_SEGMENTS`` is dealt over several blocks, whose strings are merged by a
-   128-bit hash, so no anchor is too frequent for one task.
+   An anchor with more segments than ``BLOCK_SEGMENTS`` is dealt over several blocks, so no anchor is too frequent for
+   one task. Its strings are settled where they are found; only those of a block's smallest document move on, packed by
+   columns and dealt out by their 128-bit hash.
 4. The spans found go back to the documents. Texts are compressed before they are moved.
 
 Defined cases: NULL and empty texts have no bytes; texts under 50 bytes are kept whole; a document with a NULL id
@@ -98,6 +99,11 @@ def steps_of(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=np.uint64(0))
 
 
+#: Bytes of each packed column, and whether differences are packed.
+SEGMENTS = ((6, False), (6, False), (8, True), (8, True), (8, True), (1, False))
+STRINGS_OF = ((8, False), (8, False), (8, True), (8, True), (8, True))
+
+
 def packed(anchor, seg, doc, kind, pos, size) -> bytes:
     """Segments in one value: anchors and segments by 48 bits of their hashes, the rest as differences in the order of the documents."""
     order = np.lexsort((pos, kind, doc))
@@ -106,19 +112,22 @@ def packed(anchor, seg, doc, kind, pos, size) -> bytes:
     return b"".join(parts)
 
 
-def unpacked(raw: bytes) -> list[np.ndarray]:
-    n = len(raw) // PACKED
+def packed_strings(one, two, doc, kind, pos) -> bytes:
+    """Strings in one value: both halves of their hashes, the rest as differences in the order of the documents."""
+    order = np.lexsort((pos, kind, doc))
+    return b"".join([planes(one[order], 8), planes(two[order], 8)] + [planes(steps_of(c[order]), 8) for c in (doc, kind, pos)])
+
+
+def unpacked(raw: bytes, columns: tuple[tuple[int, bool], ...] = SEGMENTS) -> list[np.ndarray]:
+    n = len(raw) // sum(width for width, _ in columns)
     out, at = [], 0
-    for width, steps in ((6, False), (6, False), (8, True), (8, True), (8, True), (1, False)):
+    for width, steps in columns:
         values = unplanes(raw[at : at + width * n], width)
         out.append((np.cumsum(values, dtype=np.uint64) if steps else values).view(np.int64))
         at += width * n
     return out
 
 
-PACKED = 6 + 6 + 8 + 8 + 8 + 1
-
-
 def merged(doc: np.ndarray, kind: np.ndarray, pos: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """(doc, kind, span) of the unions of spans that touch in a text."""
     order = np.lexsort((pos, kind, doc))
@@ -336,16 +345,13 @@ def block_masks(segments: list[bytes], docs: np.ndarray):
     return owner[at], at - begins[owner[at]], smallest[at]
 
 
-FOUND = "doc long, kind long, span long, string binary, least long"
-
-
 def found_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of strings that a smaller document has; for anchors dealt over several blocks all strings with their smallest document.
 
     The rows are sorted by anchor and part; a block ends between anchors, or inside one that is alone too large because
-    its rows were dealt unevenly.
+    its rows were dealt unevenly. A batch is of spans or of strings.
     """
-    names = [c.split()[0] for c in FOUND.split(", ")]
+    names = ["doc", "kind", "span", "string", "least"]
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         docs, kinds, starts = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5))
@@ -380,6 +386,78 @@ def found_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from solve(rows)
 
 
+DEALT = "doc long, kind long, span long, bucket int, strings binary"
+
+
+def settled_in_task(buckets: int):
+    """Of what ``found_in_blocks`` tells, the spans, and by bucket the strings that no smaller document in sight has.
+
+    A string with a smaller document goes where it is found; that document's string stands for it elsewhere.
+    """
+    names = [c.split()[0] for c in DEALT.split(", ")]
+
+    def of_spans(spans: list) -> pa.RecordBatch:
+        m = len(spans[0])
+        return pa.RecordBatch.from_arrays([*spans, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+
+    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        one, two, doc, kind, pos, least = (np.concatenate(c) for c in zip(*held, strict=True))
+        gone = (least < doc) | ~smallest_of((one, two), doc, np.lexsort((doc, two, one)))
+        if gone.any():
+            yield of_spans([pa.array(c) for c in merged(doc[gone], kind[gone], pos[gone], np.full(int(gone.sum()), LENGTH, np.int64))])
+        columns = [c[~gone] for c in (one, two, doc, kind, pos)]
+        bucket = (columns[0].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        columns, bucket = [c[order] for c in columns], bucket[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        stop = np.append(first[1:], len(bucket))
+        blobs = [packed_strings(*(c[f:t] for c in columns)) for f, t in zip(first.tolist(), stop.tolist(), strict=True)]
+        none = pa.nulls(len(blobs), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(bucket[first]), pa.array(blobs, pa.binary())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        count = 0
+        for batch in found_in_blocks(batches):
+            if batch.column(3).null_count:
+                yield of_spans(batch.columns[:3])
+                continue
+            halves = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(-1, 2)
+            doc, kind, span, least = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            held.append([halves[:, 0], halves[:, 1], doc, kind, span // SPAN, least])
+            count += len(doc)
+            if count >= HELD:
+                yield from flush(held)
+                held, count = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def settled_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of strings that a smaller document has, from (bucket, strings) sorted by bucket."""
+
+    def solve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        one, two, doc, kind, pos = (np.concatenate(c) for c in zip(*(unpacked(b, STRINGS_OF) for b in blobs), strict=True))
+        gone = ~smallest_of((one, two), doc, np.lexsort((doc, two, one)))
+        if gone.any():
+            spans = merged(doc[gone], kind[gone], pos[gone], np.full(int(gone.sum()), LENGTH, np.int64))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, spans)], names=["doc", "kind", "span"])
+
+    held: list[bytes] = []
+    current = None
+    for batch in batches:
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and bucket != current:
+                yield from solve(held)
+                held = []
+            current = bucket
+            held.append(blob)
+    if held:
+        yield from solve(held)
+
+
 def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=6, write_checksum=False)
     for batch in batches:
@@ -395,11 +473,10 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     lists = first.where("anchor is not null").groupBy(F.col("doc").alias("doc_id"), "kind").agg(F.collect_list(F.struct("anchor", "part", "dealt", "span")).alias("wanted"))
     cut = texts.join(lists, ["doc_id", "kind"]).select("doc_id", "kind", "text", "wanted").mapInArrow(cut_segments, CUT)
     blocks = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    found = Written(blocks.mapInArrow(found_in_blocks, FOUND), "strings").df
-    dealt = found.where("string is not null")
-    least = dealt.groupBy("string").agg(F.min("least").alias("all_least"))
-    spans = first.where("anchor is null").select("doc", "kind", "span").unionByName(found.where("string is null").select("doc", "kind", "span"))
-    return spans.unionByName(dealt.join(least, "string").where("all_least < doc").select("doc", "kind", "span"))
+    found = Written(blocks.mapInArrow(settled_in_task(buckets), DEALT), "strings").df
+    dealt = found.where("strings is not null").select("bucket", "strings").repartition("bucket").sortWithinPartitions("bucket")
+    spans = first.where("anchor is null").select("doc", "kind", "span").unionByName(found.where("strings is null").select("doc", "kind", "span"))
+    return spans.unionByName(dealt.mapInArrow(settled_strings, "doc long, kind long, span long"))
 
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
