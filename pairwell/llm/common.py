@@ -131,13 +131,15 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Tables of up to so many rows of a few numbers are held in so many partitions: each costs files in every shuffle.
+#: Tables of up to so many rows of a few numbers are held in partitions of so many rows, and in FEW at most: each costs
+#: files in every shuffle and checkpoint, and Hadoop's local files start processes of their own from an executor.
 SMALL = 1 << 18
 FEW = 32
+EACH = 1 << 15
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    return df.coalesce(FEW) if rows <= SMALL else df
+def few(df: DataFrame, rows: int, each: int = EACH) -> DataFrame:
+    return df.coalesce(min(FEW, max(1, -(-rows // each)))) if rows <= SMALL else df
 
 
 HOT_SHARE = 1000

@@ -54,6 +54,9 @@ PARTNERS = 32
 PAIRS_PER_LINK = 100
 #: A head is dealt out from so many pairs on.
 PAIRS_OF_HEAD = 5_000
+#: Pairs with what both nodes have that are together in a partition, and nodes whose partners are.
+PAIRS_TOGETHER = 1 << 11
+NODES_TOGETHER = 1 << 10
 #: 2^19 words of 64 bits say which nodes are needed: a fixed size; errors only send more.
 BITMAP_WORDS = 1 << 19
 #: Bytes of text hashed at once; index entries and bytes of shingles that leave a task at once.
@@ -343,8 +346,8 @@ class Join:
         order = np.argsort(tokens)
         self.ranked, self.levels = tokens[order], found["level"].to_numpy(np.uint8)[order]
         # A list is hot with more than 1/1000 of all nodes.
-        many = self.nodes.count()
-        self.salted = max(8, int(many // 1000).bit_length())
+        self.many = self.nodes.count()
+        self.salted = max(8, int(self.many // 1000).bit_length())
 
     def index(self) -> DataFrame:
         """The index lists with something to compare, written once."""
@@ -384,7 +387,7 @@ class Join:
         # Several tasks may hold a node.
         x = x.repartition("b", "part").dropDuplicates(["b", "part", "a"])
         y = y.repartition("b", "part").dropDuplicates(["b", "part"])
-        return few(x.join(y, ["b", "part"]).select("a", "b", "n_a", "n_b", "x", "y"), count)
+        return few(x.join(y, ["b", "part"]).select("a", "b", "n_a", "n_b", "x", "y"), count, PAIRS_TOGETHER)
 
     def bounds(self, pairs: DataFrame) -> DataFrame:
         """``low``: a bound from below of the symmetric difference of pairs (a, b)."""
@@ -492,14 +495,15 @@ def derived(join: Join, pairs: DataFrame, leaders: DataFrame) -> DataFrame:
         (F.coalesce("d_a", F.lit(0)) + F.coalesce("d_b", F.lit(0))).alias("off"),
     )
     told = durable(told)
+    count = told.count()
     leading = [F.col("l_a").alias("a"), F.col("l_b").alias("b")]
-    bounded = join.bounds(told.select(*leading).distinct()).select(F.col("a").alias("l_a"), F.col("b").alias("l_b"), "low")
-    near = durable(told.join(bounded, ["l_a", "l_b"]).where(~apart(F.col("n_a"), F.col("n_b"), F.col("low") - F.col("off"))).drop("low"))
-    between = join.overlaps(near.select(*leading).distinct())
+    bounded = join.bounds(few(told.select(*leading).distinct(), count)).select(F.col("a").alias("l_a"), F.col("b").alias("l_b"), "low")
+    near = durable(few(told.join(bounded, ["l_a", "l_b"]).where(~apart(F.col("n_a"), F.col("n_b"), F.col("low") - F.col("off"))).drop("low"), count))
+    between = join.overlaps(few(near.select(*leading).distinct(), count))
     distance = between.select(F.col("a").alias("l_a"), F.col("b").alias("l_b"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
     judged = near.join(distance, ["l_a", "l_b"])
     sure = F.when(~apart(F.col("n_a"), F.col("n_b"), F.col("d") + F.col("off")), F.lit(True)).when(apart(F.col("n_a"), F.col("n_b"), F.col("d") - F.col("off")), F.lit(False))
-    judged = durable(judged.withColumn("sure", sure))
+    judged = durable(few(judged.withColumn("sure", sure), count))
     direct, _ = join.links(judged.where("sure is null"))
     return judged.where("sure").select("a", "b").union(direct.select("a", "b"))
 
@@ -510,7 +514,7 @@ def components_of_all(join: Join, entries: DataFrame) -> DataFrame | None:
     known = entries.withColumn("comp", F.col("node"))
     turn, enough, kept = 0, False, None
     while not enough:
-        new, pairs = join.links(cell_proposals(known, comps, turn) if turn else proposals(known))
+        new, pairs = join.links(few(cell_proposals(known, comps, turn) if turn else proposals(known), join.many, NODES_TOGETHER))
         if leaders is None:
             leaders = new.select(F.col("a").alias("node"), F.col("b").alias("leader"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("distance"))
         links = new.count()
