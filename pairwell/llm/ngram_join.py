@@ -28,14 +28,15 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwell.llm.common import PLAIN, SMALL, Words, Written, chunks, few, join_facts, mixed, run_hashes
-from pairwell.llm.components import components
+from pairwell.llm.components import components, durable_few
 from pairwell.session import durable
 
 PERCENT = 80
@@ -59,10 +60,14 @@ PAIRS_TOGETHER = 1 << 11
 NODES_TOGETHER = 1 << 10
 #: 2^19 words of 64 bits say which nodes are needed: a fixed size; errors only send more.
 BITMAP_WORDS = 1 << 19
-#: Bytes of text hashed at once; index entries and bytes of shingles that leave a task at once.
-TEXT_BYTES = 500_000
-ENTRIES = 200_000
-ARRAY_BYTES = 8_000_000
+#: Bytes of text that a task is handed, and hashes, at once; index entries and bytes of shingles that leave a task at
+#: once; bytes of a row group of shingles; shingles that a task counts at once.
+BATCH_BYTES = "2m"
+TEXT_BYTES = 200_000
+ENTRIES = 50_000
+ARRAY_BYTES = 2_000_000
+GROUP_BYTES = 8_000_000
+COUNTED = 1 << 22
 #: Bits of a node: the power of two from so many for each shingle on, in whole words, up to MOST_BITS. Fewer rule out less.
 BITS_PER_SHINGLE = 4
 MOST_BITS = 1 << 20
@@ -87,6 +92,18 @@ def shingle_sets(texts: list[bytes], seed: int) -> Iterator[tuple[int, np.ndarra
             yield low + i, found, one, two
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside hand their tasks few bytes of text at once: a task holds a batch in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def signed(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64))
 
@@ -99,12 +116,8 @@ def bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).to_pylist()]
 
 
-def _counts(gathered: list[np.ndarray]) -> pa.RecordBatch | None:
-    """Shingles that are there ``REPEATED`` times; ``gathered`` is emptied, and the rest is done in place."""
-    if not gathered:
-        return None
-    every = np.concatenate(gathered)
-    gathered.clear()
+def _counts(every: np.ndarray) -> pa.RecordBatch | None:
+    """Shingles that are there ``REPEATED`` times; ``every`` is sorted in place."""
     every.sort()
     last = REPEATED - 1
     often = np.unique(every[last:][every[last:] == every[: len(every) - last]])
@@ -121,34 +134,34 @@ def sketched(seed: int, keyed: bool = False):
     ``keyed``: a third column of the input is passed on as ``sha``.
     """
 
-    def counted(gathered: list[np.ndarray]) -> pa.RecordBatch | None:
-        rows = _counts(gathered)
+    def counted(every: np.ndarray) -> pa.RecordBatch | None:
+        rows = _counts(every)
         return batch_of([*rows.schema.names, "sha"], *rows.columns, pa.nulls(rows.num_rows, pa.binary())) if keyed and rows is not None else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        gathered: list[np.ndarray] = []
-        size = 0
+        gathered, size = np.empty(COUNTED, np.uint64), 0
         for batch in batches:
             n, node, check = [], [], []
             for _, found, one, two in shingle_sets(bytes_of(batch, 1), seed):
                 n.append(len(found))
                 node.append(one)
                 check.append(two)
-                if len(found) and one not in seen:
-                    seen.add(one)
-                    gathered.append(found)
-                    size += len(found)
-                if size > 4_000_000:
-                    if (rows := counted(gathered)) is not None:
+                if not len(found) or one in seen:
+                    continue
+                seen.add(one)
+                if size + len(found) > len(gathered):
+                    if (rows := counted(gathered[:size])) is not None:
                         yield rows
-                    size = 0
+                    gathered, size = gathered if len(found) <= len(gathered) else np.empty(len(found), np.uint64), 0
+                gathered[size : size + len(found)] = found
+                size += len(found)
             none = pa.nulls(len(n), pa.int64())
             names, more = ["doc_id", "n", "node", "check", "token", "sets"], ()
             if keyed:
                 names, more = [*names, "sha"], (batch.column(2),)
             yield batch_of(names, batch.column(0), pa.array(n, pa.int64()), signed(node), signed(check), none, none, *more)
-        if (rows := counted(gathered)) is not None:
+        if (rows := counted(gathered[:size])) is not None:
             yield rows
 
     return run
@@ -328,11 +341,12 @@ class Join:
             columns = [F.col("doc_id").cast("long"), self.text] + ([whole_hash()] if keyed else [])
             schema = "doc_id long, n long, node long, check long, token long, sets long" + (", sha binary" if keyed else "")
             both = docs.select(*columns).mapInArrow(sketched(self.seed, keyed), schema)
-            both = durable(both)
+            with small_batches(docs.sparkSession):
+                both = durable(both)
             self.sets = both.where("token is null").select("doc_id", "n", "node", "check", *(["sha"] if keyed else []))
             best = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("best")] if keyed else []
             nodes = self.sets.where("n > 0").groupBy("node").agg(F.min("check").alias("c"), F.max("check").alias("d"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_rows"), *best)
-            self.nodes = durable(nodes)
+            self.nodes = durable(few(nodes, self.sets.count()))
             if self.nodes.where("c != d").isEmpty():
                 break
         self.rank(both.where("token is not null"))
@@ -353,7 +367,8 @@ class Join:
         """The index lists with something to compare, written once."""
         entries = self.docs.select(self.text).mapInArrow(postings_of(self.seed, self.ranked, self.levels, self.salted), "token long, part int, node long, n int, pos int")
         dealt = entries.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
-        self.lists = Written(dealt.mapInArrow(shared_lists, "token long, part int, node long, n int, pos int").select("token", "node", "n", "pos"), "index")
+        with small_batches(self.docs.sparkSession):
+            self.lists = Written(dealt.mapInArrow(shared_lists, "token long, part int, node long, n int, pos int").select("token", "node", "n", "pos"), "index")
         size = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
         return self.lists.df.withColumn("sb", size)
 
@@ -368,7 +383,9 @@ class Join:
         rows = words.toPandas()
         table = np.zeros(BITMAP_WORDS, np.uint64)
         table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-        return Written(self.docs.select(self.text).mapInArrow(arrays_of(self.seed, table), "node long, n long, bits binary, shingles binary"), "arrays", compression="none", **{"parquet.block.size": ARRAY_BYTES})
+        rows = self.docs.select(self.text).mapInArrow(arrays_of(self.seed, table), "node long, n long, bits binary, shingles binary")
+        with small_batches(self.docs.sparkSession):
+            return Written(rows, "arrays", compression="none", **{"parquet.block.size": GROUP_BYTES})
 
     def meet(self, pairs: DataFrame, column: str) -> DataFrame:
         """Pairs (a, b) with a column of both. What ``a`` has goes to ``b``, which is dealt out if many pairs ask for it.
@@ -389,13 +406,17 @@ class Join:
         y = y.repartition("b", "part").dropDuplicates(["b", "part"])
         return few(x.join(y, ["b", "part"]).select("a", "b", "n_a", "n_b", "x", "y"), count, PAIRS_TOGETHER)
 
+    def measure(self, pairs: DataFrame, column: str, how, name: str) -> DataFrame:
+        with small_batches(pairs.sparkSession):
+            return durable(self.meet(pairs, column).mapInArrow(measured(how, name), f"a long, b long, n_a long, n_b long, {name} long"))
+
     def bounds(self, pairs: DataFrame) -> DataFrame:
         """``low``: a bound from below of the symmetric difference of pairs (a, b)."""
-        return durable(self.meet(pairs, "bits").mapInArrow(measured(places_apart, "low"), "a long, b long, n_a long, n_b long, low long"))
+        return self.measure(pairs, "bits", places_apart, "low")
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
         """Exact overlaps ``common`` of pairs (a, b)."""
-        return durable(self.meet(pairs, "shingles").mapInArrow(measured(in_common, "common"), "a long, b long, n_a long, n_b long, common long"))
+        return self.measure(pairs, "shingles", in_common, "common")
 
     def links(self, pairs: DataFrame) -> tuple[DataFrame, int]:
         """The linked ones of pairs (a, b) with their overlaps, and the number of all pairs."""
@@ -426,7 +447,7 @@ class Join:
         more = ["sha"] if self.keyed else []
         rows = self.sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), *more)
         rows = rows.withColumn("_spread", F.xxhash64("doc_id", *more))
-        joined = join_facts(rows, named, "node", "_spread")
+        joined = join_facts(rows, few(named, self.many), "node", "_spread")
         more = ["sha", "best"] if self.keyed else []
         return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *more)
 
@@ -496,10 +517,11 @@ def derived(join: Join, pairs: DataFrame, leaders: DataFrame) -> DataFrame:
     )
     told = durable(told)
     count = told.count()
+    told = few(told, count)
     leading = [F.col("l_a").alias("a"), F.col("l_b").alias("b")]
-    bounded = join.bounds(few(told.select(*leading).distinct(), count)).select(F.col("a").alias("l_a"), F.col("b").alias("l_b"), "low")
-    near = durable(few(told.join(bounded, ["l_a", "l_b"]).where(~apart(F.col("n_a"), F.col("n_b"), F.col("low") - F.col("off"))).drop("low"), count))
-    between = join.overlaps(few(near.select(*leading).distinct(), count))
+    bounded = join.bounds(told.select(*leading).distinct()).select(F.col("a").alias("l_a"), F.col("b").alias("l_b"), "low")
+    near = durable_few(told.join(bounded, ["l_a", "l_b"]).where(~apart(F.col("n_a"), F.col("n_b"), F.col("low") - F.col("off"))).drop("low"), count)
+    between = join.overlaps(near.select(*leading).distinct())
     distance = between.select(F.col("a").alias("l_a"), F.col("b").alias("l_b"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
     judged = near.join(distance, ["l_a", "l_b"])
     sure = F.when(~apart(F.col("n_a"), F.col("n_b"), F.col("d") + F.col("off")), F.lit(True)).when(apart(F.col("n_a"), F.col("n_b"), F.col("d") - F.col("off")), F.lit(False))
