@@ -7,6 +7,7 @@ so strata are worked on in bounded pieces:
 
 * every stratum is laid out along its score and cut into pieces of at most ``max_rows`` rows;
 * inside a piece, a case proposes only where no row outside the piece could be preferred;
+* a case that loses a control to an earlier one of its piece proposes again in the same round, in its turn;
 * the cuts move by half a piece each round, and pieces cover only rows still in play;
 * if a round brings nothing, the pieces double, so the loop always ends with the exact result.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pairwell.functions import expressions as E
 from pairwell.operators.scan import cumulate, global_positions, largest_group, measured_join, null_safe_join, numbered
-from pairwell.session import durable
+from pairwell.session import durable, replaced, scratch_path
 
 MAX_ROWS = 200_000
 #: The holder of a control that no case has: later than every case. Ids and orders are whole numbers throughout.
@@ -152,6 +154,8 @@ def settle_piece(piece: pd.DataFrame, k: int, age_caliper: float | None) -> pd.D
 
     closing = sorted((h, i) for i, h in enumerate(holder) if h < FREE)
     closed_to = 0
+    # Controls that a case lost to earlier ones in this round; it comes after all of them.
+    lost: Counter[int] = Counter()
     for order, case_id, x, v, age, need in zip(
         cases["ord"].tolist(), cases["id"].tolist(), cases["z"].tolist(), cases["u"].tolist(),
         cases["age"].tolist(), cases["need"].tolist(),
@@ -159,6 +163,9 @@ def settle_piece(piece: pd.DataFrame, k: int, age_caliper: float | None) -> pd.D
         while closed_to < len(closing) and closing[closed_to][0] < order:
             close(closing[closed_to][1])
             closed_to += 1
+        need += lost[order]
+        if not need:
+            continue
         outside = (math.inf, 0.0)
         if left_open:
             outside = min(outside, (x - first[0], max(0.0, v - first[1])))
@@ -176,6 +183,7 @@ def settle_piece(piece: pd.DataFrame, k: int, age_caliper: float | None) -> pd.D
             if len(taken) == need:
                 break
         for i in taken:
+            lost[holder[i]] += 1
             holder[i] = order
             close(i)
         if len(taken) < need and not stuck and outside[0] > caliper:
@@ -217,7 +225,11 @@ def greedy_match(
         held = changes.where("not is_case").select("stratum", F.col("id").alias("control_id"), F.col("holder").alias("ord"))
         control_z = rows.where("not is_case").select(F.col("id").alias("control_id"), F.col("z").alias("_zc"))
         return _with_distance(held.join(control_z, "control_id"), rows)
-    state = durable(layout.withColumns({"holder": F.lit(FREE).cast("long"), "done": F.lit(False)}))
+    # The state of a round is a function of the last one, so its estimated size would be a power of the last
+    # estimate. Files are read back with their real size; two folders take turns. That size is of packed columns, so
+    # joins of the state are hinted: rows of some MB of files would be too many to broadcast.
+    folders = [scratch_path(df.sparkSession, "matching") for _ in range(2)]
+    state = replaced(layout.withColumns({"holder": F.lit(FREE).cast("long"), "done": F.lit(False)}), folders[0])
     piece_rows, shifted = max_rows, False
     while True:
         placed = _rows_in_play(state, k)
@@ -229,13 +241,15 @@ def greedy_match(
             piece_rows = piece_rows * 2 if shifted else piece_rows
         else:
             news = changes.withColumnRenamed("holder", "_new")
-            state = durable(
+            folders.reverse()
+            state = replaced(
                 state.join(news, ["stratum", "is_case", "id"], "left").withColumns(
                     {
                         "holder": F.when(F.col("is_case"), F.col("holder")).otherwise(F.least("holder", "_new")),
                         "done": F.col("done") | (F.col("is_case") & F.col("_new").isNotNull()),
                     }
-                ).drop("_new")
+                ).drop("_new"),
+                folders[0],
             )
         shifted = not shifted
     taken = state.where(f"not is_case and holder < {FREE}").select(
@@ -245,26 +259,26 @@ def greedy_match(
 
 
 def _rows_in_play(state: DataFrame, k: int) -> DataFrame:
-    """Cases that still want controls and controls they could get, with their position in the stratum."""
+    """Cases that want controls, later ones that may lose some, and controls they could get, with their position in the stratum."""
     held = state.where(f"not is_case and holder < {FREE}").groupBy("stratum", F.col("holder").alias("ord")).agg(
         F.count(F.lit(1)).alias("held")
     )
-    wanting = (
+    cases = (
         state.where("is_case and not done")
-        .join(held, ["stratum", "ord"], "left")
+        .join(held.hint("merge"), ["stratum", "ord"], "left")
         .withColumn("need", (F.lit(k) - F.coalesce("held", F.lit(0))).cast("int"))
-        .where("need > 0")
         .drop("held", "done")
     )
-    earliest = wanting.groupBy("stratum").agg(F.min("ord").alias("_first"))
-    gettable = measured_join(state.where("not is_case"), earliest, ["stratum"]).where("holder > _first")
-    play = wanting.unionByName(gettable.drop("_first", "done").withColumn("need", F.lit(0)))
+    controls = state.where("not is_case").drop("done").withColumn("need", F.lit(0))
+    earliest = cases.where("need > 0").groupBy("stratum").agg(F.min("ord").alias("_first"))
+    concerned = F.when(F.col("is_case"), F.col("ord") >= F.col("_first")).otherwise(F.col("holder") > F.col("_first"))
+    play = measured_join(cases.unionByName(controls), earliest, ["stratum"]).where(concerned).drop("_first")
     return global_positions(play, ["stratum"], ["z", "u", "is_case", "id"], "pos")
 
 
 def _with_distance(taken: DataFrame, cases: DataFrame) -> DataFrame:
     chosen = cases.where("is_case").select("stratum", "ord", F.col("id").alias("case_id"), F.col("z").alias("_zt"))
-    return taken.join(chosen, ["stratum", "ord"]).select(
+    return taken.join(chosen.hint("merge"), ["stratum", "ord"]).select(
         "case_id", "control_id", "stratum", F.abs(F.col("_zc") - F.col("_zt")).alias("distance")
     )
 
@@ -357,7 +371,8 @@ def matched_long(df: DataFrame, pairs: DataFrame, id_column: str = "person_id")
     controls = pairs.join(ratio.select("case_id", "match_ratio_k"), "case_id").select(
         F.col("control_id").alias(id_column), pair_id.alias("pair_id"), "match_ratio_k"
     )
-    return df.join(cases.unionByName(controls), id_column)
+    # Files of persons may be small for their rows, which must not make them a table for the driver to broadcast.
+    return df.hint("merge").join(cases.unionByName(controls), id_column)
 
 
 def balance(

@@ -35,6 +35,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def replaced(df: DataFrame, path: str) -> DataFrame:
+    """Store ``df`` as files in place of what ``path`` held, and read it back.
+
+    For what a loop hands from round to round: a checkpoint keeps the estimated size of its plan, in which each join
+    multiplies, so over rounds the estimate becomes a number that fills the driver. Files have their real size.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, for tables that are written and read back."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

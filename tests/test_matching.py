@@ -190,3 +190,20 @@ def test_ratio_sweep_ends_each_ratio_before_the_next(spark):
     out = matched_cohort.ratio_sweep(spark.createDataFrame(df), spec, [1, 2])
     assert {r.k: r.n_cases > 0 for r in out.collect()} == {1: True, 2: True}
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_estimated_size_does_not_grow_with_the_rounds(spark):
+    """The plan of a round starts from files: estimates of estimates, multiplied by every join, filled the driver."""
+    df = people(120, 7, 1, case_share=0.3)
+    out = matching.greedy_match(spark.createDataFrame(df), 2, max_rows=40)
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 100
+    assert {(r.case_id, r.control_id) for r in out.collect()} == sequential(df, 2)
+
+
+def test_a_case_that_loses_its_control_proposes_again_in_the_same_round():
+    rows = [(True, 1, 0.0, 1), (True, 2, 0.1, 0), (True, 3, 0.2, 0), (False, 11, 0.0, 2), (False, 12, 0.15, 3), (False, 13, 0.3, matching.FREE)]
+    frame = pd.DataFrame(
+        [{"is_case": c, "id": i, "ord": i, "z": z, "need": need if c else 0, "holder": matching.FREE if c else need} for c, i, z, need in rows]
+    ).assign(stratum="s", u=0.5, age=40.0, caliper=1.0, left_open=False, right_open=False)
+    out = matching.settle_piece(frame, 1, None)
+    assert {(r.id, r.holder) for r in out.itertuples()} == {(11, 1), (12, 2), (13, 3)}
