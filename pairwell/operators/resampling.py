@@ -181,7 +181,8 @@ class Resamples:
         drawn = self.draws().mapInArrow(unpack, "_s string, _r long, b int, m long")
         if (self.ranked.agg(F.max("_r")).first()[0] or 0) >= CHUNK:
             drawn = drawn.groupBy("_s", "_r", "b").agg(F.sum("m").alias("m"))
-        return null_safe_join(drawn, self.ranked.select(self.person, "_s", "_r"), ["_s", "_r"]).select("b", self.person, "m")
+        # A job of a few bytes makes all these rows, so their estimated size says nothing and would have them broadcast.
+        return null_safe_join(drawn.hint("merge"), self.ranked.select(self.person, "_s", "_r"), ["_s", "_r"]).select("b", self.person, "m")
 
     def _by_block(self, columns: dict[str, Column], function, schema: str) -> DataFrame:
         """``function(persons, counts)`` for every block of ranks; persons come in the order of the counts."""

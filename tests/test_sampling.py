@@ -141,3 +141,14 @@ def test_holdouts_take_the_lowest_hashes_of_large_strata(spark, monkeypatch, spa
             mine = [u for u in range(400) if u % 3 == (s or 0)]
             expected |= {(b, s, u) for u in sorted(mine, key=lambda u: hashlib.md5(f"42|{b}|{u}".encode()).hexdigest()[:15])[:3]}
     assert got == expected
+
+
+def test_draws_are_not_broadcast(spark):
+    """They are made from a few short rows, by whose size the plan took them for a small table."""
+    persons = spark.range(3000).select(F.col("id").alias("person"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    out = sampling.bootstrap(persons, "person", 4, ["y"])
+    sums = {}
+    for r in out.collect():
+        sums[r.b] = sums.get(r.b, 0) + r.m
+    assert sums == {b: 3000 for b in range(1, 5)}
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
