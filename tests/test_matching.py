@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -207,3 +209,12 @@ def test_a_case_that_loses_its_control_proposes_again_in_the_same_round():
     ).assign(stratum="s", u=0.5, age=40.0, caliper=1.0, left_open=False, right_open=False)
     out = matching.settle_piece(frame, 1, None)
     assert {(r.id, r.holder) for r in out.itertuples()} == {(11, 1), (12, 2), (13, 3)}
+
+
+def test_persons_are_not_broadcast_to_their_pairs(spark):
+    persons = spark.createDataFrame(people(200, 5))
+    pairs = matching.greedy_match(persons, 2)
+    out = matching.matched_long(persons, pairs)
+    assert out.count() == pairs.count() + pairs.select("case_id").distinct().count()
+    out.collect()
+    assert re.search(r"(\w+Join)", out._jdf.queryExecution().executedPlan().toString()).group(1) == "SortMergeJoin"
